@@ -9,7 +9,10 @@ from heristat.llm.common import table
 #: name: (module, its function, tables)
 _QUERIES = {
     "op3_simhash_bktree": ("simhash", "query", ("documents",)),
+    "op4_warc_zip": ("warczip", "query", ("pages",)),
+    "op5_suffix_array": ("suffix", "query", ("documents",)),
     "op6_mixing": ("mixing", "query", ("documents",)),
+    "op7_cross_polytope": ("ann", "query", ("embeddings",)),
     "op8_toxicity": ("toxicity", "query", ("documents", "labels")),
     "op9_secrets": ("secrets", "query", ("documents",)),
     "op10_packing": ("packing", "query", ("documents",)),
@@ -28,6 +31,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from heristat.llm import mixing
+    from heristat.llm import mixing, warczip
 
-    return {"op6_mixing": mixing.SQL}
+    return {"op4_warc_zip": warczip.SQL, "op6_mixing": mixing.SQL}
