@@ -8,6 +8,8 @@ from heristat.llm.common import table
 
 #: name: (module, its function, tables)
 _QUERIES = {
+    "op1_webp_media": ("media", "query", ("documents",)),
+    "op2_temporal_url_filter": ("urlfilter", "query", ("pages",)),
     "op3_simhash_bktree": ("simhash", "query", ("documents",)),
     "op4_warc_zip": ("warczip", "query", ("pages",)),
     "op5_suffix_array": ("suffix", "query", ("documents",)),
@@ -31,6 +33,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from heristat.llm import mixing, warczip
+    from heristat.llm import mixing, urlfilter, warczip
 
-    return {"op4_warc_zip": warczip.SQL, "op6_mixing": mixing.SQL}
+    return {"op2_temporal_url_filter": urlfilter.SQL, "op4_warc_zip": warczip.SQL, "op6_mixing": mixing.SQL}
