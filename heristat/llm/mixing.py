@@ -24,13 +24,12 @@ BROADCAST_ROWS = 250_000
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    """docs with _src (never null), _size, _key and _block."""
-    key = f"CAST(conv(substr(md5(concat('{seed}:', coalesce(CAST(`{id_col}` AS STRING), 'null'))), 1, 15), 16, 10) AS BIGINT)"
-    return docs.withColumns({
-        "_src": F.expr(f"coalesce(concat('=', CAST(`{source_col}` AS STRING)), '')"),
-        "_size": F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long"),
-        "_key": F.expr(key),
-    }).withColumn("_block", F.expr(f"CAST(shiftright(_key, {KEY_BITS - BLOCK_BITS}) AS INT)"))
+    """Rows (row, doc_id, _src, _size, _key, _block): docs' columns as one, the source never null."""
+    key = f"CAST(conv(substr(md5(concat('{seed}:', coalesce(CAST(doc_id AS STRING), 'null'))), 1, 15), 16, 10) AS BIGINT)"
+    return docs.select(
+        F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("_src"),
+        F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("_size"),
+    ).withColumn("_key", F.expr(key)).withColumn("_block", F.expr(f"CAST(shiftright(_key, {KEY_BITS - BLOCK_BITS}) AS INT)"))
 
 
 def targets(per_source: DataFrame, ceiling: int = CEILING) -> DataFrame:
@@ -107,9 +106,9 @@ class Mix:
     """The plan of a mix over docs: per source its size, target, whole passes and where its last pass ends."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", ceiling: int = CEILING, shards: int = SHARDS, seed: int = SEED):
-        self.docs, self.id_col, self.seed = docs, id_col, seed
+        self.docs, self.seed = docs, seed
         self.sized = _sized(docs, id_col, text_col, source_col, seed)
-        self.narrow = materialize(self.sized.select(F.col(id_col).alias("doc_id"), "_src", "_size", "_key", "_block"), "mix")
+        self.narrow = materialize(self.sized.select("doc_id", "_src", "_size", "_key", "_block"), "mix")
         blocks = materialize(self.narrow.groupBy("_src", "_block").agg(F.sum("_size").alias("words")), "blocks")  # BLOCKS a source at most
         quota = targets(blocks.groupBy("_src").agg(F.sum("words").alias("size")), ceiling)
         quota = quota.withColumn("passes", F.expr("CASE WHEN size > 0 THEN CAST(floor(target / size) AS BIGINT) ELSE 0L END"))
@@ -136,20 +135,20 @@ class Mix:
         dealt = dealt.withColumn("shard", F.expr(f"size(filter({upto}, x -> x <= r))"))
         self.tickets = materialize(dealt.groupBy("_src", "_block").agg(F.transform(F.array_sort(F.collect_list(F.struct("copy", "shard"))), lambda x: x["shard"]).alias("shards")), "tickets")
 
-    def _copies(self, df: DataFrame, id_name: str) -> DataFrame:
-        """df (_src, _size, _key, _block, id) with source figures, copies and the shards of its block."""
+    def _copies(self, df: DataFrame) -> DataFrame:
+        """df (_src, _size, _key, _block, doc_id) with source figures, copies and the shards of its block."""
         found = df.join(_bounded(self.sources), "_src").join(_bounded(self.tickets), ["_src", "_block"], "left")
-        inside = f"_block < edge OR (_block = edge AND struct(_key, `{id_name}`, _size) <= struct(last._key, last.doc_id, last._size))"
+        inside = "_block < edge OR (_block = edge AND struct(_key, doc_id, _size) <= struct(last._key, last.doc_id, last._size))"
         return found.withColumn("copies", F.expr(f"passes + CASE WHEN coalesce({inside}, false) THEN 1 ELSE 0 END"))
 
     def digest(self) -> DataFrame:
-        found = self._copies(self.narrow, "doc_id")
+        found = self._copies(self.narrow)
         return found.select("doc_id", F.col("_size").alias("size"), F.col("size").alias("source_size"), "target", (F.col("copies") * F.col("_size")).alias("taken"))
 
     def rows(self) -> DataFrame:
-        """docs once for each copy, with columns copy and shard: a partition holds whole shards, each in its own random order."""
-        found = self._copies(self.sized, self.id_col).filter("copies > 0")
-        each = found.select(*(F.col(c) for c in self.docs.columns), F.posexplode(F.expr("slice(shards, 1, CAST(copies AS INT))")).alias("copy", "shard"), "_key")
+        """docs, as one column row, once for each copy, with columns copy and shard: a partition holds whole shards, each in its own random order."""
+        found = self._copies(self.sized).filter("copies > 0")
+        each = found.select("row", F.posexplode(F.expr("slice(shards, 1, CAST(copies AS INT))")).alias("copy", "shard"), "_key")
         order = F.xxhash64(F.lit(self.seed), "_key", "copy")
         return each.repartition(SHARDS, "shard").sortWithinPartitions("shard", order).drop("_key")
 
@@ -162,7 +161,7 @@ def query(docs: DataFrame) -> DataFrame:
 
 def resample(docs: DataFrame) -> DataFrame:
     """The mixed documents with docs' columns; a document taken twice is there twice."""
-    return Mix(docs).rows().select(docs.columns)
+    return Mix(docs).rows().select("row.*")
 
 
 SQL = f"""

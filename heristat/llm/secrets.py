@@ -122,17 +122,14 @@ def query(docs: DataFrame) -> DataFrame:
 def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist()):
-            if spans:
-                out, at = [], 0
-                for s, e in sorted((x["start"], x["end"]) for x in spans):
-                    if s >= at:
-                        out += [text[at:s], "[secret]"]
-                    at = max(at, e)
-                text = "".join(out) + text[at:]
-            texts.append(text)
-        keep = [n for n in batch.schema.names if n != "_spans"]
-        yield pa.RecordBatch.from_arrays([pa.array(texts, batch.column("text").type) if n == "text" else batch.column(n) for n in keep], keep)
+        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
+            out, at = [], 0
+            for s, e in sorted((x["start"], x["end"]) for x in spans or ()):
+                if s >= at:
+                    out += [text[at:s], "[secret]"]
+                at = max(at, e)
+            texts.append("".join(out) + text[at:])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -140,11 +137,12 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Spans are joined back by doc_id and text, so rows that share a doc_id are told apart.
     """
-    spans = scan(docs).filter("size(spans) > 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("_spans"))
-    spans = spans.groupBy("_id", "_key").agg(F.min("_spans").alias("_spans"))  # repeated rows have equal spans
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_key"))
-    joined = docs.join(spans, on, "left").drop("_id", "_key")
-    hit = joined.filter("_spans IS NOT NULL").mapInArrow(_redact, docs.schema)
+    spans = scan(docs).filter("size(spans) > 0").select(F.col("doc_id").alias("id"), "text_key", F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("spans"))
+    spans = spans.groupBy("id", "text_key").agg(F.min("spans").alias("spans"))  # repeated rows have equal spans
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own"), F.col("text").cast("string").alias("text"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"))
+    joined = own.join(spans, F.col("own").eqNullSafe(F.col("id")) & (F.col("key") == F.col("text_key")), "left").select("row", "text", "spans")
+    hit = joined.filter("spans IS NOT NULL").mapInArrow(_redact, f"row {joined.schema['row'].dataType.simpleString()}, text string")
+    new = {"text": F.col("text").cast(docs.schema["text"].dataType)}
     if "n_chars" in docs.columns:
-        hit = hit.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
-    return joined.filter("_spans IS NULL").select(docs.columns).unionByName(hit)
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return joined.filter("spans IS NULL").select("row.*").unionByName(hit.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns)))

@@ -188,10 +188,8 @@ def query(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The documents whose id names their component, with their columns; rows without doc_id stay. Rows that share a
-    doc_id are one document: one of them, the least by text, stays."""
-    kept = groups(docs).filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
-    found = docs.join(kept, "doc_id")
-    single, several = found.filter("_n = 1").drop("_n"), found.filter("_n > 1").drop("_n")
-    others = [c for c in docs.columns if c != "doc_id"]
-    first = several.groupBy("doc_id").agg(F.min(F.struct(*others)).alias("_s")).select(*("doc_id" if c == "doc_id" else F.col("_s")[c].alias(c) for c in docs.columns))
-    return single.unionByName(first).unionByName(docs.filter("doc_id IS NULL"))
+    doc_id are one document: one of them, the least by its columns in order, stays."""
+    kept = groups(docs).filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    found = docs.select(F.col("doc_id").alias("id"), F.struct(*docs.columns).alias("row")).join(kept, F.col("id") == kept["doc_id"]).select("id", "row", "n")
+    several = found.filter("n > 1").groupBy("id").agg(F.min("row").alias("row"))
+    return found.filter("n = 1").select("row.*").unionByName(several.select("row.*")).unionByName(docs.filter("doc_id IS NULL"))
