@@ -32,8 +32,10 @@ from heristat.llm.common import materialize, partitions, slices
 
 LEAST, GRAM = 50, 16
 #: Bytes of text for each bucket, of text hashed at a time, and of text after which a batch is sent.
-BUCKET_BYTES, SLICE_BYTES, BATCH_BYTES = 16 << 20, 2 << 20, 24 << 20
-CONTEXTS = 100_000
+BUCKET_BYTES, SLICE_BYTES, BATCH_BYTES = 16 << 20, 1 << 20, 12 << 20
+CONTEXTS = 50_000
+#: Contexts whose suffixes are sorted together.
+BLOCK = 8192
 COVER, RESIDUES = 16, (0, 1, 2, 5, 8)  # every difference mod 16 is one of two of these residues
 
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9)
@@ -301,10 +303,10 @@ def _by_deal(batches: Iterator[pa.RecordBatch]):
 # --- suffix sorting -------------------------------------------------------------------------------------------------
 
 
-def cover_ranks(text: np.ndarray) -> np.ndarray:
-    """Ranks of the sampled suffixes of each row (zeros to its right belong to it): column c's is in [:, c], -1 if c isn't
-    sampled. Ranks by COVER bytes first; each doubling joins the rank COVER, 2 COVER, ... columns on, which the sample, being
-    periodic, holds as well."""
+def cover_ranks(text: np.ndarray, depth: int) -> np.ndarray:
+    """Ranks of the sampled suffixes of each row by `depth` bytes or more (zeros to its right belong to it): column c's is
+    in [:, c], -1 if c isn't sampled. Ranks by COVER bytes first; each doubling joins the rank COVER, 2 COVER, ... columns
+    on, which the sample, being periodic, holds as well."""
     rows, width = text.shape
     cols = np.array([c for c in range(width) if c % COVER in RESIDUES])
     padded = np.zeros((rows, width + COVER), np.uint8)
@@ -313,7 +315,7 @@ def cover_ranks(text: np.ndarray) -> np.ndarray:
     rank = _rank(words)
     span = COVER
     place = {c: k for k, c in enumerate(cols.tolist())}
-    while span < width and len(rank) and rank.max() + 1 < len(rank):
+    while span < depth and len(rank) and rank.max() + 1 < len(rank):
         table = rank.reshape(rows, -1)
         on = np.stack([table[:, place[c + span]] + 1 if c + span in place else np.zeros(rows, np.int64) for c in cols.tolist()], axis=1)
         rank = _rank([rank.astype(np.uint64) << np.uint64(32) | on.ravel().astype(np.uint64)])
@@ -348,13 +350,13 @@ def repeats(text: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.ndarr
         return out
     padded = np.zeros((rows, width + COVER), np.uint8)
     padded[:, :width] = text
-    ranks = cover_ranks(text)
+    ranks = cover_ranks(text, least)
     step = [min(d for d in range(COVER) if (c + d) % COVER in RESIDUES) for c in range(COVER)]
     for c in range(before + 1):  # one bucket of suffixes at a time
         own = np.nonzero((left >= before - c) & (right >= least - before + c))[0]
         if len(own) < 2:
             continue
-        order = own[np.lexsort((ranks[own, c + step[c % COVER]], _word(padded[own], c + 8), _word(padded[own], c)))]
+        order = own[np.lexsort((ranks[own, c + step[c % COVER]], _word(padded, c + 8)[own], _word(padded, c)[own]))]
         window = text[order, c : c + least]
         new = np.concatenate([[True], (window[1:] != window[:-1]).any(axis=1)])
         least_id = np.minimum.reduceat(ids[order], np.nonzero(new)[0])[np.cumsum(new) - 1]
@@ -378,7 +380,15 @@ def _settle(least: int):
             first, runs = _groups(h[order])
             last = np.append(first[1:], len(h)) - 1
             pick = order[(ids[order][first] != ids[order][last])[runs]]  # an anchor of one document only meets none
-            hit = repeats(text[pick], left[pick], right[pick], ids[pick], least)
+            hit = np.zeros((len(pick), before + 1), bool)
+            new = np.nonzero(np.diff(h[pick], prepend=h[pick][:1]) != 0)[0]
+            a = 0
+            while a < len(pick):  # whole grams, about BLOCK contexts at a time
+                after = np.searchsorted(new, a + BLOCK)
+                b = int(new[after]) if after < len(new) else len(pick)
+                part = pick[a:b]
+                hit[a:b] = repeats(text[part], left[part], right[part], ids[part], least)
+                a = b
             edges = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
             (row, c0), (_, c1) = np.nonzero(edges == 1), np.nonzero(edges == -1)
             at = pick[row]
