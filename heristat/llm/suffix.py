@@ -32,8 +32,9 @@ from heristat.llm.common import materialize, partitions, slices
 
 LEAST, GRAM = 50, 16
 #: Bytes of text for each bucket, of text hashed at a time, and of text after which a batch is sent.
-BUCKET_BYTES, SLICE_BYTES, BATCH_BYTES = 16 << 20, 1 << 20, 12 << 20
+BUCKET_BYTES, SLICE_BYTES, BATCH_BYTES = 8 << 20, 1 << 20, 12 << 20
 CONTEXTS = 50_000
+HOT = 1000
 #: Contexts whose suffixes are sorted together.
 BLOCK = 8192
 COVER, RESIDUES = 16, (0, 1, 2, 5, 8)  # every difference mod 16 is one of two of these residues
@@ -150,7 +151,7 @@ def _find_anchors(buckets: int, least: int):
         rows = [(1, key, blob) for key, blob in _requests(deal[both], ids[both], tag[both], q[both])]
         one = order[first]
         q = q.copy()
-        q[one[both[one]]] = -1  # a shared gram goes out once, asking for nothing
+        q[one[both[one]]] = -(last - first + 1)[both[one]]  # a shared gram goes out once with its count, asking for nothing
         keep = ~both
         keep[one] = True
         h, ids, tag, deal, q = (a[keep] for a in (h, ids, tag, deal, q))
@@ -178,75 +179,125 @@ def _find_anchors(buckets: int, least: int):
     return run
 
 
-def _by_key(batches: Iterator[pa.RecordBatch], kind: int) -> Iterator[tuple[int, list[list[np.ndarray]]] | tuple[None, pa.RecordBatch]]:
-    """(key, unpacked blobs) of each key of that kind, rows being sorted by kind and key; other kinds' rows as they are."""
-    key, held = None, []
-    for batch in batches:
-        mine = np.array(batch.column("kind").to_pylist()) == kind if batch.num_rows else np.array([], bool)
-        if not mine.all():
-            yield None, batch.filter(pa.array(~mine))
-        for k, blob in zip(batch.filter(pa.array(mine)).column("key").to_pylist(), batch.filter(pa.array(mine)).column("blob").to_pylist()):
-            if k != key and held:
-                yield key, held
-                held = []
-            key = k
-            held.append(unpack(blob))
-    if held:
-        yield key, held
-
-
-def _want(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind 0 rows become kind 1: anchors whose gram two documents have."""
-    for key, got in _by_key(batches, 0):
-        if key is None:
-            yield got
-            continue
-        low, high, ids, tag, deal, q = (np.concatenate(x) for x in zip(*((a, b, np.cumsum(i), t, d, p) for a, b, i, t, d, p in got)))
-        h = low.astype(np.int64) | high.astype(np.int64) << 32
-        order = np.lexsort((ids, h))
-        first, run = _groups(h[order])
-        last = np.append(first[1:], len(h)) - 1
-        shared = (ids[order][first] != ids[order][last])[run] & (q[order] >= 0)
-        pick = order[shared]
-        yield _rows([(1, k, blob) for k, blob in _requests(deal[pick], ids[pick], tag[pick], q[pick])])
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, Iterator[list[np.ndarray]]]]:
+    """(kind, key, unpacked blobs) of each kind and key, by which rows are sorted. The blobs must be used up before the
+    next key is asked for."""
+    rows = ((k, x, b.column("blob"), i) for b in batches for i, (k, x) in enumerate(zip(b.column("kind").to_pylist(), b.column("key").to_pylist())))
+    head = next(rows, None)
+    while head is not None:
+        now = head[:2]
+
+        def blobs():
+            nonlocal head
+            while head is not None and head[:2] == now:
+                yield head[2][head[3]].as_py()
+                head = next(rows, None)
+
+        yield *now, blobs()
+
+
+def _joined(blobs: Iterator[bytes]) -> list[np.ndarray]:
+    return [np.concatenate(x) for x in zip(*map(unpack, blobs))]
+
+
+def _gram_id(bucket: np.ndarray, rest: np.ndarray, buckets: int) -> np.ndarray:
+    """What a gram is known by: 40 bits of its hash beside its bucket."""
+    return ((rest & np.uint64((1 << 40) - 1)).astype(np.int64)) * buckets + bucket
+
+
+def _want(buckets: int, hot: int):
+    """Kind 0 rows become kind 1: anchors whose gram two documents have, and for every deal the grams with more than `hot`
+    occurrences. Other rows stay as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kind, key, blobs in _by_key(batches):
+            if kind != 0:
+                for blob in blobs:
+                    yield _rows([(kind, key, blob)])
+                continue
+            parts = [(a.astype(np.uint64) | b.astype(np.uint64) << np.uint64(32), np.cumsum(i), t, d, p) for a, b, i, t, d, p in map(unpack, blobs)]
+            h, ids, tag, deal, q = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((ids, h))
+            first, run_ = _groups(h[order])
+            last = np.append(first[1:], len(h)) - 1
+            shared = (ids[order][first] != ids[order][last])[run_] & (q[order] >= 0)
+            pick = order[shared]
+            yield _rows([(1, k, blob) for k, blob in _requests(deal[pick], ids[pick], tag[pick], q[pick])])
+            often = np.add.reduceat(np.where(q[order] >= 0, 1, -q[order].astype(np.int64)), first) > hot
+            if often.any():
+                blob = pack(_gram_id(np.int64(key), h[order][first[often]], buckets))
+                yield _rows([(1, k, blob) for k in range(buckets)])
+
+    return run
 
 
 # --- contexts -------------------------------------------------------------------------------------------------------
 
 
 def _cut_contexts(buckets: int, least: int):
-    """Requests and documents of a deal to rows of kind 2 (contexts, by gram bucket) and 3 (intervals, by document deal)."""
+    """Requests and documents of a deal to rows of kind 2 (contexts, by gram bucket), 3 (intervals, by document deal) and
+    4 (windows of frequent grams, by their own bucket)."""
     before = least - GRAM  # bytes of context ahead of the anchor
     width = before + least
 
-    def send(deal: int, held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        text, left, right, ids, tag, q = (np.concatenate(x) for x in zip(*held))
-        wide = np.zeros((len(text), -(-(width + 2) // 8) * 8), np.uint8)
-        wide[:, :width], wide[:, width], wide[:, width + 1] = text, left, right
+    def settled(wide: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which rows equal one of a smaller id here, and every row's hash."""
+        factors = np.random.default_rng(1).integers(1 << 63, size=(2, wide.shape[1] // 8), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        words = wide.view("<u8")
         with np.errstate(over="ignore"):
-            sums = wide.view("<u8") * np.random.default_rng(1).integers(1 << 62, size=wide.shape[1] // 8, dtype=np.uint64)[None] * np.uint64(2)
-            sums = (wide.view("<u8") ^ (sums >> np.uint64(31))) * np.random.default_rng(2).integers(1 << 63, size=wide.shape[1] // 8, dtype=np.uint64)[None]
-            key = sums.sum(axis=1)
+            key = ((words ^ (words * factors[0] >> np.uint64(31))) * factors[1]).sum(axis=1)
+            key ^= key >> np.uint64(29)
         order = np.lexsort((ids, key))
         first, run = _groups(key[order])
         lead = order[first][run]
         done = np.zeros(len(ids), bool)
         done[order] = (ids[order] > ids[lead]) & (wide[order] == wide[lead]).all(axis=1)
+        return done, key
+
+    def windows(deal: int, text: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.ndarray, tag: np.ndarray, q: np.ndarray) -> list[tuple]:
+        rows = []
+        for at in range(0, len(text), 4096):
+            part = slice(at, at + 4096)
+            fits = (left[part, None] >= before - np.arange(before + 1)) & (right[part, None] >= least - before + np.arange(before + 1))
+            row, c = np.nonzero(fits)
+            each = np.lib.stride_tricks.sliding_window_view(text[part], least, axis=1)[row, c]
+            wide = np.zeros((len(each), -(-least // 8) * 8), np.uint8)
+            wide[:, :least] = each
+            i, g, p = ids[part][row], tag[part][row], (q[part][row] - before + c).astype(np.int32)
+            done, key = settled(wide, i)
+            if done.any():
+                rows.append((3, deal, pack(i[done], g[done], p[done], p[done] + np.int32(least))))
+            keep = ~done
+            for b, (x, y, z, w) in _dealt((key[keep] % np.uint64(buckets)).astype(np.int64), (each[keep], i[keep], g[keep], p[keep])):
+                rows.append((4, b, pack(x, y, z, w, np.full(len(y), deal, np.int32))))
+        return rows
+
+    def send(deal: int, held: list[tuple[np.ndarray, ...]], often: np.ndarray) -> pa.RecordBatch:
+        text, left, right, ids, tag, q = (np.concatenate(x) for x in zip(*held))
+        wide = np.zeros((len(text), -(-(width + 2) // 8) * 8), np.uint8)
+        wide[:, :width], wide[:, width], wide[:, width + 1] = text, left, right
+        done, _ = settled(wide, ids)
         rows = []
         if done.any():
             rows.append((3, deal, pack(ids[done], tag[done], (q - left)[done], (q + right)[done])))
         grams = np.ascontiguousarray(text[:, before : before + GRAM]).view("<u8")
         h = _gram_hash((grams[:, 0], grams[:, 1]))
-        keep = np.nonzero(~done)[0]
+        bucket = (h % np.uint64(buckets)).astype(np.int64)
+        frequent = np.isin(_gram_id(bucket, h // np.uint64(buckets), buckets), often)
+        if (split := np.nonzero(~done & frequent)[0]).size:
+            rows += windows(deal, *(a[split] for a in (text, left, right, ids, tag, q)))
+        keep = np.nonzero(~done & ~frequent)[0]
         keep = keep[np.argsort(h[keep], kind="stable")]
-        bucket = (h[keep] % np.uint64(buckets)).astype(np.int64)
+        bucket = bucket[keep]
         for b, (t, l, r, i, g, p) in _dealt(bucket, tuple(a[keep] for a in (text, left, right, ids, tag, q))):
             rows.append((2, b, pack(t, l, r, i, g, p, np.full(len(i), deal, np.int32))))
         return _rows(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for deal, wanted, docs in _by_deal(batches):
-            ids, tag, q = (np.concatenate(x) for x in zip(*((np.cumsum(i), t, np.cumsum(p)) for i, t, p in wanted))) if wanted else (np.array([], np.int64),) * 3
+            often = np.concatenate([np.array([], np.int64), *(w[0] for w in wanted if len(w) == 1)])
+            asked = [(np.cumsum(w[0]), w[1], np.cumsum(w[2])) for w in wanted if len(w) == 3]
+            ids, tag, q = (np.concatenate(x) for x in zip(*asked)) if asked else (np.array([], np.int64),) * 3
             where = _spots(ids, tag)
             held, size = [], 0
             for doc_id, t, text in docs:
@@ -258,10 +309,10 @@ def _cut_contexts(buckets: int, least: int):
                 cut = np.lib.stride_tricks.sliding_window_view(padded, width)[p]
                 held.append((cut, np.minimum(p, before).astype(np.uint8), np.minimum(len(text) - p, least).astype(np.uint8), np.full(len(p), doc_id), np.full(len(p), t, np.uint32), p.astype(np.int32)))
                 if (size := size + len(p)) >= CONTEXTS:
-                    yield send(deal, held)
+                    yield send(deal, held, often)
                     held, size = [], 0
             if held:
-                yield send(deal, held)
+                yield send(deal, held, often)
 
     return run
 
@@ -365,15 +416,27 @@ def repeats(text: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.ndarr
 
 
 def _settle(least: int):
-    """Kind 2 rows, by gram bucket, become kind 3."""
+    """Contexts (kind 2) and windows (kind 4) of a bucket become intervals (kind 3)."""
     before = least - GRAM
 
+    def equal(window: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Which windows also are of a smaller id."""
+        wide = np.zeros((len(window), -(-least // 8) * 8), np.uint8)
+        wide[:, :least] = window
+        order = np.lexsort((ids, *wide.view("<u8").T))
+        first, run = _groups(_rank(list(wide.view("<u8").T))[order])
+        out = np.empty(len(ids), bool)
+        out[order] = ids[order] > ids[order][first][run]
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, got in _by_key(batches, 2):
-            if key is None:
-                yield got
+        for kind, _, blobs in _by_key(batches):
+            if kind == 4:
+                window, ids, tag, p, deal = _joined(blobs)
+                hit = equal(window, ids)
+                yield _rows([(3, k, pack(i, t, a, a + np.int32(least))) for k, (i, t, a) in _dealt(deal[hit].astype(np.int64), (ids[hit], tag[hit], p[hit]))])
                 continue
-            text, left, right, ids, tag, q, deal = (np.concatenate(x) for x in zip(*got))
+            text, left, right, ids, tag, q, deal = _joined(blobs)
             grams = np.ascontiguousarray(text[:, before : before + GRAM]).view("<u8")
             h = _gram_hash((grams[:, 0], grams[:, 1]))
             order = np.lexsort((ids, h))
@@ -427,12 +490,13 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield send(rows)
 
 
-def dedup(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """Rows (doc_id, n_bytes, spans array<struct<start, end>>, kept binary), one per input row: the removed byte runs and
     the bytes that stay, of the text's UTF-8.
 
     Null text is empty; texts below `least` bytes stay whole. A row without doc_id has no smaller one and is smaller than
-    none: it stays whole. Rows that share a doc_id don't remove each other's strings. least is 24 at least.
+    none: it stays whole. Rows that share a doc_id don't remove each other's strings. least is 24 at least. Grams with more
+    than `hot` occurrences, and than there are buckets, are split; it changes no result.
     """
     if not GRAM + 8 <= least <= 128:
         raise ValueError(f"least must be from {GRAM + 8} to 128")
@@ -445,8 +509,9 @@ def dedup(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col:
         F.expr(f"CAST(pmod(xxhash64({id_col}), {buckets}) AS INT)").alias("deal"), F.col(id_col).cast("long").alias("doc_id"),
         F.xxhash64(text).bitwiseAND(F.lit(4294967295)).alias("tag"), text.cast("binary").alias("text"),
     )
+    hot = max(hot, buckets)
     found = rows.filter(f"doc_id IS NOT NULL AND octet_length(text) >= {least}").mapInArrow(_find_anchors(buckets, least), BLOBS)
-    wanted = materialize(found.repartition(buckets, "kind", "key").sortWithinPartitions("kind", "key").mapInArrow(_want, BLOBS), "anchors")
+    wanted = materialize(found.repartition(buckets, "kind", "key").sortWithinPartitions("kind", "key").mapInArrow(_want(buckets, hot), BLOBS), "anchors")
 
     def with_docs(blobs: DataFrame) -> DataFrame:
         side = blobs.select(F.col("key").alias("deal"), "blob", F.expr("CAST(NULL AS BIGINT)").alias("doc_id"), F.expr("CAST(NULL AS BIGINT)").alias("tag"), F.expr("CAST(NULL AS BINARY)").alias("text"))
@@ -454,7 +519,7 @@ def dedup(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col:
         return both.repartition(buckets, "deal").sortWithinPartitions("deal", F.expr("blob IS NULL"))
 
     cut = materialize(with_docs(wanted).mapInArrow(_cut_contexts(buckets, least), BLOBS), "contexts")
-    contexts = cut.filter("kind = 2").repartition(buckets, "key").sortWithinPartitions("key").mapInArrow(_settle(least), BLOBS)
+    contexts = cut.filter("kind <> 3").repartition(buckets, "kind", "key").sortWithinPartitions("kind", "key").mapInArrow(_settle(least), BLOBS)
     gone = materialize(contexts, "repeats").unionByName(cut.filter("kind = 3"))
     return with_docs(gone).mapInArrow(_cut_out, "doc_id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
 

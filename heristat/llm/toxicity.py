@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame, functions as F
 from heristat.llm.common import slices, utf8
 
 #: At most so many labelled rows are fitted on: those with the least hash of their id.
-SAMPLE = 3000
+SAMPLE = 4000
 #: A feature counts if so many documents of the sample have it, and at most this share of them.
 MIN_DOCS, MAX_SHARE = 5, 0.25
-L1, STEPS = 5e-4, 300
+L1, STEPS = 5e-4, 600
 #: Lengths, in bytes, of the word beginnings that are features.
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: P(grade >= 1) from which a document counts as toxic; on held-out rows clean documents stay well below.
-THRESHOLD = 0.25
+THRESHOLD = 0.3
 
 #: Everything but letters becomes a space; bytes above ASCII count as letters.
 _LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -76,7 +76,7 @@ class OrdinalModel:
         return _sigmoid(score - self.cuts)
 
 
-def fit(texts: list[bytes], grades: list[int], min_docs: int = MIN_DOCS, l1: float = L1, steps: int = STEPS) -> OrdinalModel:
+def fit(texts: list[bytes], grades: list[int], min_docs: int = MIN_DOCS, l1: float = L1, steps: int = STEPS, max_share: float = MAX_SHARE) -> OrdinalModel:
     """Grades 0, 1, ..., K; with fewer than two distinct grades the model gives the constant one it saw (none: 0)."""
     top = max(grades, default=0)
     if len(set(grades)) < 2:
@@ -84,7 +84,7 @@ def fit(texts: list[bytes], grades: list[int], min_docs: int = MIN_DOCS, l1: flo
     seen: Counter = Counter()
     for t in texts:
         seen.update(features(words(t)).keys())
-    vocab = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if min_docs <= n <= MAX_SHARE * len(texts)))}
+    vocab = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if min_docs <= n <= max_share * len(texts)))}
     del seen
     row, col, val = array("q"), array("q"), array("d")
     for i, t in enumerate(texts):
@@ -99,7 +99,8 @@ def fit(texts: list[bytes], grades: list[int], min_docs: int = MIN_DOCS, l1: flo
     probe = np.ones(v)  # power iteration for the curvature's bound
     for _ in range(20):
         probe = np.bincount(col, val * np.bincount(row, val * probe[col], minlength=n)[row], minlength=v)
-        probe /= (size := max(float(np.linalg.norm(probe)), 1e-12))
+        size = max(float(np.linalg.norm(probe)), 1e-12)
+        probe = probe / size
     rate = 2.0 * n / max(size, 1.0)
 
     def gradient(w, cuts):

@@ -452,7 +452,7 @@ def decode(data: bytes) -> np.ndarray:
 
 # --- code lengths ---------------------------------------------------------------------------------------------------
 
-MAX_BITS = 12
+MAX_BITS = 15  # the format's
 #: The lengths' own code, the same in every stream: 13 symbols of four bits, six of five.
 META_LENGTHS = np.array([4, 5, 5, 4, 4, 4, 4, 4, 4, 4, 4, 4, 5, 5, 5, 5, 4, 4, 4], np.uint8)
 
@@ -644,6 +644,7 @@ def encode(argb: np.ndarray, transforms: tuple[tuple, ...] = (), cache_bits: int
     bits.write(1 | cache_bits << 1 if cache_bits else 0, 5 if cache_bits else 1)
     bits.write(meta is not None, 1)
     if meta is not None:
+        meta = meta[:, : _tiles(argb.shape[1], meta_bits)]  # colour indexing may have made the image narrower
         bits.write(meta_bits - 2, 3)
         _write_sub_image(bits, (meta.astype(np.uint32) << 8) | np.uint32(0xFF000000))
     _write_pixels(bits, argb, cache_bits, meta, meta_bits)
