@@ -97,12 +97,12 @@ def fit(spark: SparkSession, inputs: Inputs, settings: Settings) -> Result:
         for b in batches:
             dosage = b.column("dosage")
             out = [dosage[k].values.take(pa.array(rows.value)) for k in range(b.num_rows)]
-            flat = pa.concat_arrays(out) if out else pa.array([], pa.int32())
+            flat = pa.concat_arrays(out) if out else pa.array([], pa.int8())
             size = len(rows.value)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * size), flat)
             yield pa.RecordBatch.from_arrays([b.column("m"), lists], ["m", "dosage"])
 
-    snps = inputs.snps.select("m", "dosage").mapInArrow(pick, "m long, dosage array<int>") if gone else inputs.snps
+    snps = inputs.snps.select("m", F.col("dosage").cast("array<tinyint>").alias("dosage")).mapInArrow(pick, "m long, dosage array<tinyint>") if gone else inputs.snps
     annot = inputs.annot if inputs.annot is not None else files.random_bins(snps.select("m"), settings.num_bin, settings.seed)
     bins = annot.agg(F.max("bin")).first()[0] + 1
     model = settings.genie_model if settings.model == "genie" else settings.model

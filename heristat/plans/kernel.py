@@ -202,7 +202,7 @@ def solve(t: np.ndarray, q: np.ndarray, method: str = "qr") -> np.ndarray:
     return np.linalg.lstsq(t, q, rcond=None)[0]
 
 
-ROW = "block long, m long, dosage array<int>, bins array<int>"
+ROW = "block long, m long, dosage array<tinyint>, bins array<int>"
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, list[int]]]:
@@ -304,4 +304,4 @@ def as_rows(geno: DataFrame, annot: DataFrame, blocks: int, n_snps: int) -> Data
     from heristat.operators.layout import block_of
 
     bins = annot.groupBy("m").agg(F.collect_set(F.col("bin").cast("int")).alias("bins"))
-    return snp_major(geno).join(bins, "m", "left").select(block_of(F.col("m"), n_snps, blocks).alias("block"), "m", F.col("dosage").cast("array<int>").alias("dosage"), "bins")
+    return snp_major(geno).join(bins, "m", "left").select(block_of(F.col("m"), n_snps, blocks).alias("block"), "m", F.col("dosage").cast("array<tinyint>").alias("dosage"), "bins")

@@ -17,7 +17,7 @@ MAGIC = b"\x6c\x1b\x01"
 #: Two bits to an allele count; -1 is missing.
 COUNTS = np.array([2, -1, 1, 0], np.int8)
 RANGE = 256  # SNPs a partition, unless asked otherwise
-SCHEMA = "m long, dosage array<int>"
+SCHEMA = "m long, dosage array<tinyint>"
 
 
 def _open(uri: str):
@@ -71,7 +71,7 @@ class _Reader(DataSourceReader):
         counts = decode(raw, self.n)
         if self.flip:
             counts = np.where(counts < 0, counts, 2 - counts)
-        flat = pa.array(counts.ravel().astype(np.int32), mask=counts.ravel() < 0)
+        flat = pa.array(counts.ravel(), mask=counts.ravel() < 0)
         rows = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * self.n), flat)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(part.start, part.end), pa.int64()), rows], ["m", "dosage"])
 
