@@ -81,11 +81,15 @@ def fit(texts: list[bytes], grades: list[int], min_docs: int = MIN_DOCS, l1: flo
     top = max(grades, default=0)
     if len(set(grades)) < 2:
         return OrdinalModel({}, np.array([-40.0] * top or [40.0]))
+    # most features are rare: counts by hash rule those out before any is kept by name
+    hashed = np.zeros(1 << 22, np.int32)
+    for t in texts:
+        hashed[np.unique([hash(w) & (len(hashed) - 1) for w in features(words(t))] or [0])] += 1
     seen: Counter = Counter()
     for t in texts:
-        seen.update(features(words(t)).keys())
+        seen.update(w for w in features(words(t)) if hashed[hash(w) & (len(hashed) - 1)] >= min_docs)
     vocab = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if min_docs <= n <= max_share * len(texts)))}
-    del seen
+    del seen, hashed
     row, col, val = array("q"), array("q"), array("d")
     for i, t in enumerate(texts):
         for w, n in features(words(t)).items():
@@ -129,11 +133,16 @@ def grades(texts: list[bytes], toxic: list[int]) -> list[int]:
     """Severity grades 0, 1, 2 from 0/1 labels: a toxic text is 2 if the share in its words of features that mark toxic texts is above
     the median of toxic texts, else 1. A feature marks them if it is in at least MIN_DOCS of them and, by document, ten times
     as frequent as in others."""
-    of: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    of = {0: Counter(), 1: Counter()}
+    for t, x in zip(texts, toxic):
+        if x:
+            of[1].update(features(words(t)).keys())
+    often = {w for w, k in of[1].items() if k >= MIN_DOCS}
     for t, x in zip(texts, toxic):
-        of[x].update(features(words(t)).keys())
+        if not x:
+            of[0].update(often & features(words(t)).keys())
     n = {k: sum(x == k for x in toxic) + 1 for k in (0, 1)}
-    marks = {w for w, k in of[1].items() if k >= MIN_DOCS and (k + 0.5) / n[1] >= 10 * (of[0][w] + 0.5) / n[0]}
+    marks = {w for w in often if (of[1][w] + 0.5) / n[1] >= 10 * (of[0][w] + 0.5) / n[0]}
     share = []
     for t, x in zip(texts, toxic):
         found = words(t) if x else []
