@@ -73,11 +73,12 @@ def convert(text: str, default):
     return type(default)(text) if isinstance(default, (int, float)) else text
 
 
-def read_config(path: str, defaults: dict, section: str = "PyRHE_Config") -> dict:
+def read_config(path: str, defaults: dict, section: str | None = None) -> dict:
+    """defaults with what a section (none named: the first) of an INI file says."""
     parser = configparser.ConfigParser()
     with open(path) as f:
         parser.read_file(f)
-    found = parser[section]
+    found = parser[section or parser.sections()[0]]
     return defaults | {k: convert(found[k], defaults[k]) for k in defaults if k in found}
 
 

@@ -38,7 +38,7 @@ def test_text_readers(spark, tmp_path):
 
 
 def test_config(tmp_path):
-    c = write(tmp_path / "c.ini", "[PyRHE_Config]\nnum_vec = 7\nstreaming = yes\ncovariate = None\nrate = 0.5\nother = x\n")
+    c = write(tmp_path / "c.ini", "[settings]\nnum_vec = 7\nstreaming = yes\ncovariate = None\nrate = 0.5\nother = x\n")
     assert files.read_config(c, {"num_vec": 1, "streaming": False, "covariate": "a", "rate": 1.0}) == {"num_vec": 7, "streaming": True, "covariate": None, "rate": 0.5}
 
 
