@@ -31,6 +31,11 @@ def counts_left_out(annot: DataFrame, n_snps: int, blocks: int) -> DataFrame:
     return left.unionByName(bin_sizes(annot).select(F.lit(blocks).cast("bigint").alias("j"), "bin", "n"))
 
 
+def without_block(annot: DataFrame, block: int, n_snps: int, blocks: int) -> DataFrame:
+    """annot without the SNPs of a block; a block beyond the last leaves all in."""
+    return annot.filter(block_of(F.col("m"), n_snps, blocks) != block)
+
+
 def leave_one_out(parts: DataFrame, keys: list[str], value: str, block: str = "j") -> DataFrame:
     """parts, one row for each key and block, with value replaced by the key's total without the row's block."""
     total = F.sum(value).over(W.partitionBy(*keys))

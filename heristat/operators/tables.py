@@ -58,6 +58,11 @@ def gram(rows: DataFrame, left: list[str], right: list[str]) -> np.ndarray:
     return np.array([x or 0.0 for x in got], float).reshape(len(left), len(right))
 
 
+def rank(rows: DataFrame, columns: list[str]) -> int:
+    """Rank of the columns as a matrix, from their products."""
+    return int(np.linalg.matrix_rank(gram(rows, columns, columns), hermitian=True))
+
+
 def residualize(rows: DataFrame, covariates: list[str], value: str = "y") -> DataFrame:
     """rows with value - C (C'C)^+ C' value; no intercept is added."""
     beta = np.linalg.pinv(gram(rows, covariates, covariates)) @ gram(rows, covariates, [value])[:, 0]

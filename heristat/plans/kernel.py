@@ -235,7 +235,8 @@ def run(spark: SparkSession, snps: DataFrame, study: Study) -> tuple[np.ndarray,
         kinds = (pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["k", "at", "xx", "yy", "n"])
 
-    partial = snps.mapInArrow(first, "k int, at long, xx array<double>, yy array<double>, n long")
+    # a task returns K sums of N x B numbers however few SNPs it has: no more tasks than run at once
+    partial = snps.coalesce(spark.sparkContext.defaultParallelism).mapInArrow(first, "k int, at long, xx array<double>, yy array<double>, n long")
 
     def add(pdf):
         return pdf.iloc[:1].assign(xx=[np.sum(np.stack(pdf.xx.to_list()), axis=0)], yy=[np.sum(np.stack(pdf.yy.to_list()), axis=0)], n=int(pdf.n.sum()))

@@ -75,6 +75,13 @@ def ld_sum(trace: Column, n: Column, m1: Column, m2: Column) -> Column:
     return (trace - n) * m1 * m2 / (n * n)
 
 
+def xtxz(geno: DataFrame, n_vectors: int, seed: int) -> DataFrame:
+    """(m, b, u): u = X'X z_b over raw counts, z over SNPs. Its squares' sum is what global_trace() scales."""
+    z = geno.select("m").distinct().select("m", F.explode(F.sequence(F.lit(0), F.lit(n_vectors - 1))).alias("b")).select("m", F.col("b").cast("bigint").alias("b"), gaussian(seed, F.col("m"), F.col("b")).alias("z"))
+    w = geno.join(z, "m").groupBy("i", "b").agg(F.sum(F.col("d") * F.col("z")).alias("w"))
+    return geno.join(w, "i").groupBy("m", "b").agg(F.sum(F.col("d") * F.col("w")).alias("u"))
+
+
 def global_trace(geno: DataFrame, n_vectors: int, seed: int, blocks: int | None = None, n_snps: int = 0) -> DataFrame:
     """Trace of (X'X)^2 / M^2 over raw counts from vectors z over SNPs: sum_b |X'X z_b|^2 / (B M^2); with blocks also
     without each block's SNPs (j; j = blocks keeps all)."""

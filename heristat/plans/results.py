@@ -51,3 +51,8 @@ def differences(a: DataFrame, b: DataFrame, keys: list[str], limit: float = 0.1)
     """Keys for which two engines' values differ by more than limit."""
     both = a.select(*keys, F.col("value").alias("a")).join(b.select(*keys, F.col("value").alias("b")), keys)
     return both.withColumn("diff", F.abs(F.col("a") - F.col("b"))).filter(F.col("diff") > limit)
+
+
+def summarize_runs(runs: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, mean, sd, n) of repeated measurements; sd is that of the population."""
+    return runs.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.count(value).alias("n"))

@@ -339,6 +339,43 @@ def xtxz_trace(spark, d):
     return M.global_trace(X.geno(spark, d), B, X.SEED, J, X.SNPS).select("j", *r6("trace", digits=3))
 
 
+@query(sql("SELECT m, b, round(sum(d * w), 3) AS u FROM geno JOIN (SELECT i, b, sum(d * z) AS w FROM geno JOIN (SELECT range AS m, b, " + gauss(X.SEED, "range || chr(58) || b") + f" AS z FROM range({X.SNPS}), range({B}) r(b)) USING (m) GROUP BY i, b) USING (i) GROUP BY m, b", "geno"))
+def xtxz_vectors(spark, d):
+    return M.xtxz(X.geno(spark, d), B, X.SEED).select("m", "b", *r6("u", digits=3))
+
+
+@query(sql("SELECT m, bin FROM three JOIN blk USING (m) WHERE j <> 9", "three", "blk"))
+def leave_block_out(spark, d):
+    return L.without_block(X.annot_overlap(spark), 9, X.SNPS, J)
+
+
+@query(sql(f"SELECT m, CASE WHEN u < (1 - p) * (1 - p) THEN 0 WHEN u < (1 - p) * (1 - p) + 2 * p * (1 - p) THEN 1 ELSE 2 END AS d FROM (SELECT m, mu / 2 AS p, {_U} AS u FROM mu)", "mu"))
+def allele_draw(spark, d):
+    from heristat.functions.rng import hwe_draw, uniform
+
+    return G.allele_means(X.geno(spark, d)).select("m", hwe_draw(uniform(5, F.col("m")), F.col("mu") / 2).alias("d"))
+
+
+@query("SELECT o_orderpriority, round(avg(o_totalprice), 4) AS mean, round(stddev_pop(o_totalprice), 4) AS sd, count(*) AS n FROM orders GROUP BY o_orderpriority")
+def run_summary(spark, d):
+    return R.summarize_runs(X.table(spark, d, "orders"), ["o_orderpriority"], "o_totalprice").select("o_orderpriority", *r6("mean", "sd", digits=4), "n")
+
+
+@query("SELECT 3 AS rank")
+def cov_rank(spark, d):
+    c = X.covariates(spark, d).withColumn("twice", F.col("c1") * 2)
+    return spark.createDataFrame([(T.rank(c, ["c0", "c1", "c2", "twice"]),)], "rank int")
+
+
+@query("SELECT m, sum(d)::BIGINT AS d, any_value(least(mu / 2, 1 - mu / 2) > 0.3) AS common FROM (SELECT l_partkey AS m, o_custkey AS i, least(count(*), 2) AS d FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL) JOIN (SELECT l_partkey AS m, sum(d) / (SELECT count(*) FROM customer)::DOUBLE AS mu FROM (SELECT l_partkey, o_custkey, least(count(*), 2) AS d FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL) GROUP BY l_partkey) USING (m) GROUP BY m")
+def sparse_counts(spark, d):
+    """Allele counts of a sparse genotype: customers by parts, absent pairs being 0."""
+    g = X.table(spark, d, "orders").join(X.table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("i"), F.col("l_partkey").alias("m")).agg(F.least(F.count(F.lit(1)), F.lit(2)).alias("d"))
+    n = X.table(spark, d, "customer").agg(F.count(F.lit(1)).cast("double").alias("n"))  # one row
+    half = F.col("d") / F.col("n") / 2
+    return g.groupBy("m").agg(F.sum("d").cast("long").alias("d")).crossJoin(F.broadcast(n)).select("m", "d", (F.least(half, 1 - half) > 0.3).alias("common"))
+
+
 # --- models, by the Arrow kernels -----------------------------------------------------------------------------------------
 
 
