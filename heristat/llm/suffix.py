@@ -5,7 +5,7 @@ A byte goes if a string of `least` bytes that covers it also starts in a documen
 1. Anchors. Every window of `least` bytes holds `least - gram + 1` grams; the one with the least hash is the window's
    anchor, so equal windows have equal anchors at equal offsets, and a document has few anchors. Anchors whose gram
    occurs in two documents are wanted; all other text is out.
-2. Contexts. Of each wanted anchor the bytes that its windows can cover are cut out of the whole text and sent to the
+2. Contexts. Of each wanted anchor the bytes that its own windows cover are cut out of the whole text and sent to the
    bucket of its gram. Contexts that are equal within a batch are settled there: all but those with the batch's smallest
    id go whole. A context that a third of all documents hold is thus sent once per batch.
 3. Suffix sorting of a bucket. The suffixes of the contexts that start in one column are sorted at a time. Those that tie
@@ -32,9 +32,11 @@ from heristat.llm.common import materialize, partitions, slices
 
 LEAST, GRAM = 50, 16
 #: Bytes of text for each bucket, of text hashed at a time, and of text after which a batch is sent.
-BUCKET_BYTES, SLICE_BYTES, BATCH_BYTES = 8 << 20, 1 << 20, 12 << 20
+BUCKET_BYTES, SLICE_BYTES, BATCH_BYTES = 16 << 20, 1 << 20, 12 << 20
 CONTEXTS = 50_000
-HOT = 1000
+HOT = 10_000
+#: Buckets of contexts for each bucket of anchors.
+FINER = 2
 #: Contexts whose suffixes are sorted together.
 BLOCK = 8192
 COVER, RESIDUES = 16, (0, 1, 2, 5, 8)  # every difference mod 16 is one of two of these residues
@@ -117,6 +119,25 @@ def anchors(text: bytes, starts: np.ndarray, ends: np.ndarray, least: int = LEAS
     return at, hashes[at]
 
 
+def own_windows(text: np.ndarray, left: np.ndarray, right: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """left and right of contexts (rows, the anchor's gram in column least - GRAM) cut down to the windows whose least gram
+    the anchor is; a window is of its anchor alone then. They are next to each other. Where there is none, right is 0."""
+    before, width = least - GRAM, text.shape[1]
+    left, right = left.astype(np.int64), right.astype(np.int64)
+    for at in range(0, len(text), 8192):
+        part = slice(at, at + 8192)
+        raw = np.ascontiguousarray(text[part])
+        words = np.ndarray((len(raw), width - 7), "<u8", np.concatenate([raw.ravel(), np.zeros(8, np.uint8)]), strides=(width, 1))
+        order = (_gram_hash((words[:, : width - GRAM + 1], words[:, 8 : width - GRAM + 9])) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        lower = order < order[:, before, None]
+        ahead = np.argmax(np.concatenate([lower[:, :before][:, ::-1], np.ones((len(raw), 1), bool)], axis=1), axis=1)
+        behind = np.argmax(np.concatenate([lower[:, before + 1 :], np.ones((len(raw), 1), bool)], axis=1), axis=1)
+        most = np.minimum(left[part], ahead)
+        fewest = np.maximum(np.maximum(before - behind, least - right[part]), 0)
+        left[part], right[part] = most, np.where(most >= fewest, least - fewest, 0)
+    return left.astype(np.uint8), right.astype(np.uint8)
+
+
 def _groups(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First position of each run of equal keys, and each position's run."""
     new = np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])
@@ -234,61 +255,71 @@ def _want(buckets: int, hot: int):
 # --- contexts -------------------------------------------------------------------------------------------------------
 
 
+def _framed(text: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """Rows of bytes, more columns of bytes behind them, filled up to whole words."""
+    width = text.shape[1]
+    wide = np.zeros((len(text), -(-(width + len(more)) // 8) * 8), np.uint8)
+    wide[:, :width] = text
+    for k, a in enumerate(more):
+        wide[:, width + k] = a
+    return wide
+
+
+def _settled(wide: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows equal one of a smaller id, and every row's hash."""
+    factors = np.random.default_rng(1).integers(1 << 63, size=(2, wide.shape[1] // 8), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    words = wide.view("<u8")
+    with np.errstate(over="ignore"):
+        key = ((words ^ (words * factors[0] >> np.uint64(31))) * factors[1]).sum(axis=1)
+        key ^= key >> np.uint64(29)
+    order = np.lexsort((ids, key))
+    first, run = _groups(key[order])
+    lead = order[first][run]
+    done = np.zeros(len(ids), bool)
+    done[order] = (ids[order] > ids[lead]) & (wide[order] == wide[lead]).all(axis=1)
+    return done, key
+
+
 def _cut_contexts(buckets: int, least: int):
     """Requests and documents of a deal to rows of kind 2 (contexts, by gram bucket), 3 (intervals, by document deal) and
     4 (windows of frequent grams, by their own bucket)."""
     before = least - GRAM  # bytes of context ahead of the anchor
     width = before + least
 
-    def settled(wide: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which rows equal one of a smaller id here, and every row's hash."""
-        factors = np.random.default_rng(1).integers(1 << 63, size=(2, wide.shape[1] // 8), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        words = wide.view("<u8")
-        with np.errstate(over="ignore"):
-            key = ((words ^ (words * factors[0] >> np.uint64(31))) * factors[1]).sum(axis=1)
-            key ^= key >> np.uint64(29)
-        order = np.lexsort((ids, key))
-        first, run = _groups(key[order])
-        lead = order[first][run]
-        done = np.zeros(len(ids), bool)
-        done[order] = (ids[order] > ids[lead]) & (wide[order] == wide[lead]).all(axis=1)
-        return done, key
-
     def windows(deal: int, text: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.ndarray, tag: np.ndarray, q: np.ndarray) -> list[tuple]:
-        rows = []
-        for at in range(0, len(text), 4096):
-            part = slice(at, at + 4096)
-            fits = (left[part, None] >= before - np.arange(before + 1)) & (right[part, None] >= least - before + np.arange(before + 1))
-            row, c = np.nonzero(fits)
-            each = np.lib.stride_tricks.sliding_window_view(text[part], least, axis=1)[row, c]
-            wide = np.zeros((len(each), -(-least // 8) * 8), np.uint8)
-            wide[:, :least] = each
-            i, g, p = ids[part][row], tag[part][row], (q[part][row] - before + c).astype(np.int32)
-            done, key = settled(wide, i)
-            if done.any():
-                rows.append((3, deal, pack(i[done], g[done], p[done], p[done] + np.int32(least))))
-            keep = ~done
-            for b, (x, y, z, w) in _dealt((key[keep] % np.uint64(buckets)).astype(np.int64), (each[keep], i[keep], g[keep], p[keep])):
-                rows.append((4, b, pack(x, y, z, w, np.full(len(y), deal, np.int32))))
+        c = np.arange(before + 1)
+        row, c = np.nonzero((left[:, None] >= before - c) & (right[:, None] >= least - before + c))
+        each = np.lib.stride_tricks.sliding_window_view(text, least, axis=1)[row, c]
+        i, g, p = ids[row], tag[row], (q[row] - before + c).astype(np.int32)
+        done, key = _settled(_framed(each), i)
+        rows = [(3, deal, pack(i[done], g[done], p[done], p[done] + np.int32(least)))] if done.any() else []
+        keep = ~done
+        for b, (x, y, z, w) in _dealt((key[keep] % np.uint64(buckets)).astype(np.int64), (each[keep], i[keep], g[keep], p[keep])):
+            rows.append((4, b, pack(x, y, z, w, np.full(len(y), deal, np.int32))))
         return rows
 
     def send(deal: int, held: list[tuple[np.ndarray, ...]], often: np.ndarray) -> pa.RecordBatch:
         text, left, right, ids, tag, q = (np.concatenate(x) for x in zip(*held))
-        wide = np.zeros((len(text), -(-(width + 2) // 8) * 8), np.uint8)
-        wide[:, :width], wide[:, width], wide[:, width + 1] = text, left, right
-        done, _ = settled(wide, ids)
+        left, right = own_windows(text, left, right, least)
+        own = right > 0
+        text, left, right, ids, tag, q = (a[own] for a in (text, left, right, ids, tag, q))
+        grams = np.ascontiguousarray(text[:, before : before + GRAM]).view("<u8")
+        h = _gram_hash((grams[:, 0], grams[:, 1]))
+        column = np.arange(width)
+        text = np.where((column >= before - left[:, None]) & (column < before + right[:, None]), text, 0).astype(np.uint8)
+        if not len(text):
+            return _rows([])
+        done, _ = _settled(_framed(text, left, right), ids)
         rows = []
         if done.any():
             rows.append((3, deal, pack(ids[done], tag[done], (q - left)[done], (q + right)[done])))
-        grams = np.ascontiguousarray(text[:, before : before + GRAM]).view("<u8")
-        h = _gram_hash((grams[:, 0], grams[:, 1]))
         bucket = (h % np.uint64(buckets)).astype(np.int64)
         frequent = np.isin(_gram_id(bucket, h // np.uint64(buckets), buckets), often)
         if (split := np.nonzero(~done & frequent)[0]).size:
             rows += windows(deal, *(a[split] for a in (text, left, right, ids, tag, q)))
         keep = np.nonzero(~done & ~frequent)[0]
         keep = keep[np.argsort(h[keep], kind="stable")]
-        bucket = bucket[keep]
+        bucket = (h[keep] % np.uint64(FINER * buckets)).astype(np.int64)
         for b, (t, l, r, i, g, p) in _dealt(bucket, tuple(a[keep] for a in (text, left, right, ids, tag, q))):
             rows.append((2, b, pack(t, l, r, i, g, p, np.full(len(i), deal, np.int32))))
         return _rows(rows)
@@ -416,13 +447,12 @@ def repeats(text: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.ndarr
 
 
 def _settle(least: int):
-    """Contexts (kind 2) and windows (kind 4) of a bucket become intervals (kind 3)."""
+    """Contexts (kind 2) and windows (kind 4) of a bucket become intervals (kind 3), which stay as they are."""
     before = least - GRAM
 
     def equal(window: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Which windows also are of a smaller id."""
-        wide = np.zeros((len(window), -(-least // 8) * 8), np.uint8)
-        wide[:, :least] = window
+        wide = _framed(window)
         order = np.lexsort((ids, *wide.view("<u8").T))
         first, run = _groups(_rank(list(wide.view("<u8").T))[order])
         out = np.empty(len(ids), bool)
@@ -430,13 +460,21 @@ def _settle(least: int):
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for kind, _, blobs in _by_key(batches):
+        for kind, key, blobs in _by_key(batches):
+            if kind == 3:
+                for blob in blobs:
+                    yield _rows([(3, key, blob)])
+                continue
             if kind == 4:
                 window, ids, tag, p, deal = _joined(blobs)
                 hit = equal(window, ids)
                 yield _rows([(3, k, pack(i, t, a, a + np.int32(least))) for k, (i, t, a) in _dealt(deal[hit].astype(np.int64), (ids[hit], tag[hit], p[hit]))])
                 continue
             text, left, right, ids, tag, q, deal = _joined(blobs)
+            whole, _ = _settled(_framed(text, left, right), ids)  # equal contexts of several batches: the smallest id stands for all
+            start, end = q - left.astype(np.int32), q + right.astype(np.int32)
+            yield _rows([(3, k, pack(i, t, a, b)) for k, (i, t, a, b) in _dealt(deal[whole].astype(np.int64), (ids[whole], tag[whole], start[whole], end[whole]))])
+            text, left, right, ids, tag, q, deal = (a[~whole] for a in (text, left, right, ids, tag, q, deal))
             grams = np.ascontiguousarray(text[:, before : before + GRAM]).view("<u8")
             h = _gram_hash((grams[:, 0], grams[:, 1]))
             order = np.lexsort((ids, h))
@@ -518,9 +556,8 @@ def dedup(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col:
         both = side.unionByName(rows.withColumn("blob", F.expr("CAST(NULL AS BINARY)")))
         return both.repartition(buckets, "deal").sortWithinPartitions("deal", F.expr("blob IS NULL"))
 
-    cut = materialize(with_docs(wanted).mapInArrow(_cut_contexts(buckets, least), BLOBS), "contexts")
-    contexts = cut.filter("kind <> 3").repartition(buckets, "kind", "key").sortWithinPartitions("kind", "key").mapInArrow(_settle(least), BLOBS)
-    gone = materialize(contexts, "repeats").unionByName(cut.filter("kind = 3"))
+    cut = with_docs(wanted).mapInArrow(_cut_contexts(buckets, least), BLOBS)
+    gone = materialize(cut.repartition(buckets, "kind", "key").sortWithinPartitions("kind", "key").mapInArrow(_settle(least), BLOBS), "repeats")
     return with_docs(gone).mapInArrow(_cut_out, "doc_id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
 
 
