@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from heristat.llm.common import materialize, partitions, slices
 
@@ -245,36 +245,30 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, small: int = SMALL, groups: i
     spark = cut.sparkSession
     deals = partitions(spark)
     dealt = cut.withColumn("_deal", F.expr(f"CAST(pmod(xxhash64(doc_id), {deals}) AS INT)"))
-    counts = dealt.groupBy("length", "_deal").agg(F.count(F.lit(1)).alias("n")).toArrow()  # capacity x deals rows at most
-    length, deal, n = (counts.column(c).to_numpy() for c in ("length", "_deal", "n"))
-    order = np.lexsort((deal, length))
-    length, deal, n = length[order], deal[order], n[order]
-    histogram: dict[int, int] = {}
-    base: dict[tuple[int, int], int] = {}
-    for l, d, k in zip(length.tolist(), deal.tolist(), n.tolist()):
-        base[l, d] = histogram.get(l, 0)
-        histogram[l] = base[l, d] + k
-    where = spark.sparkContext.broadcast((base, places(plan(histogram, capacity, small, groups))))
+    counts = materialize(dealt.groupBy("length", "_deal").agg(F.count(F.lit(1)).alias("n")), "counts")  # capacity x deals rows at most
+    before = W.partitionBy("length").orderBy("_deal").rowsBetween(W.unboundedPreceding, -1)
+    base = counts.select("length", "_deal", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
+    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).toLocalIterator()}  # capacity rows at most
+    where = spark.sparkContext.broadcast(places(plan(histogram, capacity, small, groups)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import defaultdict
-
-        base, runs = where.value
-        used: dict[tuple[int, int], int] = defaultdict(int)
+        runs = where.value
+        used: dict[tuple[int, int], int] = {}
         for batch in batches:
-            lengths, deals_ = batch.column("length").to_pylist(), batch.column("_deal").to_pylist()
+            lengths = batch.column("length").to_pylist()
             seq, off = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
-            for i, key in enumerate(zip(lengths, deals_)):
-                rank = base[key] + used[key]
-                used[key] += 1
+            for i, key in enumerate(zip(lengths, batch.column("_deal").to_pylist(), batch.column("_base").to_pylist())):
+                nth = used.get(key[:2], 0)
+                used[key[:2]] = nth + 1
+                rank = key[2] + nth
                 ranks, first, offset = runs[key[0]]
                 at = int(np.searchsorted(ranks, rank, side="right")) - 1
                 seq[i], off[i] = first[at] + rank - ranks[at], offset[at]
-            keep = [c for c in batch.schema.names if c != "_deal"]
+            keep = [c for c in batch.schema.names if c not in ("_deal", "_base")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(seq), pa.array(off)], [*keep, "sequence_id", "offset"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields)
-    placed = dealt.repartition(deals, "_deal").sortWithinPartitions("_deal", "length", "doc_id", "piece")
+    placed = dealt.join(base, ["length", "_deal"]).select(*cut.columns, "_deal", "_base").repartition(deals, "_deal").sortWithinPartitions("_deal", "length", "doc_id", "piece")
     return placed.mapInArrow(run, f"{fields}, sequence_id long, offset long")
 
 
