@@ -3,8 +3,9 @@
 Pass 1 streams (block, m, dosage, bins) rows through each task. A task standardizes a chunk of SNPs, multiplies it once
 with [Z | UZ | y...] and adds X (X'Z) to one N x B sum for each component; the sums of all tasks are added up by
 component and segment of individuals. Pass 2 streams the rows again, sorted by block: it makes the block's own sums,
-takes them from the broadcast totals, and returns only the small normal equations of the sample without the block. The
-N-vectors of a block thus never leave its task, and what a task holds is K sums of N x B numbers, not a block's genotypes.
+takes them from the broadcast totals, and returns only the small inner products of the sample without the block. What a
+task holds is K sums of N x B numbers, not a block's genotypes. On a cluster with more slots than blocks a block is dealt
+to several tasks, and inner products are added up over segments of individuals.
 
 The driver holds individuals' columns (phenotypes, covariates, environments, N x B random numbers) and J + 1 systems of
 K + 1 equations; never genotypes.
@@ -13,7 +14,7 @@ K + 1 equations; never genotypes.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from heristat.functions.rng import gaussian_value
 
-CHUNK, SEGMENT = 256, 8192
+CHUNK = 256
 
 
 @dataclass(frozen=True)
@@ -63,7 +64,7 @@ class Study:
     impute: str = "mean"  # binary, mean or zero
     z: np.ndarray | None = None
     method: str = "qr"
-    stats: dict = field(default_factory=dict)
+    segment: int = 8192  # individuals whose sums travel together
 
     def __post_init__(self) -> None:
         self.y = np.asarray(self.y, float).reshape(len(self.y), -1)
@@ -75,6 +76,7 @@ class Study:
             c = np.asarray(self.covariates, float).reshape(n, -1)
             self.inverse = np.linalg.pinv(c.T @ c)
             self.covariates, self.y = c, self.y - self.project(self.y, c)
+            self.uz = self.project(self.z)
         if self.env is not None:
             self.env = np.asarray(self.env, float).reshape(n, -1)
 
@@ -84,7 +86,7 @@ class Study:
 
     def right(self) -> np.ndarray:
         """What X' is multiplied with: random vectors, their projections, phenotypes."""
-        return np.hstack([self.z, *([self.project(self.z)] if self.covariates is not None else []), self.y])
+        return np.hstack([self.z, *([self.uz] if self.covariates is not None else []), self.y])
 
 
 def _chunk_matrix(dosage: list[np.ndarray], snps: list[int], impute: str, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,35 +161,44 @@ class _Sums:
         self.snps, self.dosage, self.bins = [], [], []
 
 
-def _closed_forms(study: Study, right: np.ndarray, xx: np.ndarray, yy: np.ndarray, m: np.ndarray) -> None:
-    """The noise-by-environment components: X is diag(e)."""
+def _closed_forms(study: Study, right: np.ndarray, xx: np.ndarray, yy: np.ndarray, m: np.ndarray, rows: slice = slice(None)) -> None:
+    """The noise-by-environment components over some individuals: X is diag(e)."""
     for k, p in enumerate(study.parts):
         if p.kind == "nxe":
-            e2 = study.env[:, p.env][:, None] ** 2
-            xx[k], yy[k], m[k] = e2 * right[:, : xx.shape[2]], (e2 * study.y**2).sum(axis=0), 1
+            e2 = study.env[rows, p.env][:, None] ** 2
+            xx[k], m[k] = e2 * right[rows, : xx.shape[2]], 1
+            yy[k] = (study.env[:, p.env][:, None] ** 2 * study.y**2).sum(axis=0)
 
 
-def normal_equations(study: Study, xx: np.ndarray, yy: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """T ((K + 1) x (K + 1)) and q ((K + 1) x traits)."""
-    k, n, b = len(study.parts), len(study.y), study.z.shape[1]
+def contract(study: Study, xx: np.ndarray, rows: slice = slice(None)) -> np.ndarray:
+    """What normal equations need of X (X' right) over some individuals, as one vector. It adds up over individuals: inner
+    products of components, with random vectors and their projections, and products with the covariates, by which
+    projected vectors' inner products can be had without projecting any."""
+    b, z = study.z.shape[1], study.z[rows]
     a = xx[:, :, :b]
-    scale = np.outer(m, m).astype(float) * b
-    t = np.zeros((k + 1, k + 1))
-    sums = np.einsum("knb,lnb->kl", a, a)
-    base = np.full(k, float(n))
+    parts = [np.einsum("knb,lnb->kl", a, a).ravel(), (a * z).sum(axis=(1, 2))]
+    if study.covariates is not None:
+        c = study.covariates[rows]
+        parts += [(a * study.uz[rows]).sum(axis=(1, 2)), np.einsum("nc,knb->kbc", c, a).ravel(), np.einsum("nc,knb->kbc", c, xx[:, :, b:]).ravel()]
+    return np.concatenate(parts)
+
+
+def normal_equations(study: Study, sums: np.ndarray, yy: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """T ((K + 1) x (K + 1)) and q ((K + 1) x traits) from contract()'s sums over all individuals."""
+    k, n, b = len(study.parts), len(study.y), study.z.shape[1]
+    g, own, rest = sums[: k * k].reshape(k, k), sums[k * k : k * k + k], sums[k * k + k :]
+    t, base = np.zeros((k + 1, k + 1)), np.full(k, float(n))
     for i, p in enumerate(study.parts):  # the trace of a kinship matrix that isn't N by construction is estimated
         if p.kind in ("gxe", "nxe") and m[i]:
-            base[i] = (a[i] * study.z).sum() / (b * m[i])
+            base[i] = own[i] / (b * m[i])
+    t[k, k] = n
     if study.covariates is not None:
-        au = xx[:, :, b:]
-        ua = np.stack([study.project(v) for v in a])
-        sums = sums + np.einsum("knb,lnb->kl", au, ua) - 2 * np.einsum("knb,lnb->kl", ua, a)
-        uz = study.project(study.z)
-        base = base - np.array([(a[i] * uz).sum() / (b * m[i]) if m[i] else 0.0 for i in range(k)])
+        with_uz, (ca, cau) = rest[:k], rest[k:].reshape(2, k, b, -1)
+        g = g + np.einsum("kbc,cd,lbd->kl", cau, study.inverse, ca) - 2 * np.einsum("kbc,cd,lbd->kl", ca, study.inverse, ca)
+        base = base - np.divide(with_uz, b * m, out=np.zeros(k), where=m > 0)
         t[k, k] = n - study.covariates.shape[1]
-    else:
-        t[k, k] = n
-    t[:k, :k] = np.divide(sums, scale, out=np.zeros_like(sums), where=scale > 0)
+    scale = np.outer(m, m).astype(float) * b
+    t[:k, :k] = np.divide(g, scale, out=np.zeros_like(g), where=scale > 0)
     t[:k, k] = t[k, :k] = base
     q = np.vstack([np.divide(yy, m[:, None], out=np.zeros_like(yy), where=m[:, None] > 0), (study.y**2).sum(axis=0)[None]])
     return t, q
@@ -211,13 +222,53 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndar
             yield block, m, batch.column("dosage")[i].values.cast(pa.float64()).to_numpy(zero_copy_only=False), bins or []
 
 
-def run(spark: SparkSession, snps: DataFrame, study: Study) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+SUMS = "block long, k int, at long, xx array<double>, yy array<double>, n long"
+
+
+def _emit(block: int, sums: _Sums) -> list[tuple]:
+    """A task's sums by component and segment of individuals."""
+    rows, step = [], sums.study.segment
+    for k, n in enumerate(sums.m.tolist()):
+        for at in range(0, len(sums.right) if n else 0, step):
+            rows.append((block, k, at, sums.xx[k, at : at + step].ravel(), sums.yy[k] if at == 0 else np.zeros(0), n if at == 0 else 0))
+    return rows
+
+
+def _batch(rows: list[tuple], kinds: tuple, names: tuple[str, ...]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], list(names))
+
+
+_FLOATS = pa.list_(pa.float64())
+_SUM_KINDS = (pa.int64(), pa.int32(), pa.int64(), _FLOATS, _FLOATS, pa.int64())
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], study: Study, right: np.ndarray) -> Iterator[tuple[int, _Sums]]:
+    """The sums of each block, rows being sorted by block."""
+    block, sums = None, None
+    for j, snp, dosage, bins in _rows(batches):
+        if j != block:
+            if sums is not None:
+                sums.flush()
+                yield block, sums
+            block, sums = j, _Sums(study, right)
+        sums.add(snp, dosage, bins)
+    if sums is not None:
+        sums.flush()
+        yield block, sums
+
+
+def run(spark: SparkSession, snps: DataFrame, study: Study, splits: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """T (J + 1), q (J + 1) and M (J + 1, K) of every sample; sample j leaves block j out, the last none.
 
-    snps has rows (block, m, dosage, bins). It is read twice; store it if it is dear to compute.
+    snps has rows (block, m, dosage, bins). It is read twice; store it if it is dear to compute. Where more tasks run at
+    once than there are blocks, pass 2 deals each block to `splits` tasks, whose sums meet by block and segment of
+    individuals; otherwise a block's sums never leave its task.
     """
-    right = study.right()
+    right, slots = study.right(), spark.sparkContext.defaultParallelism
+    splits = splits or -(-slots // study.blocks)
     shared = spark.sparkContext.broadcast((study, right))
+    names = ("block", "k", "at", "xx", "yy", "n")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         study, right = shared.value
@@ -225,65 +276,74 @@ def run(spark: SparkSession, snps: DataFrame, study: Study) -> tuple[np.ndarray,
         for _, m, dosage, bins in _rows(batches):
             sums.add(m, dosage, bins)
         sums.flush()
-        rows = []
-        for k, n in enumerate(sums.m.tolist()):
-            if n:
-                for at in range(0, len(right), SEGMENT):
-                    head = at == 0
-                    rows.append((k, at, sums.xx[k, at : at + SEGMENT].ravel(), sums.yy[k] if head else np.zeros(0), n if head else 0))
-        cols = list(zip(*rows)) if rows else [[]] * 5
-        kinds = (pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["k", "at", "xx", "yy", "n"])
-
-    # a task returns K sums of N x B numbers however few SNPs it has: no more tasks than run at once
-    partial = snps.coalesce(spark.sparkContext.defaultParallelism).mapInArrow(first, "k int, at long, xx array<double>, yy array<double>, n long")
+        yield _batch(_emit(0, sums), _SUM_KINDS, names)
 
     def add(pdf):
         return pdf.iloc[:1].assign(xx=[np.sum(np.stack(pdf.xx.to_list()), axis=0)], yy=[np.sum(np.stack(pdf.yy.to_list()), axis=0)], n=int(pdf.n.sum()))
 
-    totals = partial.groupBy("k", "at").applyInPandas(add, partial.schema).toArrow().to_pylist()
-    n_z = right.shape[1] - study.y.shape[1]
-    xx, yy, m = np.zeros((len(study.parts), len(right), n_z)), np.zeros((len(study.parts), study.y.shape[1])), np.zeros(len(study.parts), np.int64)
+    # a task returns K sums of N x B numbers however few SNPs it has: no more tasks than run at once
+    totals = snps.coalesce(slots).mapInArrow(first, SUMS).groupBy("k", "at").applyInPandas(add, SUMS).toArrow().to_pylist()
+    n_z, k, traits, j = right.shape[1] - study.y.shape[1], len(study.parts), study.y.shape[1], study.blocks
+    xx, yy, m = np.zeros((k, len(right), n_z)), np.zeros((k, traits)), np.zeros(k, np.int64)
     for r in totals:
         part = np.array(r["xx"]).reshape(-1, n_z)
         xx[r["k"], r["at"] : r["at"] + len(part)] = part
         if r["at"] == 0:
             yy[r["k"]], m[r["k"]] = r["yy"], r["n"]
     whole = spark.sparkContext.broadcast((xx, yy, m))
+    kinds, fields = (pa.int64(), _FLOATS, _FLOATS, pa.list_(pa.int64())), "block long, sums array<double>, yy array<double>, m array<long>"
 
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         study, right = shared.value
-        block, sums, out = None, None, []
-
-        def close() -> None:
-            if block is None:
-                return
-            sums.flush()
-            a, y, n = whole.value[0] - sums.xx, whole.value[1] - sums.yy, whole.value[2] - sums.m
+        out = []
+        for block, sums in _blocks(batches, study, right):
+            a, y, n = (t - own for t, own in zip(whole.value, (sums.xx, sums.yy, sums.m)))
             _closed_forms(study, right, a, y, n)
-            t, q = normal_equations(study, a, y, n)
-            out.append((block, t.ravel(), q.ravel(), n))
-
-        for j, snp, dosage, bins in _rows(batches):
-            if j != block:
-                close()
-                block, sums = j, _Sums(study, right)
-            sums.add(snp, dosage, bins)
-        close()
-        cols = list(zip(*out)) if out else [[]] * 4
-        kinds = (pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["block", "t", "q", "m"])
-
-    j, k, traits = study.blocks, len(study.parts), study.y.shape[1]
+            out.append((block, contract(study, a), y.ravel(), n))
+        yield _batch(out, kinds, ("block", "sums", "yy", "m"))
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        study, right = shared.value
+        for block, sums in _blocks(batches, study, right):
+            yield _batch(_emit(block, sums), _SUM_KINDS, names)
+
+    def meet(pdf):
+        """A block's segment of individuals, from all of its tasks and components."""
+        import pandas as pd
+
+        study, right = shared.value
+        total, all_y, all_m = whole.value
+        at = int(pdf["at"].iloc[0])
+        rows = slice(at, at + study.segment)
+        a, y, n = total[:, rows].copy(), np.zeros((k, traits)), np.zeros(k, np.int64)
+        for part, values, own, count in zip(pdf.k, pdf.xx, pdf.yy, pdf.n):
+            a[part] -= np.asarray(values).reshape(-1, n_z)
+            if at == 0:
+                y[part] += own
+                n[part] += count
+        y, n = all_y - y, all_m - n
+        _closed_forms(study, right, a, y, n, rows)
+        first = float(at == 0)  # what isn't by individual counts once
+        return pd.DataFrame({"block": pdf.block.iloc[:1].to_list(), "sums": [contract(study, a, rows)], "yy": [y.ravel() * first], "m": [(n * int(first)).tolist()]})
+
+    def together(pdf):
+        return pdf.iloc[:1].assign(**{c: [np.sum(np.stack(pdf[c].to_list()), axis=0)] for c in ("sums", "yy", "m")})
+
     _closed_forms(study, right, xx, yy, m)
     t_all, q_all, m_all = np.zeros((j + 1, k + 1, k + 1)), np.zeros((j + 1, k + 1, traits)), np.zeros((j + 1, k), np.int64)
-    t, q = normal_equations(study, xx, yy, m)
-    t_all[:], q_all[:], m_all[:] = t, q, m  # a block without SNPs leaves nothing out
+    t_all[:], q_all[:] = normal_equations(study, contract(study, xx), yy, m)
+    m_all[:] = m  # a block without SNPs leaves nothing out
     if j > 1:
-        by_block = snps.repartition(j, "block").sortWithinPartitions("block", "m")
-        for r in by_block.mapInArrow(second, "block long, t array<double>, q array<double>, m array<long>").toArrow().to_pylist():
-            b = r["block"]
-            t_all[b], q_all[b], m_all[b] = np.array(r["t"]).reshape(k + 1, k + 1), np.array(r["q"]).reshape(k + 1, traits), r["m"]
+        if splits == 1:
+            left = snps.repartition(j, "block").sortWithinPartitions("block", "m").mapInArrow(within, fields)
+        else:
+            dealt = snps.withColumn("_part", F.expr(f"pmod(xxhash64(m), {splits})")).repartition(j * splits, "block", "_part").drop("_part")
+            parts = dealt.sortWithinPartitions("block", "m").mapInArrow(across, SUMS)
+            left = parts.groupBy("block", "at").applyInPandas(meet, fields).groupBy("block").applyInPandas(together, fields)
+        for r in left.toArrow().to_pylist():
+            b, n = r["block"], np.array(r["m"])
+            t_all[b], q_all[b] = normal_equations(study, np.array(r["sums"]), np.array(r["yy"]).reshape(k, traits), n)
+            m_all[b] = n
     return t_all, q_all, m_all
 
 

@@ -45,6 +45,16 @@ def test_partitions_dont_matter(spark, data):
     assert np.allclose(*runs)
 
 
+def test_split_blocks(spark, data):
+    """Blocks dealt to several tasks and individuals to segments give the same equations."""
+    d, y, c, e = data
+    rows = snps(spark, d, 3, lambda m: [m % 2])
+    for cov in (None, c):
+        one, several = (K.Study(np.stack([y, e], axis=1), K.components("G+GxE+NxE", 2, 1), 3, 4, covariates=cov, env=e, segment=s) for s in (100, 17))
+        for a, b in zip(K.run(spark, rows, one, splits=1), K.run(spark, rows, several, splits=3)):
+            assert np.allclose(a, b)
+
+
 def test_covariates_project_exactly(spark, data):
     """With covariates, T is that of the projected kinship: tr(VKV VKV), up to the random vectors."""
     d, y, c, _ = data
