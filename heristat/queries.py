@@ -6,7 +6,6 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from heristat import fixtures as X
-from heristat.functions.rng import gaussian
 from heristat.functions.scalar import liability
 from heristat.operators import genotype as G, layout as L, tables as T
 from heristat.plans import kernel as K, moments as M, results as R
