@@ -22,7 +22,7 @@ from typing import BinaryIO
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from heristat.llm.common import materialize, shared_path, utf8
+from heristat.llm.common import materialize, shared_path
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 #: Payloads below this size are stored whole even if they repeat.

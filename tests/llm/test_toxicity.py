@@ -1,7 +1,6 @@
 import numpy as np
 
 from heristat.llm import toxicity as T
-from tests.conftest import DATA
 
 
 def test_edges(spark, documents, no_documents):
