@@ -90,12 +90,12 @@ def fit(texts: list[bytes], grades: list[int], min_docs: int = MIN_DOCS, l1: flo
         seen.update(w for w in features(words(t)) if hashed[hash(w) & (len(hashed) - 1)] >= min_docs)
     vocab = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if min_docs <= n <= max_share * len(texts)))}
     del seen, hashed
-    row, col, val = array("q"), array("q"), array("d")
+    row, col, val = array("i"), array("i"), array("f")
     for i, t in enumerate(texts):
         for w, n in features(words(t)).items():
             if (j := vocab.get(w)) is not None:
                 row.append(i), col.append(j), val.append(math.log1p(n))
-    row, col, val = np.array(row, np.int64), np.array(col, np.int64), np.array(val)
+    row, col, val = np.array(row, np.int32), np.array(col, np.int32), np.array(val, np.float32)
     y, n, v = np.array(grades), len(grades), len(vocab)
     share = np.clip([(y >= k).mean() for k in range(1, top + 1)], 1e-6, 1 - 1e-6)
     w, cuts = np.zeros(v), -np.log(share / (1 - share))
