@@ -2,8 +2,8 @@
 
 A table applies one pseudo-rotation H D3 H D2 H D1 (fast Hadamard transform H, random sign diagonals D) to the unit
 vector and stores it under the nearest signed axis. A query looks into the cells of its `probes` nearest signed axes in
-every table. In a cell, exact cosines against the original vectors keep the best few of each query. A query that found
-fewer than asked for goes through every cell of one table, that is, against all vectors.
+every table. In a cell, exact cosines against the original vectors keep the best few ids of each query, however many rows
+repeat an id. A query that found fewer than asked for goes through every cell of one table, that is, against all vectors.
 
 Cells are dealt into parts of at most `part` vectors and `part` queries by counts that are taken first, so that a
 cell with a third of all vectors (copies of one vector fall into one cell) is spread over many tasks.
@@ -96,6 +96,7 @@ def _best(top: int):
         key, dim = None, 0
         q_ids: list[int] = []
         q_raw: list[bytes] = []
+        seen: set[tuple[int, bytes]] = set()  # a repeated query row asks once
         found: dict[int, list[tuple[float, int]]] = {}
 
         def emit() -> pa.RecordBatch:
@@ -105,6 +106,9 @@ def _best(top: int):
             return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], ["query_id", "vec_id", "score"])
 
         def compare(ids: np.ndarray, raw: list[bytes]) -> None:
+            order = np.argsort(ids, kind="stable")
+            ids, raw = ids[order], [raw[i] for i in order]
+            starts = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1))  # of each distinct id's rows
             vec = np.frombuffer(b"".join(raw), np.float64).reshape(-1, dim)
             size = np.sqrt((vec * vec).sum(axis=1))
             for at in range(0, len(q_ids), BLOCK):
@@ -112,13 +116,18 @@ def _best(top: int):
                 q_size = np.sqrt((qs * qs).sum(axis=1))
                 near = (qs / q_size[:, None]) @ (vec / size[:, None]).T
                 own = q_ids[at : at + BLOCK]
-                floor = -np.partition(-near, min(top, near.shape[1] - 1), axis=1)[:, min(top, near.shape[1] - 1)]
+                once = near if len(starts) == len(ids) else np.maximum.reduceat(near, starts, axis=1)
+                floor = -np.partition(-once, min(top, once.shape[1] - 1), axis=1)[:, min(top, once.shape[1] - 1)]
                 for i, q in enumerate(own):
                     pick = np.nonzero(near[i] >= floor[i] - 1e-9)[0]
                     pick = pick[ids[pick] != q]
                     exact = (vec[pick] * qs[i]).sum(axis=1) / (size[pick] * q_size[i])  # the same for a pair in any part
-                    best = sorted([*found.get(q, []), *zip((-exact).tolist(), ids[pick].tolist())])
-                    found[q] = best[:top]
+                    best: dict[int, float] = {}
+                    for s, v in sorted([*found.get(q, []), *zip((-exact).tolist(), ids[pick].tolist())]):
+                        if len(best) >= top:
+                            break
+                        best.setdefault(v, s)
+                    found[q] = [(s, v) for v, s in best.items()]
 
         for batch in batches:
             cols = {c: batch.column(c) for c in batch.schema.names}
@@ -133,10 +142,12 @@ def _best(top: int):
                     if found:
                         yield emit()
                     key, dim, q_ids, q_raw = keys[at][:4], keys[at][0], [], []
+                    seen.clear()
                 raw = cols["v"].slice(at, to - at).to_pylist()
                 if keys[at][4] == 0:
-                    q_ids += ids[at:to].tolist()
-                    q_raw += raw
+                    for i, x in zip(ids[at:to].tolist(), raw):
+                        if (i, x) not in seen:
+                            seen.add((i, x)), q_ids.append(i), q_raw.append(x)
                 elif q_ids:
                     compare(ids[at:to], raw)
                 at = to

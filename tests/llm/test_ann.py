@@ -44,6 +44,33 @@ def test_recall_and_parts(spark):
     assert parts.sort_values(["query_id", "rank"]).to_numpy().tolist() == got.sort_values(["query_id", "rank"]).to_numpy().tolist()
 
 
+def test_repeated_rows_take_one_place(spark):
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=16)
+    rows = [(i, (centre + 0.01 * rng.normal(size=16)).tolist()) for i in range(9)] + [(i, rng.normal(size=16).tolist()) for i in range(9, 120)]
+    want = slow(rows, {0, 50}, 5)
+    for copies in (1, 2, 7):
+        df = spark.createDataFrame(rows * copies, "vec_id long, embedding array<double>")
+        got = sorted(map(tuple, ann.neighbours(df, F.col("vec_id").isin(0), tables=4, probes=4).collect()))
+        assert [g[:3] for g in got] == [w[:3] for w in want if w[0] == 0]
+        got = sorted(map(tuple, ann.neighbours(df, F.col("vec_id").isin(0, 50), tables=1, probes=32, part=11).collect()))  # every cell
+        assert [g[:3] for g in got] == [w[:3] for w in want] and [g[3] for g in got] == pytest.approx([w[3] for w in want])
+
+
+def test_repeated_ids_count_by_their_nearest_vectors(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i % 12, rng.normal(size=4).tolist()) for i in range(60)]
+    best = {}
+    for q, x in rows:
+        for v, y in rows:
+            if q == 0 and v != q:
+                best[v] = max(best.get(v, -9), np.dot(x, y) / (np.linalg.norm(x) * np.linalg.norm(y)))
+    want = sorted(best.items(), key=lambda b: (-b[1], b[0]))[:5]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, ann.neighbours(df, F.col("vec_id") == 0, tables=1, probes=8).collect()))
+    assert [g[2] for g in got] == [v for v, _ in want] and [g[3] for g in got] == pytest.approx([s for _, s in want])
+
+
 def test_rotation_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 16))
     assert np.allclose(np.linalg.norm(ann._hadamard(x), axis=1), 4 * np.linalg.norm(x, axis=1))
