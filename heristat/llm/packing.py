@@ -16,6 +16,7 @@ distributed way, and rank r of a length takes that length's r-th place.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
@@ -31,6 +32,9 @@ CAPACITY, END_ID, TOKENIZER = 1024, 2, "byte_bpe_50k"
 #: Pieces up to a quarter of the capacity are small; the others are dealt into so many groups.
 SMALL, GROUPS = 256, 64
 
+#: White space as the tokenizer's pattern has it, in runs whose backtracking comes near tiktoken's limit of 10^6.
+BLANK = re.compile(r"[^\S\x1c-\x1f]{500000,}")
+
 PIECE = "piece int, start long, length int, ids_crc32 long"
 
 
@@ -41,7 +45,8 @@ def load_encoder(name: str = TOKENIZER):
     """A function from text to its ids, a uint32 array: those of tokenizers on <name>.json without added special tokens.
 
     The ids are computed with tiktoken on the same vocabulary, several times as fast; the tests hold them against
-    tokenizers. As there, <|endoftext|> in a text is its own id.
+    tokenizers. As there, <|endoftext|> in a text is its own id. A text whose white space is too long a run for tiktoken's
+    pattern is cut at such runs, which a pattern without lookahead encodes.
     """
     import base64
 
@@ -50,10 +55,29 @@ def load_encoder(name: str = TOKENIZER):
 
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    special = {"<|endoftext|>": len(ranks)}
-    encoding = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    allowed = set(special)
-    return lambda text: encoding.encode_to_numpy(text, allowed_special=allowed)
+    end_of_text = "<|endoftext|>"
+    encoding = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={end_of_text: len(ranks)})
+
+    def plain(text: str) -> np.ndarray:
+        return encoding.encode_to_numpy(text, allowed_special={end_of_text})
+
+    def cut(text: str) -> np.ndarray:
+        blank = tiktoken.Encoding(f"{name}_blank", pat_str=r"\s+", mergeable_ranks=ranks, special_tokens={})
+        out, at = [], 0
+        for run in BLANK.finditer(text):
+            # as by \s+(?!\S), the last one goes with what follows, unless that is the end or a token of its own
+            to = run.end() - (run.end() < len(text) and not text.startswith(end_of_text, run.end()))
+            out += [plain(text[at : run.start()]), blank.encode_to_numpy(text[run.start() : to])]
+            at = to
+        return np.concatenate([*out, plain(text[at:])])
+
+    def encode(text: str) -> np.ndarray:
+        try:
+            return plain(text)
+        except ValueError:
+            return cut(text)
+
+    return encode
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

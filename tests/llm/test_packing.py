@@ -36,6 +36,12 @@ def test_query(spark, documents, no_documents, real):
     check(spark.createDataFrame(special, "doc_id long, text string"))
 
 
+def test_long_white_space(spark):
+    n, end = 1_000_100, "<|endoftext|>"
+    texts = [" " * n, "a" + " " * n + "b c", "\n" * n + "b", "x  y" + " \n" * n + end + "\t" * n + "'s" + " " * 600_000 + "1", "\x85\x1c" + "\u3000" * n + "\x1c", "a" + " " * n + "\n!" + " " * 20]
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 1024), st.integers(1, 400), max_size=60))
 def test_plan_uses_each_piece_once(histogram):
