@@ -34,16 +34,20 @@ def simhash(text: bytes, width: int = 3) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
+def _key(text_col: str) -> F.Column:
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """Rows (doc_id, fp): one per input row; null text counts as empty."""
+    """Rows (doc_id, key, fp), key a hash of the text: one per input row; null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 4 << 20):
             fps = pa.array([simhash(t, width) for t in utf8(part.column("text"))], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), fps], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), fps], ["doc_id", "key", "fp"])
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, fp long")
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), _key(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    return narrow.mapInArrow(run, "doc_id long, key long, fp long")
 
 
 class BKTree:
@@ -165,6 +169,15 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, chunk
     return dealt.repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "c", "fp").mapInArrow(_shard_links(radius), "u long, v long")
 
 
+def _named(fps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+    """Rows (fp, c, component_id) of the distinct fingerprints: c tells components apart, also two of one component_id."""
+    # nodes are fingerprints, not ids: rows that share an id but not a link stay apart
+    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    found = components(links(nodes.select("fp", F.col("fp").alias("rep")), radius, chunk=chunk))
+    named = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
+    return named.join(named.groupBy("c").agg(F.min("least").alias("component_id")), "c").select("fp", "c", "component_id")
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
     """Rows (doc_id, fp, component_id), one per input row.
 
@@ -173,13 +186,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     is null where there is none. Repeated rows: each is returned. No rows: no rows.
     """
     fps = materialize(fingerprints(docs, id_col, text_col, width), "fps")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    # a fingerprint known only from rows without an id still links others: it stands in by a value below all ids' range
-    nodes = materialize(distinct.withColumn("node", F.coalesce("rep", F.expr("CAST(9223372036854775807 AS BIGINT) - pmod(fp, 4611686018427387904)"))), "nodes")
-    found = components(links(nodes.select("fp", F.col("node").alias("rep")), radius, chunk=chunk))
-    named = nodes.join(found, nodes["node"] == found["node"], "left").select("fp", F.coalesce("component", nodes["node"]).alias("c"))
-    real = named.select("fp", F.expr("CASE WHEN c > 4611686018427387903 THEN NULL ELSE c END").alias("component_id"))
-    return fps.join(real, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(_named(fps, radius, chunk), "fp").select("doc_id", "fp", "component_id")
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -188,8 +195,13 @@ def query(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The documents whose id names their component, with their columns; rows without doc_id stay. Rows that share a
-    doc_id are one document: one of them, the least by its columns in order, stays."""
-    kept = groups(docs).filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    found = docs.select(F.col("doc_id").alias("id"), F.struct(*docs.columns).alias("row")).join(kept, F.col("id") == kept["doc_id"]).select("id", "row", "n")
-    several = found.filter("n > 1").groupBy("id").agg(F.min("row").alias("row"))
+    doc_id and a component are one document: one of them, the least by its columns in order, stays. Rows that share a
+    doc_id alone are told apart by their text."""
+    fps = materialize(fingerprints(docs), "fps")
+    own = fps.join(_named(fps), "fp").filter("doc_id = component_id").groupBy("doc_id", "c", "key").agg(F.count(F.lit(1)).alias("n"))
+    own = materialize(own, "own")
+    kept = own.drop("n").join(own.groupBy("doc_id", "c").agg(F.sum("n").alias("n")), ["doc_id", "c"])
+    rows = docs.select(F.col("doc_id").alias("id"), _key("text").alias("text_key"), F.struct(*docs.columns).alias("row"))
+    found = rows.join(kept, (F.col("id") == kept["doc_id"]) & (F.col("text_key") == kept["key"])).select("id", "c", "row", "n")
+    several = found.filter("n > 1").groupBy("id", "c").agg(F.min("row").alias("row"))
     return found.filter("n = 1").select("row.*").unionByName(several.select("row.*")).unionByName(docs.filter("doc_id IS NULL"))

@@ -76,3 +76,11 @@ def test_deduplicate(documents):
     kept = sorted(r.doc_id for r in got.collect() if r.doc_id is not None)
     groups = {r.doc_id: r.component_id for r in S.query(documents).collect() if r.doc_id is not None}
     assert kept == sorted(set(groups.values())) and got.filter("doc_id IS NULL").count() == 2
+
+
+def test_rows_that_share_an_id_alone(spark):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(60)) for w in ("one", "two", "three"))
+    rows = [(1, a), (5, a.upper()), (5, b), (7, b), (7, c), (7, c), (7, c.upper()), (8, a), (8, b), (9, "x y z"), (9, "p q r")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, S.query(df).collect()), key=repr) == slow_groups([(d, slow(t)) for d, t in rows])
+    assert sorted(map(tuple, S.deduplicate(df).collect())) == sorted([(1, a), (5, b), (7, min(c, c.upper())), (9, "x y z"), (9, "p q r")])
