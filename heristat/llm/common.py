@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _OWN: list[str] = []
+#: Tables stored since the innermost stored() began.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Spelling of the word pattern for SQL string literals and Java regexes.
@@ -23,21 +27,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a temporary one, if all is one process."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="heristat-"))
     return f"file://{_OWN[0]}"
 
 
+def own_dir(spark: SparkSession) -> str:
+    """What this application stores in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/heristat/{spark.sparkContext.applicationId}"
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/heristat/{name}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: a cut of the lineage that outlives its executors."""
+def _write(df: DataFrame, name: str) -> tuple[str, DataFrame]:
     spark = df.sparkSession
     path, was = shared_path(spark, name), spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")  # once written, the shuffle files behind it serve nothing
@@ -45,7 +56,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, was)
-    return spark.read.schema(df.schema).parquet(path)
+    return path, spark.read.schema(df.schema).parquet(path)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: a cut of the lineage that outlives its executors."""
+    path, found = _write(df, name)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
+    return found
+
+
+def stored(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> tuple[DataFrame, str]:
+    """make()'s rows as a stored table and its path. The tables that make() stored on its way are deleted."""
+    made: list[str] = []
+    before = _MADE.set(made)
+    try:
+        path, found = _write(make(), name)
+    finally:
+        _MADE.reset(before)
+        for p in made:
+            drop_path(spark, p)
+    if (outer := _MADE.get()) is not None:
+        outer.append(path)
+    return found, path
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -54,6 +88,42 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete every table this application stored in the shared folder; results not yet read are gone with them."""
+    drop_path(spark, own_dir(spark))
+
+
+def quoted(name: str) -> str:
+    """A column's name as SQL has it, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns(df: DataFrame) -> list[Column]:
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def whole(df: DataFrame) -> Column:
+    """A row's columns as one, whatever their names."""
+    return F.struct(*columns(df))
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """df with names that mapInArrow takes: others than words are replaced."""
+    names, taken = [], set(df.columns)
+    for c in df.columns:
+        new = re.sub(r"\W", "_", c)
+        while new != c and new in taken:
+            new += "_"
+        names.append(new)
+        taken.add(new)
+    return df.toDF(*names)
+
+
+def bounded(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """Broadcast df, a stored table of small rows, if it has at most so many; else leave the join to Catalyst."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -104,10 +174,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     def state(e: DataFrame):
         return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
-    now = materialize(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    now, path = stored(spark, "edges", lambda: edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     was = state(now)
     for _ in range(max_rounds if was[0] else 0):
-        now = materialize(star(star(now, True), False), "edges")
+        old = path
+        now, path = stored(spark, "edges", lambda e=now: star(star(e, True), False))
+        drop_path(spark, old)
         if (found := state(now)) == was:
             break
         was = found

@@ -28,29 +28,29 @@ def water(sizes, weights, ceiling=3):
 
 
 def check(df):
-    got = M.query(df.select("doc_id", "text", "source"))
-    source = {(r.doc_id, words(r.text)): r.source for r in df.collect()}
-    sizes, taken = {}, {}
-    for r in got.collect():
-        s = source[r.doc_id, r["size"]]
-        sizes[s], taken[s] = sizes.get(s, 0) + r["size"], taken.get(s, 0) + r.taken
-        assert r["size"] == words_of(source, r) and r.taken <= 3 * r["size"]
-    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    """Holds sizes, targets, the words taken and the shards of every source's documents against df."""
+    got = M.query(df)
+    source = {}
+    for r in df.collect():
+        source.setdefault((r.doc_id, words(r.text)), []).append(r.source)
+    sizes, taken, largest = {}, {}, {}
+    found = got.collect()
+    assert len(found) == df.count()
+    for d, n in source:
+        for s in source[d, n]:
+            sizes[s], largest[s] = sizes.get(s, 0) + n, max(largest.get(s, 0), n)
+    names = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
     target = water(sizes, {s: i % 3 + 1 for i, s in enumerate(names)})
-    largest = {}
-    for r in got.collect():
-        s = source[r.doc_id, r["size"]]
+    for r in found:
+        (s,) = set(source[r.doc_id, r["size"]])
         assert r.source_size == sizes[s] and r.target == pytest.approx(target[s])
-        largest[s] = max(largest.get(s, 0), r["size"])
+        assert r.taken <= 3 * r["size"] and r.taken == r["size"] * len([x for x in r.shards.split(",") if x])
+        taken[s] = taken.get(s, 0) + r.taken
     for s in sizes:
         assert abs(taken[s] - target[s]) <= largest[s] / 2 + 1e-6
     return got
 
 
-def words_of(source, r):
-    return next(n for d, n in source if d == r.doc_id and n == r["size"])
-
-
 def test_query(documents, no_documents, real):
     check(documents)
     got = check(real)
@@ -86,28 +86,82 @@ def test_resample(documents):
 
 
 def test_tree_meets_quotas(spark):
-    q = spark.createDataFrame([("a", 5), ("b", 1000), ("c", 0), ("d", 333)], "_src string, quota long")
-    got = {r._src: r.shards for r in M.split(q, 3).collect()}
-    assert {k: sum(v) for k, v in got.items()} == {"a": 5, "b": 1000, "c": 0, "d": 333}
-    totals = [sum(v[i] for v in got.values()) for i in range(8)]
-    assert max(totals) - min(totals) <= 3 and sum(totals) == 1338 and min(got["b"]) > 90
-    assert got == {r._src: r.shards for r in M.split(q, 3).collect()}
+    q = spark.createDataFrame([(1, 5), (2, 1000), (3, 0), (4, 333)], "bundle long, quota long")
+    rows_of = lambda: {(r.bundle, r.shard): r.quota for r in M.split(q, 3).collect()}
+    got = rows_of()
+    assert {k: sum(n for (b, _), n in got.items() if b == k) for k in (1, 2, 3, 4)} == {1: 5, 2: 1000, 3: 0, 4: 333}
+    totals = [sum(n for (_, s), n in got.items() if s == i) for i in range(8)]
+    assert max(totals) - min(totals) <= 3 and sum(totals) == 1338 and min(n for (b, _), n in got.items() if b == 2) > 90
+    assert got == rows_of()
 
 
 def test_draws_follow_the_distribution(spark):
     """Means of many one-level draws of 10 of 20 blocks, 8 of them of source a."""
     import math
 
-    q = spark.createDataFrame([("a", 8), ("b", 12)], "_src string, quota long")
-    draws = [M.split(q, 1, seed).filter("_src = 'a'").first().shards[0] for seed in range(40)]
+    q = spark.createDataFrame([(1, 8), (2, 12)], "bundle long, quota long")
+    draws = [sum(r.quota for r in M.split(q, 1, seed).filter("bundle = 1 AND shard = 0").collect()) for seed in range(40)]
     assert abs(sum(draws) / 40 - 4) < 4 * math.sqrt(8 * 12 * 10 * 10 / (400 * 19) / 40)
 
 
+def test_draw_inverts_the_distribution(spark):
+    """Every outcome's share of the uniform numbers is its probability."""
+    from math import comb
+
+    for q, n, total in ((8, 10, 20), (1, 1, 2), (5, 3, 6), (0, 4, 9), (4, 0, 9), (9, 4, 9)):
+        u = f"((id + 0.5D) / {steps}D)" if (steps := 4000) else ""
+        got = spark.range(steps).select(F.expr(M._draw(f"{q}D", f"{n}D", f"{total}D", u)).alias("k")).groupBy("k").count().collect()
+        want = {k: comb(q, k) * comb(total - q, n - k) / comb(total, n) for k in range(max(0, n + q - total), min(q, n) + 1)}
+        assert {r.k for r in got} <= set(want)
+        for r in got:
+            assert abs(r["count"] / steps - want[r.k]) <= 2 / steps
+
+
+def test_repeated_rows_and_null_ids(spark, duck):
+    word = "w " * 5
+    for repeated in ([(1, word, "p")] * 100, [(None, word, "p")] * 100, [(None, word + str(i), "p") for i in range(100)], [(i % 3, word, "p") for i in range(100)]):
+        df = spark.createDataFrame(repeated + [(1000 + i, word, "q") for i in range(100)], "doc_id long, text string, source string")
+        got = check(df)
+        documents = got.sparkSession.createDataFrame(df.collect(), df.schema).toPandas()  # noqa: F841
+        con = duck.cursor()
+        con.register("documents", documents.astype({"doc_id": "Int64"}))
+        assert rows(got.toPandas()) == rows(con.sql(M.SQL).df())
+        want = sorted(n for r in got.collect() for n in [r["size"]] * (r.taken // max(1, r["size"])))
+        assert sorted(words(r.text) for r in M.resample(df).collect()) == want
+
+
+def test_many_sources_share_bundles(spark):
+    n = 600
+    df = spark.createDataFrame([(i, "w " * (i % 7 + 1), f"s{i % n:04d}") for i in range(4 * n)], "doc_id long, text string, source string")
+    check(df)
+
+
+def test_numbering_spans_partitions(spark):
+    df = spark.createDataFrame([(i * 7919 % 5003, i % 4) for i in range(5000)], "k long, w long")
+    got = sorted(M.numbered(df, ["k"], "at", ("w",)).collect())
+    before = 0
+    for i, r in enumerate(got):
+        assert (r.at, r._before_w) == (i, before)
+        before += r.w
+
+
 def test_shards(real):
-    m = M.Mix(real)
-    got = m.rows().withColumn("p", F.spark_partition_id())
-    assert got.select("shard").distinct().count() <= M.SHARDS
-    assert got.groupBy("shard").agg(F.count_distinct("p").alias("n")).filter("n > 1").count() == 0
-    tickets = [s for r in m.tickets.collect() for s in r.shards]
-    per = [tickets.count(s) for s in range(M.SHARDS)]
-    assert max(per) - min(per) <= 6
+    for shards in (None, 8):
+        m = M.Mix(real, shards=shards)
+        n = shards or M.SHARDS
+        each = m.rows()
+        assert each.rdd.getNumPartitions() == n
+        got = each.select("shard", F.spark_partition_id().alias("p")).distinct().collect()
+        assert all(r.shard == r.p for r in got) and len(got) <= n
+        tickets = [s for r in m.tickets.collect() for s in r.shards]
+        per = [tickets.count(s) for s in range(n)]
+        assert max(per) - min(per) <= 6
+        # documents by shard: what rows() deals is what the digest says
+        said = [int(s) for r in m.digest().collect() for s in r.shards.split(",") if s]
+        dealt = [r.shard for r in m.rows().select("shard").collect()]
+        assert sorted(said) == sorted(dealt)
+
+
+def test_dotted_names(documents):
+    df = documents.withColumn("a.b", F.lit(1)).withColumn("c`d", F.lit(None).cast("map<string,int>"))
+    assert M.resample(df).columns == df.columns and M.resample(df).count() == M.resample(documents).count()
