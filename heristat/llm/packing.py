@@ -16,6 +16,7 @@ distributed way, and rank r of a length takes that length's r-th place.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
@@ -25,15 +26,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from heristat.llm.common import materialize, partitions, slices
+from heristat.llm.common import materialize, partitions, plain, quoted, slices
 
 CAPACITY, END_ID, TOKENIZER = 1024, 2, "byte_bpe_50k"
 #: Pieces up to a quarter of the capacity are small; the others are dealt into so many groups.
 SMALL, GROUPS = 256, 64
 
-#: White space as the tokenizer's pattern has it, in runs whose backtracking comes near tiktoken's limit of 10^6.
-BLANK = re.compile(r"[^\S\x1c-\x1f]{500000,}")
+#: Where a text longer than STRETCH may be cut without a change of its ids: before a space between two ASCII letters. By the
+#: tokenizer's pattern a run of letters ends there, and the space goes with the letters behind it.
+STRETCH, SEAM = 1 << 20, re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
 
 PIECE = "piece int, start long, length int, ids_crc32 long"
 
@@ -41,55 +44,41 @@ PIECE = "piece int, start long, length int, ids_crc32 long"
 # --- tokens ---------------------------------------------------------------------------------------------------------
 
 
-def load_encoder(name: str = TOKENIZER):
-    """A function from text to its ids, a uint32 array: those of tokenizers on <name>.json without added special tokens.
+def stretches(text: str, size: int = STRETCH) -> Iterator[str]:
+    """text in parts of about size characters, each cut at a seam; whole where it has none."""
+    at = 0
+    while len(text) - at > size and (seam := SEAM.search(text, at + size)):
+        yield text[at : seam.start()]
+        at = seam.start()
+    yield text[at:] if at else text
 
-    The ids are computed with tiktoken on the same vocabulary, several times as fast; the tests hold them against
-    tokenizers. As there, <|endoftext|> in a text is its own id. A text whose white space is too long a run for tiktoken's
-    pattern is cut at such runs, which a pattern without lookahead encodes.
-    """
-    import base64
 
+def load_encoder(name: str = TOKENIZER):
+    """A function from text to its ids, a uint32 array: those of tokenizers on <name>.json without added special tokens. Long
+    texts go through in stretches, which bounds memory."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one thread
     import public_tokenizers
-    import tiktoken
-
-    with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    end_of_text = "<|endoftext|>"
-    encoding = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={end_of_text: len(ranks)})
-
-    def plain(text: str) -> np.ndarray:
-        return encoding.encode_to_numpy(text, allowed_special={end_of_text})
-
-    def cut(text: str) -> np.ndarray:
-        blank = tiktoken.Encoding(f"{name}_blank", pat_str=r"\s+", mergeable_ranks=ranks, special_tokens={})
-        out, at = [], 0
-        for run in BLANK.finditer(text):
-            # as by \s+(?!\S), the last one goes with what follows, unless that is the end or a token of its own
-            to = run.end() - (run.end() < len(text) and not text.startswith(end_of_text, run.end()))
-            out += [plain(text[at : run.start()]), blank.encode_to_numpy(text[run.start() : to])]
-            at = to
-        return np.concatenate([*out, plain(text[at:])])
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
 
     def encode(text: str) -> np.ndarray:
-        try:
-            return plain(text)
-        except ValueError:
-            return cut(text)
+        return np.concatenate([np.array(tokenizer.encode_batch_fast([part], add_special_tokens=False)[0].ids, "<u4") for part in stretches(text)])
 
     return encode
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32): a document's ids with end_id, whole if they fit, else cut into
-    pieces of `capacity` of which the first holds the remainder. Null text counts as empty."""
+    pieces of `capacity` of which the first holds the remainder. Null text counts as empty; an empty text is one piece, of
+    end_id alone. Repeated rows and rows without id are documents of their own. No rows, no pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = load_encoder(tokenizer), np.array([end_id], "<u4")
         for part in slices(batches, "text", 2 << 20):
             at, cols = [], ([], [], [], [])
             for i, text in enumerate(part.column("text").to_pylist()):
-                ids = np.concatenate([encode(text or "").astype("<u4"), end])
+                ids = np.concatenate([encode(text or ""), end])
                 cut = [0, *range(len(ids) % capacity or capacity, len(ids), capacity), len(ids)]
                 for k, (a, b) in enumerate(zip(cut, cut[1:])):
                     at.append(i)
@@ -98,7 +87,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
             kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(at, pa.int32())), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    narrow = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text"))
     return narrow.mapInArrow(run, f"doc_id {dict(narrow.dtypes)['doc_id']}, {PIECE}")
 
 
@@ -260,15 +249,15 @@ def places(bins: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarra
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, small: int = SMALL, groups: int = GROUPS) -> DataFrame:
-    """cut (with columns doc_id, piece, length <= capacity) plus sequence_id and offset (long). cut should be stored:
-    it is read twice.
+    """cut (with columns length <= capacity, no _deal) plus sequence_id and offset (long).
 
-    Ranks within a length come from counts by (length, deal), deal being a hash of the document: a length that a third
-    of all pieces have is ranked by as many tasks as there are deals. Rows that are equal get places of their own.
+    The pieces are stored with a deal, a hash of the place they are written at, so that no id, length or group of equal
+    rows stays together. Ranks within a length come from counts by (length, deal): a length that a third of all pieces have
+    is ranked by as many tasks as there are deals. Rows that are equal get places of their own.
     """
-    spark = cut.sparkSession
-    deals = partitions(spark)
-    dealt = cut.withColumn("_deal", F.expr(f"CAST(pmod(xxhash64(doc_id), {deals}) AS INT)"))
+    spark, names = cut.sparkSession, cut.columns
+    cut, deals = plain(cut), partitions(spark)
+    dealt = materialize(cut.withColumn("_deal", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(deals)).cast("int")), "pieces")
     counts = materialize(dealt.groupBy("length", "_deal").agg(F.count(F.lit(1)).alias("n")), "counts")  # capacity x deals rows at most
     before = W.partitionBy("length").orderBy("_deal").rowsBetween(W.unboundedPreceding, -1)
     base = counts.select("length", "_deal", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
@@ -291,12 +280,12 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, small: int = SMALL, groups: i
             keep = [c for c in batch.schema.names if c not in ("_deal", "_base")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(seq), pa.array(off)], [*keep, "sequence_id", "offset"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields)
-    placed = dealt.join(base, ["length", "_deal"]).select(*cut.columns, "_deal", "_base").repartition(deals, "_deal").sortWithinPartitions("_deal", "length", "doc_id", "piece")
-    return placed.mapInArrow(run, f"{fields}, sequence_id long, offset long")
+    fields = StructType([*cut.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    placed = dealt.join(base, ["length", "_deal"]).select(*cut.columns, "_deal", "_base").repartition(deals, "_deal").sortWithinPartitions("_deal", "length")
+    return placed.mapInArrow(run, fields).toDF(*names, "sequence_id", "offset")
 
 
 def query(docs: DataFrame) -> DataFrame:
-    """Every piece of every row with its place. Repeated rows are packed each; no rows, no pieces."""
-    cut = materialize(pieces(docs), "pieces")
-    return pack(cut).select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
+    """Every piece of every row with its place. A text of any length is tokenized whole. Null and empty texts, repeated rows,
+    rows without id and empty tables as in pieces(); columns besides id and text don't count."""
+    return pack(pieces(docs)).select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")

@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from heristat.llm import packing as P
@@ -36,12 +37,33 @@ def test_query(spark, documents, no_documents, real):
     check(spark.createDataFrame(special, "doc_id long, text string"))
 
 
-def test_long_white_space(spark):
-    n, end = 1_000_100, "<|endoftext|>"
-    texts = [" " * n, "a" + " " * n + "b c", "\n" * n + "b", "x  y" + " \n" * n + end + "\t" * n + "'s" + " " * 600_000 + "1", "\x85\x1c" + "\u3000" * n + "\x1c", "a" + " " * n + "\n!" + " " * 20]
+def test_long_runs(spark):
+    n, end = 2_000_000, "<|endoftext|>"
+    texts = [" " * n, "\n" * n, "ab" * (n // 2), "12" * (n // 2), "!." * (n // 2), "a" + " " * n + "b c", "x  y" + " \n" * n + end + "\t" * n + "'s", "\x85\x1c" + "\u3000" * n + "\x1c"]
     check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
 
 
+def test_stretches_keep_the_ids():
+    encode, rng = P.load_encoder(), np.random.default_rng(0)
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    parts = ["a", " ", "  ", "b c", "'s d", "\n", "é x", "1 2", "don't go", "<|endoftext|>", "! ?", "x\u00a0y z"]
+    for _ in range(200):
+        text = "".join(rng.choice(parts, 40))
+        cut = list(P.stretches(text, 5))
+        assert "".join(cut) == text
+        assert np.concatenate([encode(x) for x in cut]).tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert list(P.stretches("")) == [""] and list(P.stretches("ab cd ef", 3)) == ["ab cd", " ef"]
+
+
+def test_repeated_and_null_ids_are_dealt(spark):
+    df = spark.createDataFrame([(None, "word")] * 500 + [(7, "word " * 3000)] * 20, "doc_id long, text string").withColumn("a.b", F.lit(1))
+    check(df)
+    from heristat.llm.common import partitions
+
+    kept = P.pack(P.pieces(df.repartition(4)).withColumn("a.b", F.lit(1)))
+    assert kept.columns[-3:] == ["a.b", "sequence_id", "offset"] and kept.groupBy(F.spark_partition_id()).count().count() == partitions(spark)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 1024), st.integers(1, 400), max_size=60))
 def test_plan_uses_each_piece_once(histogram):
