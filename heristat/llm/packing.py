@@ -281,7 +281,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, small: int = SMALL, groups: i
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(seq), pa.array(off)], [*keep, "sequence_id", "offset"])
 
     fields = StructType([*cut.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
-    placed = dealt.join(base, ["length", "_deal"]).select(*cut.columns, "_deal", "_base").repartition(deals, "_deal").sortWithinPartitions("_deal", "length")
+    placed = dealt.join(base, ["length", "_deal"]).select(*cut.columns, "_deal", "_base").repartitionById(deals, "_deal").sortWithinPartitions("_deal", "length")
     return placed.mapInArrow(run, fields).toDF(*names, "sequence_id", "offset")
 
 
