@@ -2,6 +2,7 @@ import random
 import re
 
 import xxhash
+from pyspark.sql import functions as F
 
 from heristat.llm import simhash as S
 from heristat.llm.common import components
@@ -49,7 +50,7 @@ def test_no_link_is_lost(spark):
     fps = [(v - (1 << 64) if v >> 63 else v, i) for i, v in enumerate(sorted(values))]
     df = spark.createDataFrame(fps, "fp long, rep long")
     want = {d: c for d, _, c in slow_groups([(i, v) for i, v in enumerate(sorted(values))])}
-    for chunk in (7, 100_000):  # a small chunk deals every shard among several tasks
+    for chunk in (3, 7, 100, 100_000):  # a small chunk cuts shards finer and deals them among several tasks
         got = {r.node: r.component for r in components(S.links(df, chunk=chunk)).collect()}
         assert {i: got.get(i, i) for i in want} == want
 
@@ -84,3 +85,30 @@ def test_rows_that_share_an_id_alone(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, S.query(df).collect()), key=repr) == slow_groups([(d, slow(t)) for d, t in rows])
     assert sorted(map(tuple, S.deduplicate(df).collect())) == sorted([(1, a), (5, b), (7, min(c, c.upper())), (9, "x y z"), (9, "p q r")])
+
+
+def test_ids_of_any_size(spark):
+    least, most = -(1 << 63), (1 << 63) - 1
+    texts = [" ".join(f"{w}{i}" for i in range(80)) for w in ("one", "two", "three", "four")]
+    ids = [7, 5 * 10**18, 5 * 10**18 + 1, 5 * 10**18 + 2, least, least + 1, most, most - 1, None, -1, 0]
+    rows = [(d, texts[i % 4].upper() if i > 5 else texts[i % 4]) for i, d in enumerate(ids)] + [(None, None), (most, ""), (None, "alone by itself")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = slow_groups([(d, slow(t or "")) for d, t in rows])
+    assert sorted(map(tuple, S.query(df).collect()), key=repr) == want
+    kept = [r.doc_id for r in S.deduplicate(df).collect()]
+    assert sorted(d for d in kept if d is not None) == sorted({c for _, _, c in want if c is not None}) and kept.count(None) == 3
+
+
+def test_dotted_names(documents):
+    df = documents.withColumn("a.b", F.lit(1)).withColumn("c`d", F.lit(2))
+    got = S.deduplicate(df)
+    assert got.columns == df.columns and got.count() == S.deduplicate(documents).count()
+
+
+def test_masks_keep_links():
+    rng = random.Random(5)
+    plan = S.masks(3, 5)
+    for _ in range(500):
+        flips = sum(1 << b for b in rng.sample(range(64), rng.randrange(4)))
+        near = [more for mask, more in plan if not flips & mask]
+        assert near and all(any(not flips & m for m in more) for more in near)
