@@ -136,4 +136,4 @@ def test_index_compares_few_of_many(spark):
         compared.append(g["compared"].iloc[0])
         if q < 3000:
             assert g.sort_values("rank").vec_id.tolist() == [i for i in range(6) if i != q][:5]
-    assert len(got) == 600 and hit / 600 >= 0.9 and np.median(compared) < 0.2 * len(x)
+    assert len(got) == 600 and hit / 600 >= 0.9 and np.quantile(compared, 0.3) < 0.05 * len(x)  # the rest are of the large cluster
