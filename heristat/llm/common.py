@@ -17,6 +17,8 @@ _OWN: list[str] = []
 #: Tables stored since the innermost stored() began.
 _MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
+HOT_KEYS = 10_000
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Spelling of the word pattern for SQL string literals and Java regexes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -124,6 +126,21 @@ def bounded(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def spread_join(many: DataFrame, few: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:
+    """many joined with few, a stored table with a row for each key and in its column n how many rows of many have it.
+
+    Keys with more than 1 / HOT_KEYS of all rows, fewer than HOT_KEYS therefore, are broadcast; the others have no hot key.
+    """
+    total = few.agg(F.sum(n)).first()[0] or 0
+    hot = materialize(few.filter(F.col(n) > max(1000, total // HOT_KEYS)), "hot")
+    if hot.isEmpty():
+        return many.join(few, key, how)
+    named = many.join(F.broadcast(hot.select(F.col(key).alias("_hot"))), F.col(key) == F.col("_hot"), "left")
+    some = many.join(F.broadcast(hot), key)
+    rest = named.filter("_hot IS NULL").drop("_hot").join(few.join(F.broadcast(hot.select(key)), key, "left_anti"), key, how)
+    return some.unionByName(rest)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from heristat.llm.common import components, hex64, materialize, partitions, quoted, slices, utf8, whole
+from heristat.llm.common import components, hex64, materialize, partitions, quoted, slices, spread_join, utf8, whole
 
 RADIUS, BLOCKS, CHUNK, SEED = 3, 5, 4096, 42
 #: Chunks from which a shard is cut finer, and whose queries a task's tree answers at most.
@@ -177,8 +177,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, chunk
     plan = masks(radius, blocks)
     coarse = F.array(*(F.struct(F.lit(n).alias("n"), F.xxhash64(F.lit(n), F.col("fp").bitwiseAND(F.lit(m))).alias("key")) for n, (m, _) in enumerate(plan)))
     rows = distinct.select("fp", "rep", F.explode(coarse).alias("x")).select("fp", "rep", "x.n", "x.key")
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    sized = rows.join(sizes, "key")
+    sizes = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
+    sized = spread_join(rows, sizes, "key", "size")
     fine = F.lit(None)
     for n, (_, more) in enumerate(plan):
         fine = F.when(F.col("n") == n, F.array(*(F.xxhash64(F.col("key"), F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(more)))).otherwise(fine)
@@ -196,12 +196,13 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, chunk
 
 
 def _named(fps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
-    """Rows (fp, c, component_id) of the distinct fingerprints: c tells components apart, also two of one component_id."""
+    """Rows (fp, c, component_id, rows) of the distinct fingerprints: c tells components apart, also two of one component_id;
+    rows counts the documents of a fingerprint."""
     # nodes are fingerprints, not ids: rows that share an id but not a link stay apart
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")), "nodes")
     found = components(links(nodes.select("fp", F.col("fp").alias("rep")), radius, chunk=chunk))
-    named = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
-    return named.join(named.groupBy("c").agg(F.min("least").alias("component_id")), "c").select("fp", "c", "component_id")
+    named = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", "rows", F.coalesce("component", "fp").alias("c"))
+    return materialize(named.join(named.groupBy("c").agg(F.min("least").alias("component_id")), "c").select("fp", "c", "component_id", "rows"), "named")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
@@ -213,7 +214,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     no rows. Other columns don't count.
     """
     fps = materialize(fingerprints(docs, id_col, text_col, width), "fps")
-    return fps.join(_named(fps, radius, chunk), "fp").select("doc_id", "fp", "component_id")
+    return spread_join(fps, _named(fps, radius, chunk), "fp", "rows").select("doc_id", "fp", "component_id")
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -225,7 +226,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     doc_id and a component are one document: one of them, the least by its columns in order, stays. Rows that share a
     doc_id alone are told apart by their text. Null and empty texts are one group; no rows: no rows."""
     fps = materialize(fingerprints(docs), "fps")
-    own = fps.join(_named(fps), "fp").filter("doc_id = component_id").groupBy("doc_id", "c", "key").agg(F.count(F.lit(1)).alias("n"))
+    own = spread_join(fps, _named(fps), "fp", "rows").filter("doc_id = component_id").groupBy("doc_id", "c", "key").agg(F.count(F.lit(1)).alias("n"))
     own = materialize(own, "own")
     kept = own.drop("n").join(own.groupBy("doc_id", "c").agg(F.sum("n").alias("n")), ["doc_id", "c"])
     rows = docs.select(F.col("doc_id").alias("id"), _key("text").alias("text_key"), whole(docs).alias("row"))

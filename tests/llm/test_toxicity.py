@@ -66,7 +66,8 @@ def test_both_ways_to_fit_agree(spark, real):
     model = T.train(real, labels, most=10**6)  # no ties at the end of the vocabulary
     held = real.join(labels, "doc_id").orderBy("doc_id").collect()
     other = T.fit([r.text.encode() for r in held], [0 if not r.toxic else 1 if r.quality else 2 for r in held], most=10**6)
-    assert model.weights.keys() == other.weights.keys() and np.allclose(model.cuts, other.cuts, atol=1e-3)
+    p, q = (np.array([m.at_least(r.text.encode()) for r in held]) for m in (model, other))
+    assert np.allclose(model.cuts, other.cuts, atol=0.05) and np.abs(p - q).max() < 0.02
 
 
 def test_dotted_names(spark, documents):
