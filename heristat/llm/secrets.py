@@ -2,8 +2,8 @@
 
 Base matches are fixed patterns. Beside them the scan proposes credential-like strings (long, mixed characters, high
 entropy) that no pattern names. Every string's hash is counted over distinct repositories and owners in the whole
-corpus: one that many owners hold is an example copied around, one that a single owner holds looks live. The latter are
-added as spans of kind "owned".
+corpus: one that many owners, or very many repositories, hold is an example copied around, one that a single owner holds
+in a few looks live. The latter are added as spans of kind "owned", and every span is said to be live or copied.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from heristat.llm.common import materialize, slices
+from heristat.llm.common import materialize, quoted, slices, spread_join, whole
 
 KINDS = ("assign", "access", "hex", "owned")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -28,8 +29,8 @@ HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 MIN_ASSIGN = 12
 #: A loose string needs a digit, a letter, and this many bits of entropy a character.
 MIN_BITS = 3.0
-#: Strings in at most so many owners' documents look live; beyond, they are copied examples.
-MAX_OWNERS = 1
+#: Strings that at most so many owners and repositories hold look live; beyond, they are copied examples.
+MAX_OWNERS, MAX_REPOS = 1, 20
 
 SPAN = "struct<kind:int,start:int,end:int,value:bigint>"
 
@@ -82,40 +83,45 @@ def _strings(spans: str) -> str:
         x -> concat(element_at(array({names}), x.kind + 1), ':', x.start, ':', x.end)), ',')"""
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """Rows (doc_id, text_key, spans), one per input row: spans array<struct<kind, start, end, value, owners, repos>>,
-    kind an index into KINDS, offsets in code points; text_key = xxhash64(text).
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+    """Rows (doc_id, text_key, spans), one per input row: spans array<struct<kind, start, end, value, owners, repos, live>>,
+    kind an index into KINDS, offsets in code points, owners and repos the distinct ones that hold the string, live whether
+    these are at most max_owners and max_repos; text_key = xxhash64(text).
 
-    Null text counts as empty; null owners (repositories) count as one owner (repository) of that name. A base span
-    stays whatever its frequency; a loose one only if at most max_owners owners hold its string. Repeated rows are each
-    returned. Counting goes value, owner, repository -> value, owner -> value, each pre-aggregated in the map tasks; only
-    values that occur are joined back, and AQE splits a value that very many documents hold.
+    Null text counts as empty; a text of any length is scanned whole. Null owners (repositories) count as one owner
+    (repository) of that name. A base span stays whatever its frequency; a loose one only if it is live. Repeated rows are each
+    returned. No rows: no rows. Other columns don't count. Triples of value, owner and repository are made distinct first,
+    pre-aggregated in the map tasks; values that very many documents hold are joined back by a broadcast.
     """
+    text = F.col(quoted(text_col)).cast("string")
     narrow = docs.select(
-        F.col(id_col).alias("doc_id"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"),
-        F.coalesce(F.col(repo_col).cast("string"), F.lit("")).alias("repo"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_key"),
+        F.col(quoted(id_col)).alias("doc_id"), F.coalesce(F.col(quoted(owner_col)).cast("string"), F.lit("")).alias("owner"),
+        F.coalesce(F.col(quoted(repo_col)).cast("string"), F.lit("")).alias("repo"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"),
     )
     kinds = dict(narrow.dtypes)
     scanned = narrow.mapInArrow(_scan, f"doc_id {kinds['doc_id']}, owner string, repo string, text_key bigint, spans array<{SPAN}>")
     rows = materialize(scanned.withColumn("row", F.monotonically_increasing_id()), "spans")
     each = rows.select("row", "owner", "repo", F.explode("spans").alias("s")).select("row", "owner", "repo", "s.*")
-    owners = (
-        each.groupBy("value", "owner", "repo").agg(F.lit(1).alias("one"))
-        .groupBy("value", "owner").agg(F.count(F.lit(1)).alias("repos"))
-        .groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"))
-    )
-    judged = each.join(owners, "value").filter(f"kind < 3 OR owners <= {int(max_owners)}")
-    per_row = judged.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end", "value", "owners", "repos")).alias("spans"))
+    held = materialize(each.groupBy("value", "owner", "repo").agg(F.count(F.lit(1)).alias("n")), "held")
+    distinct = lambda c: held.groupBy("value", c).agg(F.sum("n").alias("n")).groupBy("value").agg(F.count(F.lit(1)).alias(f"{c}s"), F.sum("n").alias("n"))
+    seen = materialize(distinct("owner").join(distinct("repo").drop("n"), "value"), "seen")
+    live = (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)
+    judged = spread_join(each, seen, "value", "n").withColumn("live", live).filter("kind < 3 OR live")
+    per_row = judged.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end", "value", "owners", "repos", "live")).alias("spans"))
     return rows.drop("spans", "owner", "repo").join(per_row, "row", "left").select("doc_id", "text_key", F.coalesce("spans", F.expr("array()")).alias("spans"))
 
 
 def query(docs: DataFrame) -> DataFrame:
+    """The digest of every row's spans; verdicts says for each span, in spans' order, whether it looks live or copied, and how
+    many owners and repositories hold its string. The tables have no repositories: a document counts as one, a source as
+    its owner."""
     found = scan(docs)
     count = lambda k: F.expr(f"CAST(size(filter(spans, x -> x.kind = {k})) AS BIGINT)")
+    verdicts = "array_join(transform(array_sort(transform(spans, x -> struct(x.start, x.kind, x.end, x.live, x.owners, x.repos))), x -> concat(CASE WHEN x.live THEN 'live' ELSE 'copied' END, ':', x.owners, ':', x.repos)), ',')"
     return found.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(F.expr(_strings("filter(spans, x -> x.kind < 3)")), 256).alias("base_sha256"), F.expr(_strings("spans")).alias("spans"),
-        count(3).alias("n_owned"), F.expr("CAST(size(filter(spans, x -> x.owners > 1)) AS BIGINT)").alias("n_shared"),
+        count(3).alias("n_owned"), F.expr("CAST(size(filter(spans, x -> x.live)) AS BIGINT)").alias("n_live"), F.expr(verdicts).alias("verdicts"),
     )
 
 
@@ -133,16 +139,17 @@ def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span of scan() replaced by "[secret]" and n_chars, where there is one, brought up to date. All rows stay.
+    """docs with every span of scan() replaced by "[secret]" and n_chars, where there is one, brought up to date. All rows stay,
+    null and empty texts as they are. No rows: no rows. Other columns, whatever their names, stay.
 
     Spans are joined back by doc_id and text, so rows that share a doc_id are told apart.
     """
     spans = scan(docs).filter("size(spans) > 0").select(F.col("doc_id").alias("id"), "text_key", F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("spans"))
     spans = spans.groupBy("id", "text_key").agg(F.min("spans").alias("spans"))  # repeated rows have equal spans
-    own = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own"), F.col("text").cast("string").alias("text"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"))
+    own = docs.select(whole(docs).alias("row"), F.col("doc_id").alias("own"), F.col("text").cast("string").alias("text"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"))
     joined = own.join(spans, F.col("own").eqNullSafe(F.col("id")) & (F.col("key") == F.col("text_key")), "left").select("row", "text", "spans")
-    hit = joined.filter("spans IS NOT NULL").mapInArrow(_redact, f"row {joined.schema['row'].dataType.simpleString()}, text string")
+    hit = joined.filter("spans IS NOT NULL").mapInArrow(_redact, StructType([joined.schema["row"], StructField("text", StringType())]))
     new = {"text": F.col("text").cast(docs.schema["text"].dataType)}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return joined.filter("spans IS NULL").select("row.*").unionByName(hit.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns)))
+    return joined.filter("spans IS NULL").select("row.*").unionByName(hit.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns)))

@@ -1,6 +1,9 @@
 import hashlib
+import random
 import re
 
+from pyspark.sql import functions as F
+
 from heristat.llm import secrets as S
 
 RULES = (
@@ -41,6 +44,37 @@ def test_ownership(spark):
     assert S.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_owners=3).filter("size(spans) = 1").count() == 5
 
 
+def test_frequency_against_brute_force(spark, real):
+    """Owners and repositories are counted apart: a repository under two owners is one."""
+    rng = random.Random(4)
+    strings = ["".join(rng.choices("abcXYZ0123456789", k=24)) for _ in range(12)] + ["token=" + "".join(rng.choices("abc012", k=20)) for _ in range(6)]
+    rows = [(rng.randrange(40), " ".join(rng.sample(strings, rng.randrange(4))) + " text", rng.choice(["a", "b", None]), rng.choice(["r1", "r2", "r3", None])) for _ in range(60)]
+    rows += [(100 + i, strings[0], "z", f"many{i}") for i in range(30)] + [(200 + i, "q9" * 12, "z", f"many{i}") for i in range(30)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string")
+    for df, repo in ((made, "repo"), (made, "doc_id"), (real, "doc_id")):
+        held, found = {}, []
+        for r in df.collect():
+            spans = S.scan_text(r.text or "")
+            found.append((r.doc_id, r.text or "", spans))
+            for *_, value in spans:
+                held.setdefault(value, set()).add((r.source or "", str(r[repo]) if r[repo] is not None else ""))
+        figures = {v: (len({o for o, _ in h}), len({x for _, x in h})) for v, h in held.items()}
+        want = []
+        for d, _, spans in found:
+            kept = [(s, k, e, figures[v]) for k, s, e, v in spans if k < 3 or figures[v][0] <= 1 and figures[v][1] <= 20]
+            want.append((d, [(k, s, e, o, n, o <= 1 and n <= 20) for s, k, e, (o, n) in sorted(kept)]))
+        got = [(r.doc_id, [(x.kind, x.start, x.end, x.owners, x.repos, x.live) for x in sorted(r.spans, key=lambda x: (x.start, x.kind))]) for r in S.scan(df, repo_col=repo).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_hot_values(spark, monkeypatch):
+    monkeypatch.setattr("heristat.llm.common.HOT_KEYS", 3)
+    rows = [(i, "token=abcdefghijklmnop", "ab"[i % 2]) for i in range(2500)] + [(5000 + i, f"token=abcdefghijkl{i:04d}", "a") for i in range(50)]
+    got = S.query(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert got.count() == 2550 and got.filter("n_assign = 1").count() == 2550 and got.filter("n_live = 1").count() == 50
+    assert {r.verdicts for r in got.filter("doc_id < 2500").collect()} == {"copied:2:2500"}
+
+
 def test_redact(spark, documents, no_documents):
     rows = [(1, "x token=abcdefghijklmnop y " + "a" * 20 + " z", "s", 50), (1, "clean", "s", 5), (None, "AKIA" + "A" * 20, "s", 24), (2, None, "s", None)]
     got = S.redact(spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")).collect()
@@ -48,3 +82,6 @@ def test_redact(spark, documents, no_documents):
     same = S.redact(documents)
     assert same.columns == documents.columns and sorted(map(tuple, same.collect()), key=repr) == sorted(map(tuple, documents.collect()), key=repr)
     assert S.redact(no_documents).count() == 0
+    named = documents.withColumn("a.b", F.lit(1)).withColumn("c`d", F.lit(2))
+    same = S.redact(named.withColumn("text", F.concat("text", F.lit(" AKIA" + "Z" * 20))))
+    assert same.columns == named.columns and same.count() == named.count()
