@@ -34,9 +34,10 @@ CAPACITY, END_ID, TOKENIZER = 1024, 2, "byte_bpe_50k"
 #: Pieces up to a quarter of the capacity are small; the others are dealt into so many groups.
 SMALL, GROUPS = 256, 64
 
-#: Where a text longer than STRETCH may be cut without a change of its ids: before a space between two ASCII letters. By the
-#: tokenizer's pattern a run of letters ends there, and the space goes with the letters behind it.
-STRETCH, SEAM = 1 << 20, re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
+#: Where a text longer than STRETCH may be cut without a change of its ids: before a single space between two other characters
+#: than white space. By the tokenizer's pattern nothing but white space has a space in it or behind its first place, and a
+#: single space goes with what follows it. Python's white space includes the tokenizer's.
+STRETCH, SEAM = 1 << 20, re.compile(r"(?<=\S) (?=\S)")
 
 PIECE = "piece int, start long, length int, ids_crc32 long"
 
@@ -54,18 +55,34 @@ def stretches(text: str, size: int = STRETCH) -> Iterator[str]:
 
 
 def load_encoder(name: str = TOKENIZER):
-    """A function from text to its ids, a uint32 array: those of tokenizers on <name>.json without added special tokens. Long
-    texts go through in stretches, which bounds memory."""
+    """A function from text to its ids, a uint32 array: those of tokenizers on <name>.json without added special tokens.
+
+    Most are computed with tiktoken on the same vocabulary, four to five times as fast; the tests hold them against
+    tokenizers. As there, <|endoftext|> in a text is its own id. What tiktoken's pattern can't take, runs of white space
+    near 10^6, goes to tokenizers itself. Long texts go through in stretches, which bounds memory.
+    """
+    import base64
+
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one thread
     import public_tokenizers
+    import tiktoken
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-
-    def encode(text: str) -> np.ndarray:
-        return np.concatenate([np.array(tokenizer.encode_batch_fast([part], add_special_tokens=False)[0].ids, "<u4") for part in stretches(text)])
-
-    return encode
+    with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    end_of_text = "<|endoftext|>"
+    fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={end_of_text: len(ranks)})
+    loaded: list[Tokenizer] = []
+
+    def encode(part: str) -> np.ndarray:
+        try:
+            return fast.encode_to_numpy(part, allowed_special={end_of_text})
+        except ValueError:
+            if not loaded:
+                loaded.append(Tokenizer.from_file(public_tokenizers.path(f"{name}.json")))
+            return np.array(loaded[0].encode_batch_fast([part], add_special_tokens=False)[0].ids, np.uint32)
+
+    return lambda text: np.concatenate([encode(part).astype("<u4") for part in stretches(text)])
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
