@@ -68,3 +68,12 @@ def residualize(rows: DataFrame, covariates: list[str], value: str = "y") -> Dat
     beta = np.linalg.pinv(gram(rows, covariates, covariates)) @ gram(rows, covariates, [value])[:, 0]
     fitted = reduce(lambda a, b: a + b, (F.lit(float(k)) * F.col(c) for k, c in zip(beta, covariates)))
     return rows.withColumn(value, F.col(value) - fitted)
+
+
+def project(columns: DataFrame, covariates: DataFrame, names: list[str], value: str, keys: list[str]) -> DataFrame:
+    """columns (keys, i, value) with value replaced by its projection C (C'C)^+ C' value on the covariates (i, names...). A key
+    has len(names) numbers; what is joined back to the individuals is a row for each key."""
+    inverse = np.linalg.pinv(gram(covariates, names, names))
+    part = columns.join(covariates, "i").groupBy(*keys).agg(*(F.sum(F.col(value) * F.col(c)).alias(f"_s{n}") for n, c in enumerate(names)))
+    fitted = reduce(lambda a, b: a + b, (F.lit(float(inverse[a, b])) * F.col(names[a]) * F.col(f"_s{b}") for a in range(len(names)) for b in range(len(names))))
+    return columns.select("i", *keys).join(covariates, "i").join(part, keys).select("i", *keys, fitted.alias(value))

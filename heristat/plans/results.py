@@ -19,6 +19,13 @@ def heritability(sigma: DataFrame) -> DataFrame:
     return share.unionByName(share.groupBy("j").agg(F.sum("value").alias("value")).select("j", F.lit("total").alias("k"), "value"))
 
 
+def explained(estimates: DataFrame) -> DataFrame:
+    """(j, k, value) of estimates (j, k, value, trace) whose traces differ: what each component but noise, value times trace,
+    is of their sum."""
+    own = F.col("value") * F.col("trace")
+    return estimates.select("j", "k", F.try_divide(own, F.sum(own).over(W.partitionBy("j"))).alias("value")).filter("k <> 'e'")
+
+
 def overlapping_heritability(sigma: DataFrame, annot: DataFrame, sizes: DataFrame) -> DataFrame:
     """(j, k, value) for bins that share SNPs: a SNP brings sigma_b / M_b for each of its bins b. The sum over SNPs is one
     over bins with co-occurrence counts n(k, b), of SNPs outside block j. sizes is (j, bin, n), annot (m, bin) or, where

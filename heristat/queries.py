@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from heristat import fixtures as X
+from heristat import fixtures as X, model_sql
 from heristat.functions.scalar import liability
 from heristat.operators import genotype as G, layout as L, tables as T
 from heristat.plans import kernel as K, moments as M, results as R
@@ -454,56 +454,84 @@ def rhe_traits(spark, d):
     return K.estimate(spark, K.as_rows(X.geno(spark, d), X.annot_disjoint(spark), J, X.SNPS), study).select("trait", "j", "k", *r6("value", digits=5))
 
 
-@query()
+def _model(kinds: tuple[str, ...], select: str, cov: bool = False, blocks: int = J) -> str:
+    """select over the fragments of a model's equations, down to its estimates sol (j, c, value, trace)."""
+    own, _ = model_sql.equations(kinds, cov, B, J)
+    return sql("", "x", "xb", "nl", "z", "yc", "env", "cov", "geno", "mu").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ", " + own + " " + select
+
+
+_SOL = "(SELECT j, c AS k, value FROM sol)"
+
+
+@query(_model(("g",), _jack(_SOL), cov=True))
 def rhe_covariates(spark, d):
     return R.jackknife(_fit(spark, d, "rhe", X.annot_disjoint(spark), 2, cov=True), J).select("k", *r6("estimate", "se", digits=5))
 
 
-@query()
+@query(_model(("g", "d"), _jack(_SOL)))
 def rhe_dom(spark, d):
     return R.jackknife(_fit(spark, d, "rhe_dom", X.annot_disjoint(spark), 2), J).select("k", *r6("estimate", "se", digits=5))
 
 
-def _genie(spark, d, model: str) -> DataFrame:
-    """Shares of the variance that components explain: sigma times its trace, over the sum."""
-    s = _fit(spark, d, model, X.annot_disjoint(spark), 2, env=True)
-    adjusted = s.select("j", "k", (F.col("value") * F.col("trace")).alias("value"))
-    whole = adjusted.groupBy("j").agg(F.sum("value").alias("all"))
-    shares = adjusted.join(whole, "j").filter("k <> 'e'").select("j", "k", F.try_divide("value", "all").alias("value"))
-    return R.jackknife(R.class_totals(shares), J).select("k", *r6("estimate", "se", digits=5))
+@query(_model(("g", "d"), _jack(_SOL), cov=True))
+def rhe_dom_covariates(spark, d):
+    return R.jackknife(_fit(spark, d, "rhe_dom", X.annot_disjoint(spark), 2, cov=True), J).select("k", *r6("estimate", "se", digits=5))
+
+
+def _shares(spark, d, model: str, **more) -> DataFrame:
+    return R.explained(_fit(spark, d, model, X.annot_disjoint(spark), 2, env=True, **more))
+
+
+def _genie(spark, d, model: str, **more) -> DataFrame:
+    return R.jackknife(R.class_totals(_shares(spark, d, model, **more)), J).select("k", *r6("estimate", "se", digits=5))
 
 
-@query()
+_SHARE = "(SELECT j, c AS k, value * trace / sum(value * trace) OVER (PARTITION BY j) AS value FROM sol)"
+_CLASSES = f"(WITH s AS (SELECT * FROM {_SHARE} WHERE k <> 'e') SELECT * FROM s UNION ALL SELECT j, split_part(k, ':', 1) || ':total', sum(value) FROM s WHERE k LIKE 'g:%' OR k LIKE 'gxe:%' GROUP BY ALL UNION ALL SELECT j, 'total', sum(value) FROM s GROUP BY j)"
+
+
+@query(_model(("g",), _jack(_CLASSES)))
 def genie_g(spark, d):
     return _genie(spark, d, "G")
 
 
-@query()
+@query(_model(("g", "gxe"), _jack(_CLASSES)))
 def genie_gxe(spark, d):
     return _genie(spark, d, "G+GxE")
 
 
-@query()
+@query(_model(("g", "gxe", "nxe"), _jack(_CLASSES)))
 def genie_full(spark, d):
     return _genie(spark, d, "G+GxE+NxE")
 
 
-@query("SELECT k, round(v, 6) AS value FROM (SELECT unnest(['g:0', 'g:1', 'gxe:0', 'nxe:0', 'g:total', 'gxe:total', 'total']) AS k, unnest([0.2, 0.1, 0.05, 0.15, 0.2 + 0.1, 0.05, 0.5]::DOUBLE[]) AS v)")
+@query(_model(("g", "gxe", "nxe"), _jack(_CLASSES), cov=True))
+def genie_covariates(spark, d):
+    return _genie(spark, d, "G+GxE+NxE", cov=True)
+
+
+@query(_model(("g", "gxe", "nxe"), f"SELECT j, k, round(value, 5) AS value FROM {_CLASSES}"))
 def genie_h2(spark, d):
-    shares = spark.createDataFrame([(0, "g:0", 0.2), (0, "g:1", 0.1), (0, "gxe:0", 0.05), (0, "nxe:0", 0.15)], "j long, k string, value double")
-    return R.class_totals(shares).select("k", *r6("value"))
+    """Every sample's shares with their class totals."""
+    return R.class_totals(_shares(spark, d, "G+GxE+NxE")).select("j", "k", *r6("value", digits=5))
 
 
-@query("SELECT k, round(v, 6) AS value FROM (SELECT unnest(['0', '1']) AS k, unnest([(0.2 / 0.3) / 0.5, (0.1 / 0.3) / 0.5]::DOUBLE[]) AS v)")
+@query(_model(("g", "gxe", "nxe"), f"SELECT split_part(k, ':', 2) AS k, round(value / sum(value) OVER () / 0.5, 5) AS value FROM {_SHARE} WHERE j = {J} AND k LIKE 'g:%'"))
 def genie_enrichment(spark, d):
-    """Of G bins among themselves."""
-    h = spark.createDataFrame([(0, "0", 0.2), (0, "1", 0.1), (0, "total", 0.3)], "j long, k string, value double")
-    return R.enrichment(h, L.bin_sizes(X.annot_disjoint(spark)).withColumn("j", F.lit(0).cast("bigint"))).select("k", *r6("value"))
+    """Of G bins among themselves, without covariates, over all blocks."""
+    g = _bins(_shares(spark, d, "G+GxE+NxE").filter(f"k LIKE 'g:%' AND j = {J}"))
+    h = g.unionByName(g.groupBy("j").agg(F.sum("value").alias("value")).select("j", F.lit("total").alias("k"), "value"))
+    return R.enrichment(h, L.bin_sizes(X.annot_disjoint(spark)).withColumn("j", F.lit(J).cast("bigint"))).select("k", *r6("value", digits=5))
 
 
-@query()
+_HEIGHT = "(VALUES (0.01::DOUBLE, 0.026652142203457625::DOUBLE), (0.05, 0.10313564037537128), (0.1, 0.17549833193248682)) p(pop_prev, height)"  # normal density at the quantile
+
+
+@query(sql(f"SELECT pop_prev, round(estimate * f, 5) AS h2, round(se * f, 5) AS se, round({model_sql.ERFC}, 5) AS p FROM (SELECT *, pow(pop_prev * (1 - pop_prev) / height, 2) / (0.4 * 0.6) AS f, abs(estimate / se) / sqrt(2) AS x FROM (SELECT max(value) FILTER (j = {J}) AS estimate, sqrt({J - 1} * var_pop(value) FILTER (j < {J})) AS se FROM h2 WHERE k = 'total'), {_HEIGHT})", "h2"))
 def liability_h2(spark, d):
-    rows = [(float(p), *liability(0.3, 0.05, 0.4, float(p))) for p in (0.01, 0.05, 0.1)]
+    """The fitted total on the liability scale, for three prevalences."""
+    total = R.jackknife(R.heritability(_two(spark, d).select("j", "k", "value")), J).filter("k = 'total'").first()
+    rows = [(p, *(round(x, 5) for x in liability(total.estimate, total.se, 0.4, p))) for p in (0.01, 0.05, 0.1)]
     return spark.createDataFrame(rows, "pop_prev double, h2 double, se double, p double")
 
 
@@ -513,33 +541,28 @@ def engine_diff(spark, d):
     return R.differences(s, s.withColumn("value", F.col("value") * (1 + F.col("j") % 2)), ["j", "k"]).select("k", "j", *r6("diff", digits=5))
 
 
-@query()
+_C3 = ["c0", "c1", "c2"]
+
+
+@query(_model(("g",), "SELECT i, b, round(v, 4) AS v FROM (" + model_sql._fitted("SELECT i, b, sum(v) AS v FROM ct WHERE u = 0 GROUP BY i, b", "b") + ")", cov=True))
 def uxxz(spark, d):
     """C (C'C)^+ C' X (X'z): the projection is applied once, to the sums."""
     v = M.xxz(G.standardize(X.geno(spark, d)), _z(spark, d))
-    c = X.covariates(spark, d)
-    inverse = np.linalg.pinv(T.gram(c, ["c0", "c1", "c2"], ["c0", "c1", "c2"]))
-    part = v.join(c, "i").groupBy("b").agg(*(F.sum(F.col("v") * F.col(k)).alias(f"s{n}") for n, k in enumerate(("c0", "c1", "c2"))))
-    fitted = sum((F.lit(float(inverse[a, b])) * F.col(f"c{a}") * F.col(f"s{b}") for a in range(3) for b in range(3)), F.lit(0.0))
-    return c.crossJoin(F.broadcast(part)).select("i", "b", F.round(fitted, 4).alias("v"))  # part has a row a vector
+    return T.project(v, X.covariates(spark, d), _C3, "v", ["b"]).select("i", "b", *r6("v", digits=4))
 
 
-@query()
+@query(_model(("g",), "SELECT i, b, round(sum(v), 4) AS v FROM ct WHERE u = 1 GROUP BY i, b", cov=True))
 def xxuz(spark, d):
     """X (X' U z) with U the projection on the covariates."""
-    c, z = X.covariates(spark, d), _z(spark, d)
-    inverse = np.linalg.pinv(T.gram(c, ["c0", "c1", "c2"], ["c0", "c1", "c2"]))
-    part = z.join(c, "i").groupBy("b").agg(*(F.sum(F.col("z") * F.col(k)).alias(f"s{n}") for n, k in enumerate(("c0", "c1", "c2"))))
-    fitted = sum((F.lit(float(inverse[a, b])) * F.col(f"c{a}") * F.col(f"s{b}") for a in range(3) for b in range(3)), F.lit(0.0))
-    uz = c.crossJoin(F.broadcast(part)).select("i", "b", fitted.alias("z"))  # part has a row a vector
+    uz = T.project(_z(spark, d), X.covariates(spark, d), _C3, "z", ["b"])
     return M.xxz(G.standardize(X.geno(spark, d)), uz).select("i", "b", *r6("v", digits=4))
 
 
-@query()
+@query(_model(("g",), f"SELECT split_part(k, ':', 2)::INT AS k, split_part(l, ':', 2)::INT AS l, round(t, 3) AS t FROM t WHERE j = {J} UNION ALL SELECT split_part(c, ':', 2)::INT, 2, round(base, 3) FROM base WHERE j = {J} UNION ALL SELECT 2, split_part(c, ':', 2)::INT, round(base, 3) FROM base WHERE j = {J} UNION ALL SELECT 2, 2, (SELECT count(*)::DOUBLE - 3 FROM ids)", cov=True))
 def t_matrix_cov(spark, d):
     study = _study(spark, d, "rhe", 2, X.simulated(spark, d), blocks=1, cov=True)
     t, _, _ = K.run(spark, K.as_rows(X.geno(spark, d), X.annot_disjoint(spark), 1, X.SNPS), study)
-    return spark.createDataFrame([(k, l, round(float(t[-1, k, l]), 4)) for k in range(3) for l in range(3)], "k int, l int, t double")
+    return spark.createDataFrame([(k, l, round(float(t[-1, k, l]), 3)) for k in range(3) for l in range(3)], "k int, l int, t double")
 
 
 # --- sources and sinks ------------------------------------------------------------------------------------------------------
@@ -551,7 +574,7 @@ def parse_log(spark, d):
     return files.parse_reports(spark.createDataFrame([("a", text)], "path string, value string"))
 
 
-@query(sql("SELECT j::INT AS j, round(ld0, 3) AS ld_sum_0, round(ld1, 3) AS ld_sum_1, n FROM (SELECT t.j, max((t - nn) * p.n * p.n / (nn * nn)) FILTER (k = 0) AS ld0, max((t - nn) * p.n * p.n / (nn * nn)) FILTER (k = 1) AS ld1, sum(p.n)::BIGINT AS n FROM t JOIN nl p ON p.j = t.j AND p.bin = t.k, (SELECT count(*)::DOUBLE AS nn FROM ids) WHERE k = l GROUP BY t.j)", "t", "nl", "ids"))
+@query(sql("SELECT j::INT AS j, k::INT AS k, round(max(ld) FILTER (l = 0), 3) AS LD_SUM_0, round(max(ld) FILTER (l = 1), 3) AS LD_SUM_1, any_value(n)::BIGINT AS NSNPS_JACKKNIFE FROM (SELECT t.j AS j, k, l, p.n AS n, (t - nn) * p.n * q.n / (nn * nn) AS ld FROM t JOIN nl p ON p.j = t.j AND p.bin = t.k JOIN nl q ON q.j = t.j AND q.bin = t.l, (SELECT count(*)::DOUBLE AS nn FROM ids)) GROUP BY j, k", "t", "nl", "ids"))
 def trace_summary(spark, d):
     study = _study(spark, d, "rhe", 2, X.simulated(spark, d))
     t, _, m = K.run(spark, K.as_rows(X.geno(spark, d), X.annot_disjoint(spark), J, X.SNPS), study)

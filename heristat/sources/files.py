@@ -135,17 +135,19 @@ def write_results(rows: DataFrame, path: str) -> None:
 
 
 def trace_rows(spark: SparkSession, t: np.ndarray, m: np.ndarray, n: int) -> DataFrame:
-    """(j, ld_sum_k..., n): traces as sums of squared correlations by sample and component, and the SNPs in the sample."""
-    k = m.shape[1]
-    rows = [(j, *(round(float((t[j, i, i] - n) * m[j, i] ** 2 / n**2), 3) for i in range(k)), int(m[j].sum())) for j in range(len(t))]
-    return spark.createDataFrame(rows, "j int, " + ", ".join(f"ld_sum_{i} double" for i in range(k)) + ", n long")
+    """(j, k, LD_SUM_0..., NSNPS_JACKKNIFE): for every sample and component k a row of the traces with all components, as sums of
+    squared correlations, and the SNPs of k in the sample."""
+    bins = m.shape[1]
+    rows = [(j, k, *(round(float((t[j, k, i] - n) * m[j, k] * m[j, i] / n**2), 3) for i in range(bins)), int(m[j, k])) for j in range(len(t)) for k in range(bins)]
+    return spark.createDataFrame(rows, "j int, k int, " + ", ".join(f"LD_SUM_{i} double" for i in range(bins)) + ", NSNPS_JACKKNIFE long")
 
 
 def write_trace(rows: DataFrame, header: dict[str, int], path: str) -> None:
-    """The summary (NSAMPLE, NSNPS, NBLKS, NBINS, K) as path.MN and the traces as path.tr, comma-separated."""
+    """The summary (NSAMPLE, NSNPS, NBLKS, NBINS, K) as path.MN and trace_rows(), by sample and component, as path.tr,
+    comma-separated."""
     spark = rows.sparkSession
     spark.createDataFrame([tuple(header.values())], ", ".join(f"{c} long" for c in header)).coalesce(1).write.mode("overwrite").csv(f"{path}.MN", header=True)
-    rows.orderBy("j").drop("j").coalesce(1).write.mode("overwrite").csv(f"{path}.tr", header=True)
+    rows.coalesce(1).sortWithinPartitions("j", "k").drop("j", "k").write.mode("overwrite").csv(f"{path}.tr", header=True)
 
 
 def random_bins(snps: DataFrame, bins: int, seed: int) -> DataFrame:
