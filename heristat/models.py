@@ -60,7 +60,33 @@ class Result:
     h2: DataFrame
     enrichment: DataFrame
     overlapping: DataFrame | None = None
-    liability: list[tuple] = field(default_factory=list)
+    overlapping_enrichment: DataFrame | None = None
+    liability: list[tuple] = field(default_factory=list)  # trait's name, heritability, standard error and p-value
+    traits: list[str] = field(default_factory=list)
+    trace: DataFrame | None = None  # as files.trace_rows() has them
+    header: dict[str, int] = field(default_factory=dict)  # of the trace's summary
+
+    def tables(self) -> dict[str, DataFrame]:
+        found = {"sigma": self.sigma, "h2": self.h2, "enrichment": self.enrichment, "h2_overlapping": self.overlapping, "enrichment_overlapping": self.overlapping_enrichment}
+        return {k: v for k, v in found.items() if v is not None}
+
+    def reports(self, runtime: float | None = None) -> list[str]:
+        """The text log of each trait. A component's row a trait comes to the driver."""
+        order = {"g": 0, "d": 1, "gxe": 2, "nxe": 3, "e": 4, "total": 5}
+        rank = lambda c: (order.get(c.split(":")[0], -1), [int(x) if x.isdigit() else 99 for x in c.split(":")])
+        parts: list[dict] = [{} for _ in self.traits]
+        for name, df in self.tables().items():
+            for p in parts:
+                p[name] = []
+            for r in df.select("trait", "k", "estimate", "se").toLocalIterator():
+                k = f"g:{r.k}" if name.endswith("overlapping") and r.k != "total" else r.k
+                parts[r.trait][name].append((k, r.estimate, r.se))
+        for p in parts:
+            for rows in p.values():
+                rows.sort(key=lambda r: rank(r[0]))
+        classes = any(k.startswith(("gxe", "g:total")) for p in parts for k, *_ in p["h2"])
+        known = {x[0]: x[1:] for x in self.liability}
+        return [files.report(p, classes, known.get(t), runtime) for t, p in zip(self.traits, parts)]
 
 
 def fit(spark: SparkSession, inputs: Inputs, settings: Settings) -> Result:
@@ -113,7 +139,8 @@ def fit(spark: SparkSession, inputs: Inputs, settings: Settings) -> Result:
     by_snp = annot.groupBy("m").agg(F.collect_set(F.col("bin").cast("int")).alias("bins"))
     source = snps.join(by_snp, "m", "left").select(L.block_of(F.col("m"), inputs.n_snps, settings.num_block).alias("block"), "m", "dosage", "bins")
     j = settings.num_block
-    found = K.estimate(spark, source, study)
+    t, q, m = K.run(spark, source, study)
+    found = K.solved(spark, study, t, q, m)
     sigma = R.jackknife(found, j, ("trait", "k"))
     value = found.withColumn("value", F.col("value") * F.col("trace")) if settings.model == "genie" else found
     keyed = value.select(F.concat_ws("/", "trait", "j").alias("j"), "k", "value")  # samples of all traits side by side
@@ -131,7 +158,8 @@ def fit(spark: SparkSession, inputs: Inputs, settings: Settings) -> Result:
     if settings.model == "genie":
         sizes = sizes.filter("bin LIKE 'g:%'")
     rich = R.enrichment(whole, sizes)
-    result = Result(found, sigma, jack(shares), jack(rich))
+    result = Result(found, sigma, jack(shares), jack(rich), traits=traits, trace=files.trace_rows(spark, t, m, len(study.y)))
+    result.header = {"NSAMPLE": len(study.y), "NSNPS": inputs.n_snps, "NBLKS": j, "NBINS": int(bins), "K": settings.num_vec}
     if settings.model == "rhe":
         plain = keyed.withColumn("k", F.regexp_replace("k", "^g:", ""))
         blocked = annot.withColumn("block", L.block_of(F.col("m"), inputs.n_snps, j))
@@ -139,8 +167,12 @@ def fit(spark: SparkSession, inputs: Inputs, settings: Settings) -> Result:
         overlap = one[0]
         for x in one[1:]:
             overlap = overlap.unionByName(x)
-        result.overlapping = jack(overlap)
+        total = overlap.groupBy("j").agg(F.sum("value").alias("value")).select("j", F.lit("total").alias("k"), "value")
+        result.overlapping = jack(overlap.unionByName(total))
+        left = sizes.withColumn("bin", F.regexp_replace("bin", "^g:", ""))
+        result.overlapping_enrichment = jack(R.enrichment(overlap.unionByName(total), left))
     if settings.samp_prev is not None:
-        for r in result.h2.filter("k = 'total'").toLocalIterator():  # a row a trait
+        binary = {t for t in traits if T.is_binary(inputs.pheno, [t]).first().is_binary}
+        for r in result.h2.filter("k = 'total'").filter(F.col("trait").isin([i for i, t in enumerate(traits) if t in binary])).toLocalIterator():  # a row a trait
             result.liability.append((traits[r.trait], *liability(r.estimate, r.se, settings.samp_prev, settings.pop_prev)))
     return result

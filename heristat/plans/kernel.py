@@ -258,6 +258,15 @@ def _blocks(batches: Iterator[pa.RecordBatch], study: Study, right: np.ndarray)
         yield block, sums
 
 
+def _add(pdf):
+    """Sums of tasks, or of groups of them, added up one by one."""
+    xx, yy = np.zeros(len(pdf.xx.iloc[0])), np.zeros(len(pdf.yy.iloc[0]))
+    for a, b in zip(pdf.xx, pdf.yy):
+        xx += a
+        yy += b
+    return pdf.iloc[:1].assign(xx=[xx], yy=[yy], n=int(pdf.n.sum()))
+
+
 def run(spark: SparkSession, snps: DataFrame, study: Study, splits: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """T (J + 1), q (J + 1) and M (J + 1, K) of every sample; sample j leaves block j out, the last none.
 
@@ -278,18 +287,18 @@ def run(spark: SparkSession, snps: DataFrame, study: Study, splits: int | None =
         sums.flush()
         yield _batch(_emit(0, sums), _SUM_KINDS, names)
 
-    def add(pdf):
-        return pdf.iloc[:1].assign(xx=[np.sum(np.stack(pdf.xx.to_list()), axis=0)], yy=[np.sum(np.stack(pdf.yy.to_list()), axis=0)], n=int(pdf.n.sum()))
-
     # a task returns K sums of N x B numbers however few SNPs it has: no more tasks than run at once
-    totals = snps.coalesce(slots).mapInArrow(first, SUMS).groupBy("k", "at").applyInPandas(add, SUMS).toArrow().to_pylist()
+    parts = snps.coalesce(slots).mapInArrow(first, SUMS)
+    several = parts.withColumn("block", F.spark_partition_id().cast("long") % int(np.ceil(slots**0.5)))  # added up in two steps
+    totals = several.groupBy("block", "k", "at").applyInPandas(_add, SUMS).groupBy("k", "at").applyInPandas(_add, SUMS)
     n_z, k, traits, j = right.shape[1] - study.y.shape[1], len(study.parts), study.y.shape[1], study.blocks
     xx, yy, m = np.zeros((k, len(right), n_z)), np.zeros((k, traits)), np.zeros(k, np.int64)
-    for r in totals:
-        part = np.array(r["xx"]).reshape(-1, n_z)
-        xx[r["k"], r["at"] : r["at"] + len(part)] = part
-        if r["at"] == 0:
-            yy[r["k"]], m[r["k"]] = r["yy"], r["n"]
+    for batch in totals.toArrow().to_batches():  # numbers stay in Arrow's buffers
+        for i, (part, at) in enumerate(zip(batch.column("k").to_pylist(), batch.column("at").to_pylist())):
+            values = batch.column("xx")[i].values.to_numpy().reshape(-1, n_z)
+            xx[part, at : at + len(values)] = values
+            if at == 0:
+                yy[part], m[part] = batch.column("yy")[i].values.to_numpy(), batch.column("n")[i].as_py()
     whole = spark.sparkContext.broadcast((xx, yy, m))
     kinds, fields = (pa.int64(), _FLOATS, _FLOATS, pa.list_(pa.int64())), "block long, sums array<double>, yy array<double>, m array<long>"
 
@@ -350,7 +359,11 @@ def run(spark: SparkSession, snps: DataFrame, study: Study, splits: int | None =
 def estimate(spark: SparkSession, snps: DataFrame, study: Study) -> DataFrame:
     """(trait, j, k, value, trace, n): variance components of every sample; k is a component's name or 'e'. trace is T[k, e],
     n the component's SNPs (null for noise). All traits share T, which doesn't depend on them."""
-    t, q, m = run(spark, snps, study)
+    return solved(spark, study, *run(spark, snps, study))
+
+
+def solved(spark: SparkSession, study: Study, t: np.ndarray, q: np.ndarray, m: np.ndarray) -> DataFrame:
+    """estimate() of normal equations at hand."""
     names, rows = [p.name for p in study.parts] + ["e"], []
     for j in range(len(t)):
         sigma = solve(t[j], q[j], study.method)

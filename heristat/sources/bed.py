@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 MAGIC = b"\x6c\x1b\x01"
 #: Two bits to an allele count; -1 is missing.
@@ -56,10 +56,24 @@ class _Reader(DataSourceReader):
         self.first, self.last = int(options.get("start", 0)), int(options["end"])
         self.size, self.flip = int(options.get("range", RANGE)), options.get("flip", "false") == "true"
 
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Bounds on m narrow the SNPs that are read; other filters are left to Spark."""
+        for f in filters:
+            at = f.value if getattr(f, "attribute", None) == ("m",) and isinstance(getattr(f, "value", None), int) else None
+            if at is None or not isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
+                yield f
+                continue
+            if not isinstance(f, (LessThan, LessThanOrEqual)):
+                self.first = max(self.first, at + isinstance(f, GreaterThan))
+            if not isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                self.last = min(self.last, at + (not isinstance(f, LessThan)))
+
     def partitions(self) -> list[InputPartition]:
-        return [_Range(a, min(a + self.size, self.last)) for a in range(self.first, self.last, self.size)]
+        return [_Range(a, min(a + self.size, self.last)) for a in range(self.first, self.last, self.size)] or [_Range(0, 0)]
 
     def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
+        if part.start >= part.end:
+            return
         each = -(-self.n // 4)
         with _open(self.path) as f:
             if f.read(3) != MAGIC:
@@ -89,17 +103,23 @@ class BedSource(DataSource):
 
 
 def read(spark: SparkSession, path: str, individuals: int, end: int, start: int = 0, flip: bool = False, size: int = RANGE) -> DataFrame:
-    """(m, dosage) of SNPs start <= m < end; only their bytes are read."""
+    """(m, dosage) of SNPs start <= m < end; only their bytes are read, and of these only those that filters on m leave."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BedSource)
     return spark.read.format("bed").options(individuals=individuals, start=start, end=end, flip=str(flip).lower(), range=size).load(path)
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new file name in the folder that driver and executors share."""
+    """A new file name in the folder that driver and executors share; a temporary one only where all is one process."""
     import tempfile
     import uuid
 
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='heristat-')}"
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='heristat-')}"
     return f"{folder.rstrip('/')}/heristat/bed-{uuid.uuid4().hex}.bed"
 
 

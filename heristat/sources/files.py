@@ -85,8 +85,8 @@ def read_config(path: str, defaults: dict, section: str | None = None) -> dict:
 NUMBER = r"([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)"
 _LINES = {
     "sigma": rf"Sigma\^2_(\S+)\s*:\s*{NUMBER}\s+SE\s*:\s*{NUMBER}",
-    "h2": rf"(?:h2_(\S+)|(Total) h2)\s*:\s*{NUMBER}\s*(?:SE)?\s*:\s*{NUMBER}",
-    "enrichment": rf"Enrichment (\S+)\s*:\s*{NUMBER}\s+SE\s*:\s*{NUMBER}",
+    "h2": rf"(?:h2_(\S+)|(Total) h2|h\^2(?:_i/h\^2_t)? of bin (\d+))\s*:\s*{NUMBER}\s*(?:SE)?\s*:\s*{NUMBER}",
+    "enrichment": rf"Enrichment (?:of bin )?(\S+)\s*:\s*{NUMBER}\s+SE\s*:\s*{NUMBER}",
     "runtime": rf"[Rr]untime\s*:\s*{NUMBER}",
 }
 
@@ -98,8 +98,8 @@ def parse_reports(text: DataFrame) -> DataFrame:
     for metric, pattern in _LINES.items():
         hit = each.filter(F.col("line").rlike(pattern))
         got = lambda i, p=pattern: F.regexp_extract("line", p, i)
-        n = {"sigma": (1, 2, 3), "enrichment": (1, 2, 3), "h2": (1, 3, 4), "runtime": (None, 1, None)}[metric]
-        name = F.when(got(2) != "", F.lower(got(2))).otherwise(got(1)) if metric == "h2" else got(n[0]) if n[0] else F.lit("")
+        n = {"sigma": (1, 2, 3), "enrichment": (1, 2, 3), "h2": (1, 4, 5), "runtime": (None, 1, None)}[metric]
+        name = F.when(got(2) != "", F.lower(got(2))).when(got(3) != "", got(3)).otherwise(got(1)) if metric == "h2" else got(n[0]) if n[0] else F.lit("")
         parts.append(hit.select("path", "at", F.lit(metric).alias("metric"), name.alias("component"), got(n[1]).cast("double").alias("value"), (got(n[2]).cast("double") if n[2] else F.lit(None).cast("double")).alias("se")))
     rows = parts[0]
     for p in parts[1:]:
@@ -117,17 +117,57 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path).select("trait", "metric", "component", "estimate", "se")
 
 
-def report(rows: DataFrame, classes: bool = False) -> DataFrame:
-    """(n, line) text of results (metric, component, estimate, se), in the grammar that parse_reports() reads; classes: the
-    gene-environment form of h2 lines."""
-    h2 = F.concat(F.lit("h2_"), "component", F.lit(" : "), "estimate", F.lit(" SE : " if classes else " : "), "se")
-    line = (
-        F.when(F.col("metric") == "sigma", F.concat(F.lit("Sigma^2_"), "component", F.lit(" : "), "estimate", F.lit("  SE : "), "se"))
-        .when((F.col("metric") == "h2") & (F.col("component") == "total"), F.concat(F.lit("Total h2 : "), "estimate", F.lit(" SE: "), "se"))
-        .when(F.col("metric") == "h2", h2)
-        .otherwise(F.concat(F.lit("Enrichment "), "component", F.lit(" : "), "estimate", F.lit(" SE : "), "se"))
-    )
-    return rows.select("metric", "component", line.alias("line"))
+def bracketed(component: str) -> str:
+    """A component's name as reports have it: g:0 is g[0], a class's total its class."""
+    kind, _, rest = component.partition(":")
+    return kind if rest in ("", "total") else f"{kind}[{rest.replace(':', ',')}]"
+
+
+def report(parts: dict[str, list[tuple[str, float, float]]], classes: bool = False, liability: tuple | None = None, runtime: float | None = None) -> str:
+    """The text log of a trait, in the grammar that parse_reports() reads. parts has (component, estimate, se) of sigma, h2 (with
+    total) and enrichment, and of h2_overlapping and enrichment_overlapping where there are; classes: the gene-environment form
+    of h2 lines; liability: heritability, standard error and p-value."""
+    se = " SE : " if classes else " : "
+
+    def h2(rows) -> list[str]:
+        own = [f"h2_{bracketed(c)} : {x}{se}{e}" for c, x, e in rows if not c.endswith("total")]
+        total = [f"Total h2{'' if c == 'total' else '_' + c.split(':')[0]} : {x} SE: {e}" for c, x, e in sorted(rows, key=lambda r: r[0] != "total") if c.endswith("total")]
+        return own + total
+
+    def enrichment(rows) -> list[str]:
+        return [f"Enrichment {bracketed(c)} : {x} SE : {e}" for c, x, e in rows]
+
+    out = ["Variance components: "] + [f"Sigma^2_{bracketed(c)} : {x}  SE : {e}" for c, x, e in parts["sigma"]]
+    out += ["*****", "Heritabilities:", *h2(parts["h2"]), "*****", "Enrichments: ", *enrichment(parts["enrichment"])]
+    if "h2_overlapping" in parts:
+        out += ["*****", "*****", "Heritabilities and enrichments computed based on overlapping setting", "Heritabilities:", *h2(parts["h2_overlapping"])]
+        out += ["Enrichments (overlapping def):", *enrichment(parts["enrichment_overlapping"])]
+    if liability:
+        out += ["*****", "Liability Scale h2 for binary phenotype:", "Total Liability-scale h2 : {}, SE: {}, p-value: {}".format(*liability)]
+    return "\n".join(out + ([f"Runtime: {runtime} seconds"] if runtime is not None else [])) + "\n"
+
+
+def read_values_by_bin(spark: SparkSession, path: str, bins: int) -> DataFrame:
+    """(path, bin, sigma, h2, enrichment, runtime) for bins 0, 1, ... of results kept as one JSON object a file, over many lines:
+    sigma_ests_total, h2_total and, perhaps, enrichment_total, in order of bins. An enrichment that isn't there is 0."""
+    schema = "sigma_ests_total array<double>, h2_total array<double>, enrichment_total array<double>, runtime double"
+    each = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).json(path).withColumn("path", F.col("_metadata.file_path"))
+    rows = each.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    at = lambda c: F.get(F.col(c), F.col("bin"))
+    return rows.select("path", "bin", at("sigma_ests_total").alias("sigma"), at("h2_total").alias("h2"), F.coalesce(at("enrichment_total"), F.lit(0.0)).alias("enrichment"), "runtime")
+
+
+def write_summary(spark: SparkSession, folder: str, path: str) -> list[str]:
+    """Every report (*.txt) below folder as one JSON object, by file, at path; the files that state no runtime."""
+    texts = spark.read.option("pathGlobFilter", "*.txt").option("recursiveFileLookup", True).text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    rows = parse_reports(texts)
+    entry = F.struct(F.col("component").alias("name"), F.col("value"), F.col("se").alias("SE"))
+    of = lambda m: F.array_sort(F.collect_list(F.when(F.col("metric") == m, entry))).alias(m)
+    each = texts.select("path").join(rows, "path", "left").groupBy("path").agg(of("sigma"), of("h2"), of("enrichment"), F.max(F.when(F.col("metric") == "runtime", F.col("value"))).alias("runtime"))
+    line = F.concat(F.to_json(F.struct("path")).substr(F.lit(9), F.length(F.to_json(F.struct("path"))) - 9), F.lit(": "), F.to_json(F.struct("sigma", "h2", "enrichment", "runtime")))
+    whole = each.select(F.struct("path", line.alias("line")).alias("x")).agg(F.array_sort(F.collect_list("x")).alias("l"))  # a row a report
+    whole.select(F.concat(F.lit("{"), F.array_join(F.transform("l", lambda x: x["line"]), ", "), F.lit("}")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    return [r.path for r in each.filter("runtime IS NULL").orderBy("path").toLocalIterator()]
 
 
 def write_results(rows: DataFrame, path: str) -> None:

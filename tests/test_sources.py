@@ -21,6 +21,9 @@ def test_bed_ranges(spark, tmp_path):
     part = bed.read(spark, f"file://{path}", 7, 6, start=3, flip=True)
     assert {r.m: r.dosage for r in part.collect()} == {m: [None if x is None else 2 - x for x in want[m]] for m in (3, 4, 5)}
     assert part.rdd.getNumPartitions() == 1
+    pruned = bed.read(spark, path, 7, 9, size=1).filter("m >= 2 AND m < 6 AND m <> 4 AND size(dosage) = 7")
+    assert {r.m: r.dosage for r in pruned.collect()} == {m: want[m] for m in (2, 3, 5)} and pruned.rdd.getNumPartitions() == 4
+    assert [r.m for r in bed.read(spark, path, 7, 9, size=1).filter("m = 8").collect()] == [8] and bed.read(spark, path, 7, 9).filter("m > 8").count() == 0
     with pytest.raises(Exception, match="ends before"):
         bed.read(spark, path, 7, 20).collect()
 
@@ -43,11 +46,38 @@ def test_config(tmp_path):
 
 
 def test_reports_round_trip(spark):
-    rows = spark.createDataFrame([("sigma", "g[0]", 0.25, 0.5), ("h2", "g[0]", -1e-05, 0.125), ("h2", "total", 0.5, 0.25), ("enrichment", "g[0]", 1.5, 0.0)], "metric string, component string, estimate double, se double")
-    for classes in (False, True):
-        text = "\n".join(r.line for r in files.report(rows, classes).collect())
+    parts = {"sigma": [("g:0", 0.25, 0.5), ("e", 0.5, 0.1)], "h2": [("g:0", -1e-05, 0.125), ("total", 0.5, 0.25)], "enrichment": [("g:0", 1.5, 0.0)]}
+    want = sorted((m, files.bracketed(c), x, e) for m, rows in parts.items() for c, x, e in rows) + [("runtime", "", 2.5, None)]
+    over = parts | {"h2_overlapping": [("g:0", 9.0, 9.0), ("total", 9.0, 9.0)], "enrichment_overlapping": [("g:0", 9.0, 9.0)]}
+    for form, classes in ((parts, False), (parts, True), (over, False)):
+        text = files.report(form, classes, (0.3, 0.1, 0.01), 2.5)
         got = files.parse_reports(spark.createDataFrame([("p", text)], "path string, value string")).drop("path")
-        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect()))
+        assert sorted(map(tuple, got.collect()), key=lambda r: r[:3]) == sorted(want, key=lambda r: r[:3])
+    text = files.report(parts | {"h2": [("g:0", 0.1, 0.2), ("gxe:0", 0.2, 0.3), ("g:total", 0.1, 0.2), ("gxe:total", 0.2, 0.3), ("total", 0.3, 0.4)]}, True)
+    assert "h2_gxe[0] : 0.2 SE : 0.3\nTotal h2 : 0.3 SE: 0.4\nTotal h2_g : 0.1 SE: 0.2\nTotal h2_gxe : 0.2 SE: 0.3" in text
+
+
+def test_reports_of_the_other_grammar(spark):
+    text = "Sigma^2_0: 0.25 SE: 0.5\nh^2 of bin 0 : 0.5 SE: 0.1\nh^2_i/h^2_t of bin 0 : 0.9 SE: 0.9\nEnrichment of bin 0 : 1.5 SE: 0.2\nruntime: 3.5 seconds\n"
+    got = files.parse_reports(spark.createDataFrame([("p", text)], "path string, value string")).drop("path")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([("sigma", "0", 0.25, 0.5), ("h2", "0", 0.5, 0.1), ("enrichment", "0", 1.5, 0.2), ("runtime", "", 3.5, None)], key=repr)
+
+
+def test_json_of_a_folder(spark, tmp_path):
+    import json
+
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    write(tmp_path / "in" / "a.json", json.dumps({"sigma_ests_total": [0.1, 0.2, 0.7], "h2_total": [0.3, 0.4, 0.7], "enrichment_total": [1.0, 2.0], "runtime": 1.5}, indent=4))
+    write(tmp_path / "in" / "deep" / "b.json", json.dumps({"sigma_ests_total": [0.5, 0.6], "h2_total": [0.7, 0.8], "runtime": 2.5}, indent=4))
+    got = files.read_values_by_bin(spark, str(tmp_path / "in"), 2)
+    assert sorted(tuple(r)[1:] for r in got.collect()) == [(0, 0.1, 0.3, 1.0, 1.5), (0, 0.5, 0.7, 0.0, 2.5), (1, 0.2, 0.4, 2.0, 1.5), (1, 0.6, 0.8, 0.0, 2.5)]
+    write(tmp_path / "in" / "x.txt", "Sigma^2_g[0] : 0.5  SE : 0.1\nRuntime: 2 seconds\n")
+    write(tmp_path / "in" / "deep" / 'y".txt', "Total h2 : 0.5 SE: 0.25\n")
+    missing = files.write_summary(spark, str(tmp_path / "in"), str(tmp_path / "summary.json"))
+    assert len(missing) == 1 and missing[0].endswith("y%22.txt")
+    found = json.loads(spark.read.text(str(tmp_path / "summary.json")).first().value)
+    assert [v["runtime"] if "runtime" in v else None for _, v in sorted(found.items(), key=lambda x: "deep" in x[0])] == [2.0, None]
+    assert [v["h2"] for v in found.values() if v["h2"]] == [[{"name": "total", "value": 0.5, "SE": 0.25}]]
 
 
 def test_sinks(spark, tmp_path):
@@ -61,7 +91,10 @@ def test_sinks(spark, tmp_path):
     files.write_pheno(spark.createDataFrame([(0, 1.5)], "i long, y double"), str(tmp_path / "pheno"))
     t = files.trace_rows(spark, np.ones((2, 2, 2)) * 5, np.array([[3, 4], [5, 6]]), 4)
     files.write_trace(t, {"NSAMPLE": 4, "NSNPS": 11, "NBLKS": 1, "NBINS": 2, "K": 3}, str(tmp_path / "t"))
-    assert spark.read.csv(str(tmp_path / "t.tr"), header=True).count() == 2
+    got = spark.read.csv(str(tmp_path / "t.tr"), header=True, inferSchema=True)
+    ld = lambda a, b: a * b / 16
+    assert got.columns == ["LD_SUM_0", "LD_SUM_1", "NSNPS_JACKKNIFE"]
+    assert [tuple(r) for r in got.collect()] == [tuple(round(x, 3) for x in r) for r in ((ld(3, 3), ld(3, 4), 3), (ld(4, 3), ld(4, 4), 4), (ld(5, 5), ld(5, 6), 5), (ld(6, 5), ld(6, 6), 6))]
     assert files.duplicate_last(spark.createDataFrame([(0, 1.5)], "i long, y double")).columns == ["i", "y", "y_dup"]
 
 
@@ -90,5 +123,28 @@ def test_command_line(spark, tmp_path, monkeypatch):
     write(tmp_path / "g.bim", "".join(f"1\trs{m}\t0\t{m}\tA\tC\n" for m in range(12)))
     write(tmp_path / "p", "FID IID y\n" + "".join(f"1 {i} {rng.normal()}\n" for i in range(20)))
     out = str(tmp_path / "out")
-    cli.main(["-g", str(tmp_path / "g"), "-p", str(tmp_path / "p"), "-o", out, "--num_bin", "2", "--num_block", "3", "--num_vec", "2"])
-    assert {r.metric for r in files.read_results(spark, out).collect()} == {"sigma", "h2", "enrichment", "h2_overlapping"}
+    cli.main(["-g", str(tmp_path / "g"), "-p", str(tmp_path / "p"), "-o", out, "-b", "2", "-jn", "3", "-k", "2", "-s", "5", "--trace", "--trace_dir", str(tmp_path), "--suppress", "--streaming"])
+    kept = {(r.metric, r.component): r.estimate for r in files.read_results(spark, f"{out}.json").collect()}
+    assert {m for m, _ in kept} == {"sigma", "h2", "enrichment", "h2_overlapping", "enrichment_overlapping"}
+    logged = {(r.metric, r.component): r.value for r in files.read_reports(spark, out + "/*").collect()}
+    assert logged.pop(("runtime", "")) > 0
+    assert logged == {(m, files.bracketed(c)): x for (m, c), x in kept.items() if not m.endswith("overlapping")}
+    assert spark.read.csv(str(tmp_path / "run_p.tr"), header=True).count() == 4 * 2
+    assert spark.read.csv(str(tmp_path / "run_p.MN"), header=True).first()[:] == ("20", "12", "3", "2", "2")
+
+
+def test_benchmark_and_binary_traits(spark, tmp_path, capsys):
+    rng = np.random.default_rng(0)
+    d = rng.binomial(2, 0.4, size=(20, 12))
+    bed.write(spark.createDataFrame([(i, m, int(d[i, m])) for i in range(20) for m in range(12)], "i long, m long, d int"), str(tmp_path / "g.bed"))
+    write(tmp_path / "g.fam", "".join("f 1 0 0 1 -9\n" for _ in range(20)))
+    write(tmp_path / "g.bim", "".join(f"1\trs{m}\t0\t{m}\tA\tC\n" for m in range(12)))
+    (tmp_path / "pheno" / "bin_2").mkdir(parents=True)
+    for n in range(3):
+        write(tmp_path / "pheno" / "bin_2" / f"{n}.phen", "FID IID y z\n" + "".join(f"1 {i} {rng.normal()} {i % 2 + 1}\n" for i in range(20)))
+    same = ["-g", str(tmp_path / "g"), "-b", "2", "-jn", "3", "-k", "2"]
+    cli.main([*same, "-p", str(tmp_path), "--benchmark_runtime"])
+    assert "runtime: " in capsys.readouterr().out
+    cli.main([*same, "-p", str(tmp_path / "pheno" / "bin_2" / "0.phen"), "-o", str(tmp_path / "out"), "--samp_prev", "0.5", "--pop_prev", "0.1", "--debug"])
+    out = capsys.readouterr().out
+    assert out.count("Liability-scale") == 1 and out.count("Variance components") == 2 and "num_vec: 2" in out  # only z is binary
