@@ -28,7 +28,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from heristat.llm.common import materialize, partitions, slices
+from heristat.llm.common import materialize, partitions, quoted, slices
 
 LEAST, GRAM = 50, 16
 #: Bytes of text for each bucket, of text hashed at a time, and of text after which a batch is sent.
@@ -227,7 +227,7 @@ def _gram_id(bucket: np.ndarray, rest: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _want(buckets: int, hot: int):
-    """Kind 0 rows become kind 1: anchors whose gram two documents have, and for every deal the grams with more than `hot`
+    """Kind 0 rows become kind 1: anchors whose gram two documents have, and kind 5: the grams with more than `hot`
     occurrences. Other rows stay as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,8 +246,7 @@ def _want(buckets: int, hot: int):
             yield _rows([(1, k, blob) for k, blob in _requests(deal[pick], ids[pick], tag[pick], q[pick])])
             often = np.add.reduceat(np.where(q[order] >= 0, 1, -q[order].astype(np.int64)), first) > hot
             if often.any():
-                blob = pack(_gram_id(np.int64(key), h[order][first[often]], buckets))
-                yield _rows([(1, k, blob) for k in range(buckets)])
+                yield _rows([(5, key, pack(_gram_id(np.int64(key), h[order][first[often]], buckets)))])
 
     return run
 
@@ -280,7 +279,7 @@ def _settled(wide: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return done, key
 
 
-def _cut_contexts(buckets: int, least: int):
+def _cut_contexts(buckets: int, least: int, frequent):
     """Requests and documents of a deal to rows of kind 2 (contexts, by gram bucket), 3 (intervals, by document deal) and
     4 (windows of frequent grams, by their own bucket)."""
     before = least - GRAM  # bytes of context ahead of the anchor
@@ -326,8 +325,8 @@ def _cut_contexts(buckets: int, least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for deal, wanted, docs in _by_deal(batches):
-            often = np.concatenate([np.array([], np.int64), *(w[0] for w in wanted if len(w) == 1)])
-            asked = [(np.cumsum(w[0]), w[1], np.cumsum(w[2])) for w in wanted if len(w) == 3]
+            often = frequent.value
+            asked = [(np.cumsum(w[0]), w[1], np.cumsum(w[2])) for w in wanted]
             ids, tag, q = (np.concatenate(x) for x in zip(*asked)) if asked else (np.array([], np.int64),) * 3
             where = _spots(ids, tag)
             held, size = [], 0
@@ -422,27 +421,39 @@ def _rank(keys: list[np.ndarray]) -> np.ndarray:
     return rank
 
 
+def _sorted_column(text: np.ndarray, ranks: np.ndarray, own: np.ndarray, c: int, ids: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows `own` in the order of their suffixes from column c on, and whether each one's window there is also in another
+    row of a smaller id. COVER bytes are compared, then ranks of the cover sample, step columns on."""
+    step = next(d for d in range(COVER) if (c + d) % COVER in RESIDUES)
+    wide = text[own, c : c + COVER]
+    order = own[np.lexsort((ranks[own, c + step], _word(wide, 8), _word(wide, 0)))]
+    window = text[order, c : c + least]
+    new = np.concatenate([[True], (window[1:] != window[:-1]).any(axis=1)])
+    return order, ids[order] > np.minimum.reduceat(ids[order], np.nonzero(new)[0])[np.cumsum(new) - 1]
+
+
 def repeats(text: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.ndarray, least: int = LEAST) -> np.ndarray:
     """For contexts (rows; the anchor in column least - GRAM, left and right bytes of text around its start) whether the
     window that starts in each of the first columns also occurs in another row of a smaller id."""
     before = least - GRAM
-    rows, width = text.shape
-    out = np.zeros((rows, before + 1), bool)
-    if not rows:
+    out = np.zeros((len(text), before + 1), bool)
+    if not len(text):
         return out
-    padded = np.zeros((rows, width + COVER), np.uint8)
-    padded[:, :width] = text
     ranks = cover_ranks(text, least)
-    step = [min(d for d in range(COVER) if (c + d) % COVER in RESIDUES) for c in range(COVER)]
     for c in range(before + 1):  # one bucket of suffixes at a time
         own = np.nonzero((left >= before - c) & (right >= least - before + c))[0]
-        if len(own) < 2:
-            continue
-        order = own[np.lexsort((ranks[own, c + step[c % COVER]], _word(padded, c + 8)[own], _word(padded, c)[own]))]
-        window = text[order, c : c + least]
-        new = np.concatenate([[True], (window[1:] != window[:-1]).any(axis=1)])
-        least_id = np.minimum.reduceat(ids[order], np.nonzero(new)[0])[np.cumsum(new) - 1]
-        out[order, c] = ids[order] > least_id
+        if len(own) > 1:
+            order, again = _sorted_column(text, ranks, own, c, ids, least)
+            out[order, c] = again
+    return out
+
+
+def repeated_windows(window: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which windows also are of a smaller id, by the same sort."""
+    out = np.zeros(len(window), bool)
+    if len(window) > 1:
+        order, again = _sorted_column(window, cover_ranks(window, window.shape[1]), np.arange(len(window)), 0, ids, window.shape[1])
+        out[order] = again
     return out
 
 
@@ -450,15 +461,6 @@ def _settle(least: int):
     """Contexts (kind 2) and windows (kind 4) of a bucket become intervals (kind 3), which stay as they are."""
     before = least - GRAM
 
-    def equal(window: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Which windows also are of a smaller id."""
-        wide = _framed(window)
-        order = np.lexsort((ids, *wide.view("<u8").T))
-        first, run = _groups(_rank(list(wide.view("<u8").T))[order])
-        out = np.empty(len(ids), bool)
-        out[order] = ids[order] > ids[order][first][run]
-        return out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind, key, blobs in _by_key(batches):
             if kind == 3:
@@ -467,7 +469,7 @@ def _settle(least: int):
                 continue
             if kind == 4:
                 window, ids, tag, p, deal = _joined(blobs)
-                hit = equal(window, ids)
+                hit = repeated_windows(window, ids)
                 yield _rows([(3, k, pack(i, t, a, a + np.int32(least))) for k, (i, t, a) in _dealt(deal[hit].astype(np.int64), (ids[hit], tag[hit], p[hit]))])
                 continue
             text, left, right, ids, tag, q, deal = _joined(blobs)
@@ -532,23 +534,29 @@ def dedup(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col:
     """Rows (doc_id, n_bytes, spans array<struct<start, end>>, kept binary), one per input row: the removed byte runs and
     the bytes that stay, of the text's UTF-8.
 
-    Null text is empty; texts below `least` bytes stay whole. A row without doc_id has no smaller one and is smaller than
-    none: it stays whole. Rows that share a doc_id don't remove each other's strings. least is 24 at least. Grams with more
-    than `hot` occurrences, and than there are buckets, are split; it changes no result.
+    Null text is empty; texts below `least` bytes stay whole; texts of any length count whole. A row without doc_id has no
+    smaller one and is smaller than none: it stays whole. Rows that share a doc_id don't remove each other's strings. No
+    rows: no rows. Other columns don't count. least is 24 at least.
+
+    The contexts of a gram are sorted in one task, unless it has more than `hot` occurrences, and more than there are
+    buckets: then its windows are, each in a bucket of its own hash, by the same sort. It changes no result. Documents are
+    dealt by id and text, so that a repeated id stays together only as far as its text does too.
     """
     if not GRAM + 8 <= least <= 128:
         raise ValueError(f"least must be from {GRAM + 8} to 128")
     spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = partitions(spark)
     buckets = max(n, -(-total // BUCKET_BYTES))
-    rows = docs.select(
-        F.expr(f"CAST(pmod(xxhash64({id_col}), {buckets}) AS INT)").alias("deal"), F.col(id_col).cast("long").alias("doc_id"),
-        F.xxhash64(text).bitwiseAND(F.lit(4294967295)).alias("tag"), text.cast("binary").alias("text"),
-    )
+    tag = F.xxhash64(text).bitwiseAND(F.lit(4294967295))
+    own = F.col(quoted(id_col)).cast("long")
+    rows = docs.select(F.pmod(F.xxhash64(own, tag), F.lit(buckets)).cast("int").alias("deal"), own.alias("doc_id"), tag.alias("tag"), text.cast("binary").alias("text"))
+    whole = f"doc_id IS NULL OR octet_length(text) < {least}"  # these lose nothing
+    settled = rows.filter(whole).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.expr("CAST(array() AS array<struct<start:bigint,end:bigint>>)").alias("spans"), F.col("text").alias("kept"))
+    rows = rows.filter(f"NOT ({whole})")
     hot = max(hot, buckets)
-    found = rows.filter(f"doc_id IS NOT NULL AND octet_length(text) >= {least}").mapInArrow(_find_anchors(buckets, least), BLOBS)
+    found = rows.mapInArrow(_find_anchors(buckets, least), BLOBS)
     wanted = materialize(found.repartition(buckets, "kind", "key").sortWithinPartitions("kind", "key").mapInArrow(_want(buckets, hot), BLOBS), "anchors")
 
     def with_docs(blobs: DataFrame) -> DataFrame:
@@ -556,9 +564,13 @@ def dedup(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col:
         both = side.unionByName(rows.withColumn("blob", F.expr("CAST(NULL AS BINARY)")))
         return both.repartition(buckets, "deal").sortWithinPartitions("deal", F.expr("blob IS NULL"))
 
-    cut = with_docs(wanted).mapInArrow(_cut_contexts(buckets, least), BLOBS)
+    # a bucket's anchors are about a seventeenth of BUCKET_BYTES, and a frequent gram has more of them than there are buckets: the
+    # list is bounded by BUCKET_BYTES / 17 numbers, or by a HOT-th of all anchors where there are few
+    lists = [unpack(bytes(r.blob))[0] for r in wanted.filter("kind = 5").select("blob").toLocalIterator()]
+    frequent = spark.sparkContext.broadcast(np.sort(np.concatenate([np.array([], np.int64), *lists])))
+    cut = with_docs(wanted.filter("kind = 1")).mapInArrow(_cut_contexts(buckets, least, frequent), BLOBS)
     gone = materialize(cut.repartition(buckets, "kind", "key").sortWithinPartitions("kind", "key").mapInArrow(_settle(least), BLOBS), "repeats")
-    return with_docs(gone).mapInArrow(_cut_out, "doc_id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    return settled.unionByName(with_docs(gone).mapInArrow(_cut_out, "doc_id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary"))
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -43,6 +43,28 @@ def test_common_lines(spark, hot):
     assert sorted(((r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got), key=repr) == want
 
 
+def test_repeated_and_null_ids(spark):
+    """A thousand rows of one id, as many without, and ids at both ends of long."""
+    rng = random.Random(6)
+    shared = ["".join(rng.choice("abcdef ") for _ in range(80)) for _ in range(6)]
+    text = lambda: "".join(rng.choice("ghijklm") for _ in range(rng.randrange(30))) + rng.choice(shared) + "x" * rng.randrange(9)
+    docs = [(7, text()) for _ in range(500)] + [(7, shared[0])] * 500 + [(None, text()) for _ in range(500)] + [(None, shared[1])] * 500
+    docs += [(i, text()) for i in (-(1 << 63), -1, 0, 6, 8, (1 << 63) - 1)] + [(9, None), (None, None), (10, "short")]
+    got = S.query(spark.createDataFrame(docs, "doc_id long, text string").withColumn("a.b", S.F.lit(1)))
+    assert sorted(map(tuple, got.collect()), key=repr) == slow([(i, (t or "").encode()) for i, t in docs], 50)
+
+
+def test_windows_are_sorted_as_contexts_are():
+    rng = np.random.default_rng(3)
+    window = rng.integers(97, 99, (300, 50)).astype(np.uint8)
+    window[:, :44] = window[rng.integers(5, size=300), :44]
+    ids = rng.integers(0, 40, 300)
+    least = {}
+    for w, i in zip(map(bytes, window), ids):
+        least[w] = min(i, least.get(w, i))
+    assert S.repeated_windows(window, ids).tolist() == [bool(i > least[bytes(w)]) for w, i in zip(window, ids)]
+
+
 @pytest.mark.parametrize("least", [24, 37, 128])
 def test_other_lengths(spark, least):
     rng = random.Random(least)
