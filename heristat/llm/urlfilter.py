@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from heristat.llm.common import quoted
+
 SALTS = 16
 
 #: Host of a URL: lower case, without user, port and final dot. Empty where there is none.
@@ -37,10 +39,11 @@ def intervals(entries: DataFrame) -> DataFrame:
 def judge(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "day") -> DataFrame:
     """captures' id, host and time with lists (active ones that cover the host, sorted, comma-joined) and blocked (0/1).
 
-    One row for each capture, repeated ones alike. A null or odd URL has the empty host; it, and a null time, are covered
-    by nothing. Without entries nothing is blocked.
+    One row for each capture, repeated ones alike; without captures no rows. A null or odd URL has the empty host; it, and a
+    null time, are covered by nothing; a URL of any length counts whole. Without entries nothing is blocked. Other columns
+    don't count.
     """
-    own = captures.select(F.col(id_col), host(F.col(url_col)).alias("host"), F.col(time_col).cast("long").alias(time_col))
+    own = captures.select(F.col(quoted(id_col)), host(F.col(quoted(url_col))).alias("host"), F.col(quoted(time_col)).cast("long").alias(time_col))
     suffixes = F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> array_join(slice(split(host, '[.]'), i, size(split(host, '[.]'))), '.'))")
     hosts = own.filter("host <> ''").select("host").distinct().select("host", F.explode(suffixes).alias("rule"))
     rules = intervals(entries).groupBy("rule").agg(F.sort_array(F.collect_set(F.struct("since", "until", "list"))).alias("spans"))

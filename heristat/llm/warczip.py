@@ -235,7 +235,8 @@ def _package(folder: str, limit: int):
 def write(pages: DataFrame, min_bytes: int = MIN_REVISIT, limit: int = PACKAGE_BYTES) -> DataFrame:
     """Write every row of pages (page_id, url, html) as a record to packages in the shared folder; rows (path, records).
 
-    Null html is an empty payload. Of equal payloads of at least min_bytes the record with the smallest page_id is the
+    Null html is an empty payload; one of any length is written whole; no rows, no packages. Line breaks in a URL are kept
+    percent-encoded, as a header line has none. Other columns don't count. Of equal payloads of at least min_bytes the record with the smallest page_id is the
     response, the others revisit it; rows that repeat that smallest page_id, or have no page_id where none has, are
     responses as well. A payload that very many pages share is pre-aggregated, and its pages are joined and dealt by
     page, not by payload.
@@ -300,6 +301,7 @@ def read(entries: DataFrame, with_payload: bool = True) -> DataFrame:
 
 
 def query(pages: DataFrame) -> DataFrame:
+    """Every page's record as it is read back; nulls, repeated rows and empty tables as in write()."""
     found = read(index(write(pages)), with_payload=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
