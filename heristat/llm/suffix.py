@@ -264,13 +264,18 @@ def _framed(text: np.ndarray, *more: np.ndarray) -> np.ndarray:
     return wide
 
 
-def _settled(wide: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows equal one of a smaller id, and every row's hash."""
+def _row_hash(wide: np.ndarray) -> np.ndarray:
     factors = np.random.default_rng(1).integers(1 << 63, size=(2, wide.shape[1] // 8), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     words = wide.view("<u8")
     with np.errstate(over="ignore"):
         key = ((words ^ (words * factors[0] >> np.uint64(31))) * factors[1]).sum(axis=1)
         key ^= key >> np.uint64(29)
+    return key
+
+
+def _settled(wide: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows equal one of a smaller id, and every row's hash."""
+    key = _row_hash(wide)
     order = np.lexsort((ids, key))
     first, run = _groups(key[order])
     lead = order[first][run]
@@ -448,12 +453,22 @@ def repeats(text: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.ndarr
     return out
 
 
-def repeated_windows(window: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Which windows also are of a smaller id, by the same sort."""
+def repeated_windows(window: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """Which windows also are of a smaller id, by the same sort, in blocks: equal windows have equal hashes and so one block."""
     out = np.zeros(len(window), bool)
-    if len(window) > 1:
-        order, again = _sorted_column(window, cover_ranks(window, window.shape[1]), np.arange(len(window)), 0, ids, window.shape[1])
-        out[order] = again
+    key = _row_hash(_framed(window))
+    order = np.argsort(key, kind="stable")
+    new = np.nonzero(np.diff(key[order], prepend=key[order][:1]) != 0)[0]
+    a = 0
+    while a < len(order):
+        after = np.searchsorted(new, a + block)
+        b = int(new[after]) if after < len(new) else len(order)
+        part = order[a:b]
+        if len(part) > 1:
+            text = window[part]
+            at, again = _sorted_column(text, cover_ranks(text, text.shape[1]), np.arange(len(part)), 0, ids[part], text.shape[1])
+            out[part[at]] = again
+        a = b
     return out
 
 
