@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from heristat.functions.rng import gaussian
 from heristat.operators import genotype as G
+from heristat.operators.simulate import phenotype
 
 SNPS, VECTORS, SEED = 64, 4, 42
 
@@ -53,8 +54,5 @@ def environment(spark, sf_dir) -> DataFrame:
 
 
 def simulated(spark, sf_dir, sigma: tuple[float, ...] = (0.5, 0.1)) -> DataFrame:
-    """(i, y): sum of standardized genotypes times normal effects of variance sigma_bin / M_bin, and normal noise."""
-    x = G.standardize(geno(spark, sf_dir)).join(annot_disjoint(spark), "m")
-    scale = F.element_at(F.array(*(F.lit(s / (SNPS // len(sigma))) for s in sigma)), (F.col("bin") + 1).cast("int"))
-    score = x.groupBy("i").agg(F.sum(F.col("x") * gaussian(11, F.col("m")) * F.sqrt(scale)).alias("s"))
-    return score.select("i", (F.col("s") + gaussian(13, F.col("i")) * (1 - sum(sigma)) ** 0.5).alias("y"))
+    """(i, y): a phenotype of two disjoint bins."""
+    return phenotype(G.standardize(geno(spark, sf_dir)), annot_disjoint(spark), sigma)

@@ -319,11 +319,23 @@ def trace_ldsum(spark, d):
     return t.crossJoin(F.broadcast(n)).select("k", "l", F.round(M.ld_sum(F.col("t"), F.col("n"), F.lit(32), F.lit(32)), 4).alias("ld"))  # n is one row
 
 
-@query(sql("""SELECT round((q0 - qe) / (t00 - n), 6) AS sigma_g, round(qe / n - (q0 - qe) / (t00 - n), 6) AS sigma_e, round(t00, 4) AS t00, round(q0, 4) AS q0 FROM
+_SIGMA = sql("""SELECT round((q0 - qe) / (t00 - n), 6) AS sigma_g, round(qe / n - (q0 - qe) / (t00 - n), 6) AS sigma_e, round(t00, 4) AS t00, round(q0, 4) AS q0 FROM
     (SELECT (SELECT count(*)::DOUBLE FROM ids) AS n, (SELECT sum(v * v) / (4 * 64 * 64) FROM (SELECT i, b, sum(x * w) AS v FROM x JOIN w USING (m) GROUP BY i, b)) AS t00,
-    (SELECT sum(s) / 64 FROM (SELECT pow(sum(x * (y - a)), 2) AS s FROM x JOIN y USING (i), (SELECT avg(y) AS a FROM y) GROUP BY m)) AS q0, (SELECT sum(pow(y - a, 2)) FROM y, (SELECT avg(y) AS a FROM y)) AS qe)""", "x", "w", "y", "ids"))
+    (SELECT sum(s) / 64 FROM (SELECT pow(sum(x * (y - a)), 2) AS s FROM x JOIN y USING (i), (SELECT avg(y) AS a FROM y) GROUP BY m)) AS q0, (SELECT sum(pow(y - a, 2)) FROM y, (SELECT avg(y) AS a FROM y)) AS qe)""", "x", "w", "y", "ids")
+
+
+@query(_SIGMA)
 def rhe_sigma(spark, d):
-    """The minimum model, by contraction: one bin, no covariates."""
+    """The minimum model, by the kernel: one bin, no covariates, no blocks."""
+    study = _study(spark, d, "rhe", 1, X.pheno(spark, d), blocks=1)
+    t, q, _ = K.run(spark, K.as_rows(X.geno(spark, d), X.annot_one(spark), 1, X.SNPS), study)
+    g, e = K.solve(t[-1], q[-1])[:, 0]
+    return spark.createDataFrame([(round(float(g), 6), round(float(e), 6), round(float(t[-1, 0, 0]), 4), round(float(q[-1, 0, 0]), 4))], "sigma_g double, sigma_e double, t00 double, q0 double")
+
+
+@query(_SIGMA)
+def sigma_by_contraction(spark, d):
+    """The same by joins and sums, all in Catalyst: for sparse genotypes."""
     x, y = G.standardize(X.geno(spark, d)), T.centre(X.pheno(spark, d).withColumn("trait", F.lit(0))).select("i", "y")
     t = M.xxz(x, _z(spark, d)).agg((F.sum(F.col("v") * F.col("v")) / (B * X.SNPS * X.SNPS)).alias("t00"))
     q = M.yxxy(x, y).select((F.col("s") / X.SNPS).alias("q0"))
