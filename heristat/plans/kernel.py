@@ -13,7 +13,7 @@ K + 1 equations; never genotypes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +27,7 @@ CHUNK = 256
 
 @dataclass(frozen=True)
 class Component:
-    kind: str  # g, d, gxe or nxe
+    kind: str  # of KINDS
     bin: int = 0
     env: int = 0
 
@@ -36,6 +36,34 @@ class Component:
         return f"{self.kind}:{self.env}" if self.kind == "nxe" else f"{self.kind}:{self.bin}" if self.env == 0 else f"{self.kind}:{self.bin}:{self.env}"
 
 
+@dataclass(frozen=True)
+class Chunk:
+    """Some SNPs: standardized x (N x m), filled counts and their means."""
+
+    x: np.ndarray
+    counts: np.ndarray
+    mean: np.ndarray
+
+
+@dataclass(frozen=True)
+class Kind:
+    """What makes a kind of component: the columns it has of a chunk of SNPs, or the squares of a diagonal matrix that no SNP
+    enters. estimated: the trace of its kinship matrix isn't N by construction."""
+
+    columns: Callable[[Chunk, Study, Component], np.ndarray] | None = None
+    squares: Callable[[Study, Component], np.ndarray] | None = None
+    estimated: bool = False
+
+
+#: Components may be of any kind that is entered here; executors get the kinds of a study with its tasks.
+KINDS: dict[str, Kind] = {
+    "g": Kind(lambda chunk, study, p: chunk.x),
+    "d": Kind(lambda chunk, study, p: _dominance_matrix(chunk.counts, chunk.mean)),
+    "gxe": Kind(lambda chunk, study, p: chunk.x * study.env[:, p.env][:, None], estimated=True),
+    "nxe": Kind(squares=lambda study, p: study.env[:, p.env] ** 2, estimated=True),
+}
+
+
 def components(model: str, bins: int, envs: int = 0) -> list[Component]:
     """rhe: g by bin. rhe_dom: g, then d. genie models G, G+GxE, G+GxE+NxE: g, then gxe by environment and bin, then nxe."""
     g = [Component("g", k) for k in range(bins)]
@@ -123,8 +151,8 @@ def _dominance_matrix(d: np.ndarray, mu: np.ndarray) -> np.ndarray:
 class _Sums:
     """X (X' right) by component, |X'y|^2 by component and trait, and SNP counts."""
 
-    def __init__(self, study: Study, right: np.ndarray):
-        self.study, self.right = study, right
+    def __init__(self, study: Study, right: np.ndarray, kinds: dict[str, Kind]):
+        self.study, self.right, self.kinds = study, right, kinds
         n_z = right.shape[1] - study.y.shape[1]
         self.n_z, k = n_z, len(study.parts)
         self.xx = np.zeros((k, len(right), n_z))
@@ -142,15 +170,14 @@ class _Sums:
     def flush(self) -> None:
         if not self.snps:
             return
-        x, d, mu = _chunk_matrix(self.dosage, self.snps, self.study.impute, self.study.seed)
-        dominance = _dominance_matrix(d, mu) if any(p.kind == "d" for p in self.study.parts) else None
+        chunk = Chunk(*_chunk_matrix(self.dosage, self.snps, self.study.impute, self.study.seed))
         made: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
         for k, p in enumerate(self.study.parts):
-            if p.kind == "nxe":
+            if (columns := self.kinds[p.kind].columns) is None:
                 continue
             key = (p.kind, p.env)
             if key not in made:
-                full = dominance if p.kind == "d" else x * self.study.env[:, p.env][:, None] if p.kind == "gxe" else x
+                full = columns(chunk, self.study, p)
                 made[key] = full, full.T @ self.right
             full, w = made[key]
             pick = np.array([i for i, b in enumerate(self.bins) if p.bin in b], int)
@@ -161,13 +188,13 @@ class _Sums:
         self.snps, self.dosage, self.bins = [], [], []
 
 
-def _closed_forms(study: Study, right: np.ndarray, xx: np.ndarray, yy: np.ndarray, m: np.ndarray, rows: slice = slice(None)) -> None:
-    """The noise-by-environment components over some individuals: X is diag(e)."""
+def _closed_forms(study: Study, right: np.ndarray, xx: np.ndarray, yy: np.ndarray, m: np.ndarray, kinds: dict[str, Kind], rows: slice = slice(None)) -> None:
+    """The components without SNPs over some individuals."""
     for k, p in enumerate(study.parts):
-        if p.kind == "nxe":
-            e2 = study.env[rows, p.env][:, None] ** 2
-            xx[k], m[k] = e2 * right[rows, : xx.shape[2]], 1
-            yy[k] = (study.env[:, p.env][:, None] ** 2 * study.y**2).sum(axis=0)
+        if (squares := kinds[p.kind].squares) is not None:
+            e2 = squares(study, p)[:, None]
+            xx[k], m[k] = e2[rows] * right[rows, : xx.shape[2]], 1
+            yy[k] = (e2 * study.y**2).sum(axis=0)
 
 
 def contract(study: Study, xx: np.ndarray, rows: slice = slice(None)) -> np.ndarray:
@@ -189,7 +216,7 @@ def normal_equations(study: Study, sums: np.ndarray, yy: np.ndarray, m: np.ndarr
     g, own, rest = sums[: k * k].reshape(k, k), sums[k * k : k * k + k], sums[k * k + k :]
     t, base = np.zeros((k + 1, k + 1)), np.full(k, float(n))
     for i, p in enumerate(study.parts):  # the trace of a kinship matrix that isn't N by construction is estimated
-        if p.kind in ("gxe", "nxe") and m[i]:
+        if KINDS[p.kind].estimated and m[i]:
             base[i] = own[i] / (b * m[i])
     t[k, k] = n
     if study.covariates is not None:
@@ -243,7 +270,7 @@ _FLOATS = pa.list_(pa.float64())
 _SUM_KINDS = (pa.int64(), pa.int32(), pa.int64(), _FLOATS, _FLOATS, pa.int64())
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], study: Study, right: np.ndarray) -> Iterator[tuple[int, _Sums]]:
+def _blocks(batches: Iterator[pa.RecordBatch], study: Study, right: np.ndarray, kinds: dict[str, Kind]) -> Iterator[tuple[int, _Sums]]:
     """The sums of each block, rows being sorted by block."""
     block, sums = None, None
     for j, snp, dosage, bins in _rows(batches):
@@ -251,7 +278,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], study: Study, right: np.ndarray)
             if sums is not None:
                 sums.flush()
                 yield block, sums
-            block, sums = j, _Sums(study, right)
+            block, sums = j, _Sums(study, right, kinds)
         sums.add(snp, dosage, bins)
     if sums is not None:
         sums.flush()
@@ -267,54 +294,84 @@ def _add(pdf):
     return pdf.iloc[:1].assign(xx=[xx], yy=[yy], n=int(pdf.n.sum()))
 
 
-def run(spark: SparkSession, snps: DataFrame, study: Study, splits: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """T (J + 1), q (J + 1) and M (J + 1, K) of every sample; sample j leaves block j out, the last none.
+NAMES = ("block", "k", "at", "xx", "yy", "n")
 
-    snps has rows (block, m, dosage, bins). It is read twice; store it if it is dear to compute. Where more tasks run at
-    once than there are blocks, pass 2 deals each block to `splits` tasks, whose sums meet by block and segment of
-    individuals; otherwise a block's sums never leave its task.
-    """
-    right, slots = study.right(), spark.sparkContext.defaultParallelism
-    splits = splits or -(-slots // study.blocks)
-    shared = spark.sparkContext.broadcast((study, right))
-    names = ("block", "k", "at", "xx", "yy", "n")
+
+def _kinds(study: Study) -> dict[str, Kind]:
+    return {p.kind: KINDS[p.kind] for p in study.parts}
+
+
+def added(parts: DataFrame) -> DataFrame:
+    """One row a component and segment of individuals from those of many tasks (SUMS), added up in two steps."""
+    several = parts.withColumn("block", F.spark_partition_id().cast("long") % int(np.ceil(parts.sparkSession.sparkContext.defaultParallelism**0.5)))
+    return several.groupBy("block", "k", "at").applyInPandas(_add, SUMS).groupBy("k", "at").applyInPandas(_add, SUMS)
+
+
+def sums(snps: DataFrame, study: Study, shared=None) -> DataFrame:
+    """Pass 1: rows (block, m, dosage, bins) to sums over their SNPs (SUMS). Sums of several sets of SNPs add up by added()."""
+    context, kinds = snps.sparkSession.sparkContext, _kinds(study)
+    shared = shared or context.broadcast((study, study.right()))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         study, right = shared.value
-        sums = _Sums(study, right)
+        sums = _Sums(study, right, kinds)
         for _, m, dosage, bins in _rows(batches):
             sums.add(m, dosage, bins)
         sums.flush()
-        yield _batch(_emit(0, sums), _SUM_KINDS, names)
+        yield _batch(_emit(0, sums), _SUM_KINDS, NAMES)
 
     # a task returns K sums of N x B numbers however few SNPs it has: no more tasks than run at once
-    parts = snps.coalesce(slots).mapInArrow(first, SUMS)
-    several = parts.withColumn("block", F.spark_partition_id().cast("long") % int(np.ceil(slots**0.5)))  # added up in two steps
-    totals = several.groupBy("block", "k", "at").applyInPandas(_add, SUMS).groupBy("k", "at").applyInPandas(_add, SUMS)
-    n_z, k, traits, j = right.shape[1] - study.y.shape[1], len(study.parts), study.y.shape[1], study.blocks
-    xx, yy, m = np.zeros((k, len(right), n_z)), np.zeros((k, traits)), np.zeros(k, np.int64)
+    return added(snps.coalesce(context.defaultParallelism).mapInArrow(first, SUMS))
+
+
+def gathered(totals: DataFrame, study: Study) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """X (X' right), |X'y|^2 and SNPs by component, on the driver: K sums of N x B numbers."""
+    n_z = study.right().shape[1] - study.y.shape[1]
+    xx, yy, m = np.zeros((len(study.parts), len(study.y), n_z)), np.zeros((len(study.parts), study.y.shape[1])), np.zeros(len(study.parts), np.int64)
     for batch in totals.toArrow().to_batches():  # numbers stay in Arrow's buffers
         for i, (part, at) in enumerate(zip(batch.column("k").to_pylist(), batch.column("at").to_pylist())):
             values = batch.column("xx")[i].values.to_numpy().reshape(-1, n_z)
             xx[part, at : at + len(values)] = values
             if at == 0:
                 yy[part], m[part] = batch.column("yy")[i].values.to_numpy(), batch.column("n")[i].as_py()
+    return xx, yy, m
+
+
+def whole_sample(study: Study, xx: np.ndarray, yy: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """T and q of all SNPs that gathered() sums are of."""
+    xx, yy, m = xx.copy(), yy.copy(), m.copy()
+    _closed_forms(study, study.right(), xx, yy, m, _kinds(study))
+    return normal_equations(study, contract(study, xx), yy, m)
+
+
+def run(spark: SparkSession, snps: DataFrame, study: Study, splits: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """T (J + 1), q (J + 1) and M (J + 1, K) of every sample; sample j leaves block j out, the last none.
+
+    snps has rows (block, m, dosage, bins). It is read twice; store it if it is dear to compute. Where more tasks run at
+    once than there are blocks, pass 2 deals each block to `splits` tasks, whose sums meet by block and segment of
+    individuals; otherwise a block's sums never leave its task.
+    """
+    right, slots, kinds = study.right(), spark.sparkContext.defaultParallelism, _kinds(study)
+    splits = splits or -(-slots // study.blocks)
+    shared = spark.sparkContext.broadcast((study, right))
+    xx, yy, m = gathered(sums(snps, study, shared), study)
+    n_z, k, traits, j = xx.shape[2], len(study.parts), study.y.shape[1], study.blocks
     whole = spark.sparkContext.broadcast((xx, yy, m))
-    kinds, fields = (pa.int64(), _FLOATS, _FLOATS, pa.list_(pa.int64())), "block long, sums array<double>, yy array<double>, m array<long>"
+    types, fields = (pa.int64(), _FLOATS, _FLOATS, pa.list_(pa.int64())), "block long, sums array<double>, yy array<double>, m array<long>"
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         study, right = shared.value
         out = []
-        for block, sums in _blocks(batches, study, right):
+        for block, sums in _blocks(batches, study, right, kinds):
             a, y, n = (t - own for t, own in zip(whole.value, (sums.xx, sums.yy, sums.m)))
-            _closed_forms(study, right, a, y, n)
+            _closed_forms(study, right, a, y, n, kinds)
             out.append((block, contract(study, a), y.ravel(), n))
-        yield _batch(out, kinds, ("block", "sums", "yy", "m"))
+        yield _batch(out, types, ("block", "sums", "yy", "m"))
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         study, right = shared.value
-        for block, sums in _blocks(batches, study, right):
-            yield _batch(_emit(block, sums), _SUM_KINDS, names)
+        for block, sums in _blocks(batches, study, right, kinds):
+            yield _batch(_emit(block, sums), _SUM_KINDS, NAMES)
 
     def meet(pdf):
         """A block's segment of individuals, from all of its tasks and components."""
@@ -331,14 +388,14 @@ def run(spark: SparkSession, snps: DataFrame, study: Study, splits: int | None =
                 y[part] += own
                 n[part] += count
         y, n = all_y - y, all_m - n
-        _closed_forms(study, right, a, y, n, rows)
+        _closed_forms(study, right, a, y, n, kinds, rows)
         first = float(at == 0)  # what isn't by individual counts once
         return pd.DataFrame({"block": pdf.block.iloc[:1].to_list(), "sums": [contract(study, a, rows)], "yy": [y.ravel() * first], "m": [(n * int(first)).tolist()]})
 
     def together(pdf):
         return pdf.iloc[:1].assign(**{c: [np.sum(np.stack(pdf[c].to_list()), axis=0)] for c in ("sums", "yy", "m")})
 
-    _closed_forms(study, right, xx, yy, m)
+    _closed_forms(study, right, xx, yy, m, kinds)
     t_all, q_all, m_all = np.zeros((j + 1, k + 1, k + 1)), np.zeros((j + 1, k + 1, traits)), np.zeros((j + 1, k), np.int64)
     t_all[:], q_all[:] = normal_equations(study, contract(study, xx), yy, m)
     m_all[:] = m  # a block without SNPs leaves nothing out
@@ -379,3 +436,87 @@ def as_rows(geno: DataFrame, annot: DataFrame, blocks: int, n_snps: int) -> Data
 
     bins = annot.groupBy("m").agg(F.collect_set(F.col("bin").cast("int")).alias("bins"))
     return snp_major(geno).join(bins, "m", "left").select(block_of(F.col("m"), n_snps, blocks).alias("block"), "m", F.col("dosage").cast("array<tinyint>").alias("dosage"), "bins")
+
+
+# --- vectors X'X z over raw counts -------------------------------------------------------------------------------------------
+
+#: Numbers of N x B sums that the driver holds and broadcasts at a time.
+GROUP_NUMBERS = 1 << 23
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int], np.ndarray]]:
+    """(block, m, counts (SNPs x N)) of chunks of one block's neighbouring rows; missing counts are 0."""
+    block, snps, held = None, [], []
+    for j, m, dosage, _ in _rows(batches):
+        if held and (j != block or len(held) == CHUNK):
+            yield block, snps, np.stack(held)
+            snps, held = [], []
+        block = j
+        snps.append(m), held.append(np.nan_to_num(dosage))
+    if held:
+        yield block, snps, np.stack(held)
+
+
+def xtxz(spark: SparkSession, snps: DataFrame, n: int, blocks: int, vectors: int, seed: int, path: str) -> Iterator[DataFrame]:
+    """Rows (j, m, u array<double>) with u = X'X z over raw counts of n individuals, from SNPs outside block j and for those
+    only; j = blocks keeps all. z is drawn by SNP and vector.
+
+    snps is (block, m, dosage, bins). The sums X z of each block are kept as a table at path; they are broadcast for as many
+    samples at a time as make GROUP_NUMBERS numbers, one DataFrame each. A DataFrame must be used before the next is asked for.
+    A SNP's counts meet all vectors of these samples in one product, and no genotype is shuffled but once by block.
+    """
+    step = 8192
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, total = None, np.zeros((n, vectors))
+
+        def rows() -> pa.RecordBatch:
+            return _batch([(block, at, total[at : at + step].ravel()) for at in range(0, n, step)], (pa.int64(), pa.int64(), _FLOATS), ("block", "at", "w"))
+
+        for j, m, x in _counts(batches):
+            if block is not None and j != block:
+                yield rows()
+                total = np.zeros((n, vectors))
+            block = j
+            total += x.T @ np.array([[gaussian_value(seed, s, b) for b in range(vectors)] for s in m])
+        if block is not None:
+            yield rows()
+
+    snps.repartition(blocks, "block").sortWithinPartitions("block", "m").mapInArrow(within, "block long, at long, w array<double>").write.mode("overwrite").parquet(path)
+    stored = spark.read.parquet(path)
+
+    def matrix(rows: DataFrame, count: int) -> np.ndarray:
+        out = np.zeros((count, n, vectors))
+        for r in rows.toLocalIterator():
+            out[r.place, r.at : r.at + step] = np.array(r.w).reshape(-1, vectors)
+        return out
+
+    def plus(pdf):
+        return pdf.iloc[:1].assign(w=[np.sum(np.stack(pdf.w.to_list()), axis=0)], place=0)[["place", "at", "w"]]
+
+    whole = matrix(stored.groupBy("at").applyInPandas(plus, "place int, at long, w array<double>"), 1)[0]
+    size = max(1, GROUP_NUMBERS // max(1, n * vectors))
+    for a in range(0, blocks + 1, size):
+        samples = list(range(a, min(a + size, blocks + 1)))
+        own = matrix(stored.filter(F.col("block").isin(samples)).select((F.col("block") - a).alias("place"), "at", "w"), len(samples))
+        shared = spark.sparkContext.broadcast(np.concatenate(list(whole - own), axis=1))
+
+        def across(batches: Iterator[pa.RecordBatch], samples=samples, shared=shared) -> Iterator[pa.RecordBatch]:
+            for block, m, x in _counts(batches):
+                u = (x @ shared.value).reshape(len(m), len(samples), vectors)
+                rows = [(j, s, u[i, k]) for k, j in enumerate(samples) if j != block for i, s in enumerate(m)]
+                yield _batch(rows, (pa.int64(), pa.int64(), _FLOATS), ("j", "m", "u"))
+
+        yield snps.mapInArrow(across, "j long, m long, u array<double>")
+
+
+def write_xtxz(groups: Iterator[DataFrame], vectors: int, path: str) -> DataFrame:
+    """Write xtxz()'s rows as Parquet at path, a folder a sample; (j, trace), trace being |u|^2 / (B M^2) over a sample's M SNPs."""
+    spark, first = None, True
+    for g in groups:
+        spark = g.sparkSession
+        g.write.partitionBy("j").mode("overwrite" if first else "append").parquet(path)
+        first = False
+    squares = F.aggregate("u", F.lit(0.0), lambda s, x: s + x * x)
+    each = spark.read.parquet(path).groupBy(F.col("j").cast("long").alias("j")).agg(F.sum(squares).alias("s"), F.count(F.lit(1)).alias("n"))
+    return each.select("j", (F.col("s") / (F.lit(vectors) * F.col("n") * F.col("n"))).alias("trace"))

@@ -9,7 +9,7 @@ from heristat import fixtures as X, model_sql
 from heristat.functions.scalar import liability
 from heristat.operators import genotype as G, layout as L, tables as T
 from heristat.plans import kernel as K, moments as M, results as R
-from heristat.sources import files
+from heristat.sources import bed, files
 
 FOUND: dict[str, tuple] = {}
 B, J = X.VECTORS, 10
@@ -345,8 +345,34 @@ def sigma_by_contraction(spark, d):
     return one.select(F.round(g, 6).alias("sigma_g"), F.round(s, 6).alias("sigma_e"), *r6("t00", "q0", digits=4))
 
 
-@query(sql("SELECT j, round(trace, 3) AS trace FROM (SELECT jj AS j, sum(u * u) / (4 * pow(count(DISTINCT m), 2)) AS trace FROM (SELECT jj, m, b, sum(d * w) AS u FROM geno JOIN blk USING (m) JOIN (SELECT jj, i, b, sum(d * z) AS w FROM geno JOIN blk USING (m) JOIN (SELECT range AS m, b, " + gauss(X.SEED, "range || chr(58) || b") + f" AS z FROM range({X.SNPS}), range(4) r(b)) USING (m) CROSS JOIN range({J + 1}) q(jj) WHERE j <> jj GROUP BY ALL) USING (i) WHERE j <> jj GROUP BY jj, m, b) GROUP BY jj)", "geno", "blk"))
+_OWN = (
+    f"SELECT jj, m, b, sum(d * w) AS u FROM geno JOIN blk USING (m) JOIN (SELECT jj, i, b, sum(d * z) AS w FROM geno JOIN blk USING (m) JOIN (SELECT range AS m, b, {gauss(X.SEED, 'range || chr(58) || b')} AS z"
+    f" FROM range({X.SNPS}), range({B}) r(b)) USING (m) CROSS JOIN range({J + 1}) q(jj) WHERE j <> jj GROUP BY ALL) USING (i) WHERE j <> jj GROUP BY jj, m, b"
+)
+_XTXZ = sql(f"SELECT j, round(trace, 3) AS trace FROM (SELECT jj AS j, sum(u * u) / ({B} * pow(count(DISTINCT m), 2)) AS trace FROM ({_OWN}) GROUP BY jj)", "geno", "blk")
+
+
+def _xtxz(spark, d) -> DataFrame:
+    """Trace of every sample, its vectors written by sample to the shared folder."""
+    rows = K.as_rows(X.geno(spark, d), X.annot_one(spark), J, X.SNPS)
+    path = bed.scratch(spark)
+    return K.write_xtxz(K.xtxz(spark, rows, X.individuals(spark, d).count(), J, B, X.SEED, f"{path}.sums"), B, f"{path}.vectors"), f"{path}.vectors"
+
+
+@query(_XTXZ)
 def xtxz_trace(spark, d):
+    return _xtxz(spark, d)[0].select("j", *r6("trace", digits=3))
+
+
+@query(sql(f"SELECT jj AS j, m, b, round(u, 3) AS u FROM ({_OWN})", "geno", "blk"))
+def xtxz_block_vectors(spark, d):
+    """Every sample's own vectors, read back from what was written."""
+    kept = spark.read.parquet(_xtxz(spark, d)[1])
+    return kept.select(F.col("j").cast("long").alias("j"), "m", F.posexplode("u").alias("b", "u")).select("j", "m", F.col("b").cast("long").alias("b"), F.round(F.col("u"), 3).alias("u"))
+
+
+@query(_XTXZ)
+def xtxz_trace_by_contraction(spark, d):
     return M.global_trace(X.geno(spark, d), B, X.SEED, J, X.SNPS).select("j", *r6("trace", digits=3))
 
 
@@ -596,13 +622,36 @@ def trace_summary(spark, d):
 @query(sql("SELECT m, sum(d)::BIGINT AS alleles, count(d) AS known FROM raw GROUP BY m", "raw"))
 def bed_round_trip(spark, d):
     """Genotypes written as a PLINK file to the shared folder and read back by SNP range."""
-    from heristat.sources import bed
-
     path = bed.scratch(spark)
     n = bed.write(X.geno_raw(spark, d), path)
     return bed.read(spark, path, n, X.SNPS).select("m", F.explode("dosage").alias("d")).groupBy("m").agg(F.sum("d").cast("long").alias("alleles"), F.count("d").alias("known"))
 
 
+@query(sql("SELECT m, sum(d)::BIGINT AS alleles, count(d) AS known FROM raw WHERE m >= 5 AND m < 40 GROUP BY m", "raw"))
+def bed_parts(spark, d):
+    """The same as a folder of parts that executors write, read by a range that cuts parts."""
+    path = bed.scratch(spark)
+    n = bed.write_parts(X.geno_raw(spark, d), path, 7)
+    got = bed.read(spark, path, n, X.SNPS).filter("m >= 5 AND m < 40")
+    return got.select("m", F.explode("dosage").alias("d")).groupBy("m").agg(F.sum("d").cast("long").alias("alleles"), F.count("d").alias("known"))
+
+
+@query(sql("SELECT m, bin FROM three", "three"))
+def annot_round_trip(spark, d):
+    """Annotations written as 0/1 columns and read back by line."""
+    path = bed.scratch(spark)
+    files.write_annot(X.annot_overlap(spark), 3, path)
+    return files.read_annot(spark, path)
+
+
+@query(sql("SELECT i, round(y, 6) AS y, round(c1, 6) AS c1 FROM y JOIN cov USING (i)", "y", "cov"))
+def pheno_round_trip(spark, d):
+    """Traits written with a header, in order of individuals, and read back by line."""
+    path = bed.scratch(spark)
+    files.write_pheno(X.pheno(spark, d).join(X.covariates(spark, d).select("i", "c1"), "i"), path, ("y", "c1"))
+    return files.read_table(spark, path, None).select("i", *r6("y", "c1"))
+
+
 @query(sql("SELECT m, ('0x' || substr(md5('3:' || m), 1, 8))::BIGINT % 8 AS bin FROM one", "one"))
 def random_annotation(spark, d):
     return files.random_bins(X.annot_one(spark).select("m"), 8, 3)

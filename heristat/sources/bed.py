@@ -6,11 +6,12 @@ After three magic bytes a SNP has ceil(N / 4) bytes, two bits an individual, low
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 MAGIC = b"\x6c\x1b\x01"
@@ -31,6 +32,25 @@ def _open(uri: str):
     return store.open_input_file(path)
 
 
+def _store(uri: str):
+    from pyarrow import fs
+
+    if "://" not in uri:
+        return fs.LocalFileSystem(), uri.removeprefix("file:")
+    return fs.FileSystem.from_uri(uri)
+
+
+def _parts(uri: str) -> list[tuple[str, int, int]]:
+    """(name, first SNP, SNP after the last) of a folder's parts, in order; none of a file."""
+    from pyarrow import fs
+
+    store, path = _store(uri)
+    if store.get_file_info(path).type != fs.FileType.Directory:
+        return []
+    found = (re.fullmatch(r"part-(\d+)-(\d+)\.bed", f.base_name) for f in store.get_file_info(fs.FileSelector(path)))
+    return sorted(((x[0], int(x[1]), int(x[2])) for x in found if x), key=lambda x: x[1])
+
+
 def decode(raw: bytes, n: int) -> np.ndarray:
     """Allele counts (SNPs x n) of packed SNPs; -1 is missing."""
     packed = np.frombuffer(raw, np.uint8).reshape(-1, -(-n // 4))
@@ -46,8 +66,8 @@ def encode(counts: np.ndarray) -> bytes:
 
 
 class _Range(InputPartition):
-    def __init__(self, start: int, end: int):
-        self.start, self.end = start, end
+    def __init__(self, start: int, end: int, path: str | None = None, first: int = 0):
+        self.start, self.end, self.path, self.first = start, end, path, first  # first: of the file's SNPs
 
 
 class _Reader(DataSourceReader):
@@ -69,19 +89,25 @@ class _Reader(DataSourceReader):
                 self.last = min(self.last, at + (not isinstance(f, LessThan)))
 
     def partitions(self) -> list[InputPartition]:
+        if parts := _parts(self.path):
+            each = [_Range(max(a, self.first), min(b, self.last), f"{self.path.rstrip('/')}/{name}", a) for name, a, b in parts]
+            if self.last > parts[-1][2] or any(b != a for (_, _, b), (_, a, _) in zip(parts, parts[1:])):
+                raise ValueError(f"{self.path} lacks SNPs before {self.last}")
+            return [r for r in each if r.start < r.end] or [_Range(0, 0)]
         return [_Range(a, min(a + self.size, self.last)) for a in range(self.first, self.last, self.size)] or [_Range(0, 0)]
 
     def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
         if part.start >= part.end:
             return
         each = -(-self.n // 4)
-        with _open(self.path) as f:
+        path = part.path or self.path
+        with _open(path) as f:
             if f.read(3) != MAGIC:
-                raise ValueError(f"{self.path} is not a SNP-major .bed file")
-            f.seek(3 + part.start * each)
+                raise ValueError(f"{path} is not a SNP-major .bed file")
+            f.seek(3 + (part.start - part.first) * each)
             raw = f.read((part.end - part.start) * each)
         if len(raw) != (part.end - part.start) * each:
-            raise ValueError(f"{self.path} ends before SNP {part.end}")
+            raise ValueError(f"{path} ends before SNP {part.end}")
         counts = decode(raw, self.n)
         if self.flip:
             counts = np.where(counts < 0, counts, 2 - counts)
@@ -123,35 +149,72 @@ def scratch(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/heristat/bed-{uuid.uuid4().hex}.bed"
 
 
-def write(geno: DataFrame, path: str) -> int:
-    """Write long genotypes (i, m, d), individuals in order of i and SNPs 0, 1, ..., as one file; the number of individuals.
+def _pack(dosage: pa.ListArray) -> list[bytes]:
+    return [encode(d.values.cast(pa.int8()).fill_null(-1).to_numpy(zero_copy_only=False)) for d in dosage]
+
 
-    SNPs are packed on the executors; the driver appends the packed rows one partition at a time.
+def write_parts(geno: DataFrame, path: str, size: int = RANGE) -> int:
+    """Write long genotypes (i, m, d), individuals in order of i and SNPs 0, 1, ..., as a folder of .bed files of `size` SNPs,
+    part-<first>-<end>.bed, which read() takes for the whole; the number of individuals.
+
+    Executors write the parts, each under a name of its own first, so that a repeated task replaces a whole file by the same.
+    Parts that the folder held before go.
     """
+    import os
+    import uuid
+
     from heristat.operators.genotype import snp_major
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [np.array([-1 if x is None else x for x in d], np.int8) for d in b.column("dosage").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("m"), pa.array([len(r) for r in rows], pa.int64()), pa.array([encode(r) for r in rows], pa.binary())], ["m", "n", "packed"])
+    store, inner = _store(path)
+    store.create_dir(inner, recursive=True)
+    for name, _, _ in _parts(path):
+        store.delete_file(f"{inner}/{name}")
 
-    packed = snp_major(geno).mapInArrow(pack, "m long, n long, packed binary").orderBy("m")
-    n = 0
-    import os
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, inner = _store(path)
+        part, held, first, n = None, [], 0, 0
+
+        def close() -> None:
+            name = os.path.join(inner, f"_{uuid.uuid4().hex}")
+            with store.open_output_stream(name) as f:
+                f.write(MAGIC + b"".join(held))
+            store.move(name, os.path.join(inner, f"part-{first:012}-{first + len(held):012}.bed"))
 
-    local = path.removeprefix("file://").removeprefix("file:")
-    if "://" in local:
-        from pyarrow import fs
+        for b in batches:
+            for m, d, raw in zip(b.column("m").to_pylist(), b.column("dosage"), _pack(b.column("dosage"))):
+                if m // size != part:
+                    if held:
+                        close()
+                    part, held, first = m // size, [], m
+                if m != first + len(held) or (n and n != len(d)):
+                    raise ValueError(f"SNP {m} is out of order or not of {n} individuals")
+                held.append(raw)
+                n = len(d)
+        if held:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    rows = snp_major(geno).withColumn("_part", F.expr(f"m DIV {size}")).repartition("_part").sortWithinPartitions("m").select("m", "dosage")
+    return rows.mapInArrow(save, "n long").agg(F.max("n")).first()[0] or 0
+
+
+def write(geno: DataFrame, path: str, size: int = RANGE) -> int:
+    """The same as one file, for programs that want one: the parts, written beside it, are put together by the driver, a part at
+    a time."""
+    import os
 
-        store, inner = fs.FileSystem.from_uri(path)
+    beside = f"{path}.parts"
+    n = write_parts(geno, beside, size)
+    parts = _parts(beside)
+    if any(a != end for (_, a, _), end in zip(parts, [0, *(b for _, _, b in parts)])):
+        raise ValueError("SNPs must be 0, 1, ... without gaps")
+    (store, inner), (_, folder) = _store(path), _store(beside)
+    if os.path.dirname(inner):
         store.create_dir(os.path.dirname(inner), recursive=True)
-        out = store.open_output_stream(inner)
-    else:
-        os.makedirs(os.path.dirname(local), exist_ok=True)
-        out = open(local, "wb")
-    with out as f:
-        f.write(MAGIC)
-        for row in packed.toLocalIterator():
-            n = row.n
-            f.write(bytes(row.packed))
+    with store.open_output_stream(inner) as out:
+        out.write(MAGIC)
+        for name, _, _ in parts:
+            with store.open_input_file(f"{folder}/{name}") as f:
+                out.write(f.read()[len(MAGIC) :])
+    store.delete_dir(folder)
     return n

@@ -1,7 +1,7 @@
 """Text sources and sinks. Rows of a file are known by their line, not by the ids in it.
 
-A file's lines are numbered by their place in it, which Spark gives up when it splits a file, so numbered files are read
-whole, one file a row; they hold a line for each individual or SNP, not genotypes.
+A file's lines are numbered by their place in it: by the splits that Spark reads it in, their lines counted first, so that
+no task holds more than a split and lines are not shuffled.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 import configparser
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from heristat.functions.rng import _key
 
@@ -18,13 +18,15 @@ BIM = ("chrom", "snp", "cm", "pos", "a1", "a2")
 
 
 def lines(spark: SparkSession, path: str, comments: bool = False) -> DataFrame:
-    """(n bigint, line): lines of one file numbered from 0, blank ones left out; with comments, those with # too."""
-    whole = spark.read.text(path, wholetext=True)
-    each = whole.select(F.posexplode(F.split(F.regexp_replace("value", r"\r", ""), "\n")).alias("at", "line")).filter("trim(line) <> ''")
-    if comments:
-        each = each.filter("line NOT LIKE '#%'")
-    numbered = each.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]).alias("l"))
-    return numbered.select(F.posexplode("l").alias("n", "line")).withColumn("n", F.col("n").cast("bigint"))
+    """(n bigint, line): lines of a file numbered from 0, blank ones left out; with comments, those with # too. The files of a
+    folder count as one, in order of their names. The file is read twice: for the lines of each split, of which there is a row
+    a split of maxPartitionBytes, and for the lines."""
+    raw = spark.read.option("lineSep", "\n").text(path).select(F.regexp_replace("value", r"\r", "").alias("line"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    kept = raw.filter("trim(line) <> ''" + (" AND line NOT LIKE '#%'" if comments else "")).withColumn("_at", F.monotonically_increasing_id())  # rises by 1 in a split
+    splits = kept.groupBy("_file", "_start").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_lines"))
+    ahead = F.coalesce(F.sum("_lines").over(Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = splits.select("_file", "_start", (ahead - F.col("_first")).alias("_ahead"))
+    return kept.join(F.broadcast(place), ["_file", "_start"]).select((F.col("_at") + F.col("_ahead")).alias("n"), "line")
 
 
 def _columns(df: DataFrame, names: tuple[str, ...], key: str) -> DataFrame:

@@ -6,8 +6,11 @@ under its number; a batch that is replayed replaces its own folder, so totals st
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from heristat.plans import kernel as K
+
 
 def add_batches(path: str, statistics):
     """A foreachBatch function: statistics(batch) -> (keys..., value) rows, stored as path/batch=<n>."""
@@ -20,3 +23,13 @@ def add_batches(path: str, statistics):
 
 def totals(spark: SparkSession, path: str, keys: list[str], value: str) -> DataFrame:
     return spark.read.parquet(path).groupBy(*keys).agg(F.sum(value).alias(value))
+
+
+def add_snps(path: str, study: K.Study):
+    """A foreachBatch function for SNP rows (block, m, dosage, bins): their sums for the kernel, N x B numbers a component."""
+    return add_batches(path, lambda batch: K.sums(batch, study))
+
+
+def equations(spark: SparkSession, path: str, study: K.Study) -> tuple[np.ndarray, np.ndarray]:
+    """T and q of all SNPs that came so far; sums of batches are added up on the executors."""
+    return K.whole_sample(study, *K.gathered(K.added(spark.read.parquet(path).drop("batch")), study))

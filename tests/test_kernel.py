@@ -108,6 +108,37 @@ def test_models_against_dense_matrices(spark, data, model, cov):
         assert np.allclose(t[j], want_t) and np.allclose(q[j, :, 0], want_q)
 
 
+def test_kinds_of_ones_own(spark, data, monkeypatch):
+    """A component of a new kind needs an entry only: squares of standardized counts."""
+    d, y, _, _ = data
+    monkeypatch.setitem(K.KINDS, "sq", K.Kind(lambda chunk, study, p: chunk.x**2, estimated=True))
+    study = K.Study(y, [K.Component("g", 0), K.Component("sq", 0)], 1, 4)
+    t, q, _ = K.run(spark, snps(spark, d, 1, lambda m: [0]), study)
+    mu = d.mean(axis=0)
+    x = (d - mu) / np.sqrt(mu * (1 - mu / 2))
+    a, b = x @ x.T / 30, x**2 @ (x**2).T / 30
+    z, yc = study.z, y - y.mean()
+    assert t[-1, 0, 1] == pytest.approx(np.sum((a @ z) * (b @ z)) / 4) and t[-1, 1, 2] == pytest.approx(np.sum(z * (b @ z)) / 4)
+    assert q[-1, 1, 0] == pytest.approx(yc @ b @ yc)
+
+
+def test_xtxz(spark, data, tmp_path, monkeypatch):
+    d = data[0]
+    z = np.array([[K.gaussian_value(4, m, b) for b in range(3)] for m in range(30)])
+    block = np.minimum(np.arange(30) // 7, 3)
+    for numbers in (1, 60 * 3 * 2, 1 << 20):  # samples one by one, by two, all at once
+        monkeypatch.setattr(K, "GROUP_NUMBERS", numbers)
+        groups = K.xtxz(spark, snps(spark, d, 4, lambda m: [0]), 60, 4, 3, 4, str(tmp_path / f"w{numbers}"))
+        trace = {r.j: r.trace for r in K.write_xtxz(groups, 3, str(tmp_path / f"u{numbers}")).collect()}
+        kept = spark.read.parquet(str(tmp_path / f"u{numbers}")).collect()
+        for j in range(5):
+            own = block != j
+            u = d[:, own].T @ (d[:, own] @ z[own])
+            got = {r.m: r.u for r in kept if r.j == j}
+            assert sorted(got) == np.nonzero(own)[0].tolist() and np.allclose([got[m] for m in sorted(got)], u)
+            assert trace[j] == pytest.approx((u**2).sum() / (3 * own.sum() ** 2))
+
+
 def test_missing_and_monomorphic(spark):
     d = np.array([[0, 2, -1], [1, 2, 2], [2, 2, 0], [1, 2, 1]])
     for how in ("binary", "mean", "zero"):

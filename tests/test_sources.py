@@ -28,6 +28,40 @@ def test_bed_ranges(spark, tmp_path):
         bed.read(spark, path, 7, 20).collect()
 
 
+def test_bed_parts(spark, tmp_path):
+    geno = spark.createDataFrame([(i, m, None if (i + m) % 5 == 0 else (i * m) % 3) for i in range(7) for m in range(9)], "i long, m long, d int")
+    want = {r.m: r.dosage for r in G.snp_major(geno).collect()}
+    path = str(tmp_path / "x")
+    assert bed.write_parts(geno, path, 1) == 7 and bed.write_parts(geno, path, 4) == 7  # what was there is replaced
+    assert sorted(p.name for p in (tmp_path / "x").iterdir() if p.suffix == ".bed" and p.name[0] != ".") == [f"part-{a:012}-{b:012}.bed" for a, b in ((0, 4), (4, 8), (8, 9))]
+    assert {r.m: r.dosage for r in bed.read(spark, path, 7, 9).collect()} == want
+    part = bed.read(spark, f"file://{path}", 7, 9, start=2).filter("m < 6")
+    assert {r.m: r.dosage for r in part.collect()} == {m: want[m] for m in (2, 3, 4, 5)} and part.rdd.getNumPartitions() == 2
+    with pytest.raises(Exception, match="lacks SNPs"):
+        bed.read(spark, path, 7, 10).collect()
+    with pytest.raises(Exception, match="out of order|gaps"):
+        bed.write(geno.filter("m <> 5"), str(tmp_path / "gap.bed"))
+
+
+def test_lines_of_many_splits(spark, tmp_path):
+    """Lines are numbered by place, whatever the splits, with blank lines, comments and carriage returns between them."""
+    text = "".join("\r\n" if k % 7 == 3 else f"# {k}\n" if k % 11 == 5 else f"{k} {'x' * (k % 50)}\r\n" for k in range(3000))
+    path = write(tmp_path / "a.txt", text)
+    want = [(k, f"{k} {'x' * (k % 50)}") for k in range(3000) if k % 7 != 3 and k % 11 != 5]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("1000", "7777", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = files.lines(spark, path, comments=True)
+            assert size == before or got.rdd.getNumPartitions() > 5
+            assert sorted((r.n, r.line) for r in got.collect()) == [(n, line) for n, (_, line) in enumerate(want)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "d").mkdir()
+    write(tmp_path / "d" / "part-0", "a\nb\n"), write(tmp_path / "d" / "part-1", ""), write(tmp_path / "d" / "part-2", "c\n")
+    assert sorted(map(tuple, files.lines(spark, str(tmp_path / "d")).collect())) == [(0, "a"), (1, "b"), (2, "c")]
+
+
 def test_text_readers(spark, tmp_path):
     assert files.read_fam(spark, write(tmp_path / "a.fam", "f1 1 0 0 1 -9\nf2  1 0 0 2 x\n")).collect()[1][:] == (1, "f2", "1", "0", "0", 2, None)
     b = write(tmp_path / "a.bim", "# note\n1\trs0\t0.5\t10\tA\tC\n")
@@ -115,6 +149,22 @@ def test_stream_totals(spark, tmp_path):
     assert {r.k: r.v for r in incremental.totals(spark, str(sums), ["k"], "v").collect()} == {"a": 6, "b": 2}
 
 
+def test_stream_of_snps(spark, tmp_path):
+    """SNPs that arrive in two batches, one of them twice, give the equations of all SNPs at once."""
+    from heristat.plans import kernel as K
+
+    rng = np.random.default_rng(5)
+    d = rng.binomial(2, 0.4, size=(30, 12))
+    rows = lambda ms: spark.createDataFrame([(0, m, d[:, m].tolist(), [m % 2]) for m in ms], K.ROW)
+    study = K.Study(rng.normal(size=30), K.components("G+GxE+NxE", 2, 1), 1, 4, env=rng.normal(size=30), segment=13)
+    add = incremental.add_snps(str(tmp_path / "s"), study)
+    for number, ms in ((0, range(7)), (1, range(7, 12)), (1, range(7, 12))):
+        add(rows(ms), number)
+    t, q, _ = K.run(spark, rows(range(12)), study)
+    got = incremental.equations(spark, str(tmp_path / "s"), study)
+    assert np.allclose(got[0], t[-1]) and np.allclose(got[1], q[-1])
+
+
 def test_command_line(spark, tmp_path, monkeypatch):
     rng = np.random.default_rng(0)
     d = rng.binomial(2, 0.4, size=(20, 12))
