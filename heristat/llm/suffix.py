@@ -35,6 +35,12 @@ LEAST, GRAM = 50, 16
 BUCKET_BYTES, SLICE_BYTES, BATCH_BYTES = 16 << 20, 1 << 20, 12 << 20
 CONTEXTS = 50_000
 HOT = 10_000
+#: Grams that are known as frequent everywhere, at most.
+OFTEN = 4 << 20
+#: Keys that a batch sends to at most; where there are more buckets, rows go by way of so many groups of buckets.
+FAN = 4096
+#: Partitions at most, unless the session has more; each takes its buckets one after the other.
+TASKS = 16384
 #: Buckets of contexts for each bucket of anchors.
 FINER = 2
 #: Contexts whose suffixes are sorted together.
@@ -82,6 +88,53 @@ def _dealt(keys: np.ndarray, arrays: tuple[np.ndarray, ...]) -> Iterator[tuple[i
         start = end
 
 
+BLOBS = "kind int, key int, blob binary"
+#: How the arrays of each kind are packed for their bucket: anchors, positions asked for, contexts, intervals, windows.
+_PACKED = {
+    0: lambda low, high, ids, tag, deal, q: pack(low, high, _delta(ids), tag, deal, q),
+    1: lambda ids, tag, q: pack(_delta(ids), tag, _delta(q)),
+    2: pack,
+    3: pack,
+    4: pack,
+}
+
+
+def _sent(kind: int, keys: np.ndarray, arrays: tuple[np.ndarray, ...], fan: int) -> Iterator[tuple[int, int, bytes]]:
+    """Rows (kind, key, blob) of arrays by key. With a fan the key is that of a group of buckets, kind is below 0 and the blob
+    holds the keys too: a row a bucket would be next to a row a number where there are millions of buckets."""
+    if fan:
+        for group, (k, *own) in _dealt(keys % fan, (keys.astype(np.int32), *arrays)):
+            yield -1 - kind, group, pack(k, *own)
+        return
+    for key, own in _dealt(keys, arrays):
+        yield kind, key, _PACKED[kind](*own)
+
+
+def _route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of groups of buckets become rows of their buckets, about BATCH_BYTES at a time; other rows stay as they are."""
+    for kind, key, blobs in _by_key(batches):
+        if kind >= 0:
+            for blob in blobs:
+                yield _rows([(kind, key, blob)])
+            continue
+        held, size = [], 0
+
+        def send(held: list) -> pa.RecordBatch:
+            keys, *arrays = (np.concatenate(x) for x in zip(*held))
+            if kind == -2:
+                order = np.lexsort((arrays[2], arrays[1], arrays[0]))
+                keys, arrays = keys[order], [a[order] for a in arrays]
+            return _rows(list(_sent(-1 - kind, keys.astype(np.int64), tuple(arrays), 0)))
+
+        for blob in blobs:
+            held.append(unpack(blob))
+            if (size := size + sum(a.nbytes for a in held[-1])) >= BATCH_BYTES:
+                yield send(held)
+                held, size = [], 0
+        if held:
+            yield send(held)
+
+
 # --- anchors --------------------------------------------------------------------------------------------------------
 
 
@@ -144,10 +197,9 @@ def _groups(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(new)[0], np.cumsum(new) - 1
 
 
-def _requests(deal: np.ndarray, ids: np.ndarray, tag: np.ndarray, q: np.ndarray) -> Iterator[tuple[int, bytes]]:
+def _requests(deal: np.ndarray, ids: np.ndarray, tag: np.ndarray, q: np.ndarray, fan: int) -> Iterator[tuple[int, int, bytes]]:
     order = np.lexsort((q, tag, ids))
-    for key, (i, t, p) in _dealt(deal[order], (ids[order], tag[order], q[order])):
-        yield key, pack(_delta(i), t, _delta(p))
+    return _sent(1, deal[order].astype(np.int64), (ids[order], tag[order], q[order]), fan)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -155,10 +207,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(key, pa.int32()), pa.array(blob, pa.binary())], ["kind", "key", "blob"])
 
 
-BLOBS = "kind int, key int, blob binary"
-
-
-def _find_anchors(buckets: int, least: int):
+def _find_anchors(buckets: int, least: int, fan: int):
     """docs (doc_id, tag, deal, text) to rows of kind 0 (anchors, by gram bucket) and 1 (positions already known to be
     wanted, by document deal)."""
 
@@ -169,7 +218,7 @@ def _find_anchors(buckets: int, least: int):
         last = np.append(first[1:], len(h)) - 1
         both = np.empty(len(h), bool)
         both[order] = (ids[order][first] != ids[order][last])[run]
-        rows = [(1, key, blob) for key, blob in _requests(deal[both], ids[both], tag[both], q[both])]
+        rows = list(_requests(deal[both], ids[both], tag[both], q[both], fan))
         one = order[first]
         q = q.copy()
         q[one[both[one]]] = -(last - first + 1)[both[one]]  # a shared gram goes out once with its count, asking for nothing
@@ -177,8 +226,7 @@ def _find_anchors(buckets: int, least: int):
         keep[one] = True
         h, ids, tag, deal, q = (a[keep] for a in (h, ids, tag, deal, q))
         bucket, rest = (h % np.uint64(buckets)).astype(np.int64), h // np.uint64(buckets)
-        for key, (g, i, t, d, p) in _dealt(bucket, (rest, ids, tag, deal, q)):
-            rows.append((0, key, pack(g.astype(np.uint32), (g >> np.uint64(32)).astype(np.uint8), _delta(i), t, d, p)))
+        rows += _sent(0, bucket, (rest.astype(np.uint32), (rest >> np.uint64(32)).astype(np.uint8), ids, tag, deal, q), fan)
         return _rows(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,9 +274,9 @@ def _gram_id(bucket: np.ndarray, rest: np.ndarray, buckets: int) -> np.ndarray:
     return ((rest & np.uint64((1 << 40) - 1)).astype(np.int64)) * buckets + bucket
 
 
-def _want(buckets: int, hot: int):
+def _want(buckets: int, hot: int, fan: int):
     """Kind 0 rows become kind 1: anchors whose gram two documents have, and kind 5: the grams with more than `hot`
-    occurrences. Other rows stay as they are."""
+    occurrences, and how many. Other rows stay as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind, key, blobs in _by_key(batches):
@@ -243,14 +291,29 @@ def _want(buckets: int, hot: int):
             last = np.append(first[1:], len(h)) - 1
             shared = (ids[order][first] != ids[order][last])[run_] & (q[order] >= 0)
             pick = order[shared]
-            yield _rows([(1, k, blob) for k, blob in _requests(deal[pick], ids[pick], tag[pick], q[pick])])
-            often = np.add.reduceat(np.where(q[order] >= 0, 1, -q[order].astype(np.int64)), first) > hot
-            if often.any():
-                yield _rows([(5, key, pack(_gram_id(np.int64(key), h[order][first[often]], buckets)))])
+            yield _rows(list(_requests(deal[pick], ids[pick], tag[pick], q[pick], fan)))
+            count = np.add.reduceat(np.where(q[order] >= 0, 1, -q[order].astype(np.int64)), first)
+            if (often := count > hot).any():
+                yield _rows([(5, key, pack(_gram_id(np.int64(key), h[order][first[often]], buckets), count[often]))])
 
     return run
 
 
+def _most_frequent(lists: Iterator[list[np.ndarray]], most: int = OFTEN) -> np.ndarray:
+    """The grams of most occurrences from lists of grams and occurrences, sorted: `most` of them, and twice as many held."""
+    held, size = [np.zeros((0, 2), np.int64)], 0
+
+    def cut() -> np.ndarray:
+        every = np.concatenate(held)
+        return every if len(every) <= most else every[np.argpartition(-every[:, 1], most)[:most]]
+
+    for gram, count in lists:
+        held.append(np.stack([gram, count], axis=1))
+        if (size := size + len(gram)) > most:
+            held, size = [cut()], 0
+    return np.sort(cut()[:, 0])
+
+
 # --- contexts -------------------------------------------------------------------------------------------------------
 
 
@@ -284,7 +347,7 @@ def _settled(wide: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return done, key
 
 
-def _cut_contexts(buckets: int, least: int, frequent):
+def _cut_contexts(buckets: int, least: int, frequent, fan: int):
     """Requests and documents of a deal to rows of kind 2 (contexts, by gram bucket), 3 (intervals, by document deal) and
     4 (windows of frequent grams, by their own bucket)."""
     before = least - GRAM  # bytes of context ahead of the anchor
@@ -298,9 +361,8 @@ def _cut_contexts(buckets: int, least: int, frequent):
         done, key = _settled(_framed(each), i)
         rows = [(3, deal, pack(i[done], g[done], p[done], p[done] + np.int32(least)))] if done.any() else []
         keep = ~done
-        for b, (x, y, z, w) in _dealt((key[keep] % np.uint64(buckets)).astype(np.int64), (each[keep], i[keep], g[keep], p[keep])):
-            rows.append((4, b, pack(x, y, z, w, np.full(len(y), deal, np.int32))))
-        return rows
+        own = (each[keep], i[keep], g[keep], p[keep], np.full(int(keep.sum()), deal, np.int32))
+        return rows + list(_sent(4, (key[keep] % np.uint64(buckets)).astype(np.int64), own, fan))
 
     def send(deal: int, held: list[tuple[np.ndarray, ...]], often: np.ndarray) -> pa.RecordBatch:
         text, left, right, ids, tag, q = (np.concatenate(x) for x in zip(*held))
@@ -324,8 +386,7 @@ def _cut_contexts(buckets: int, least: int, frequent):
         keep = np.nonzero(~done & ~frequent)[0]
         keep = keep[np.argsort(h[keep], kind="stable")]
         bucket = (h[keep] % np.uint64(FINER * buckets)).astype(np.int64)
-        for b, (t, l, r, i, g, p) in _dealt(bucket, tuple(a[keep] for a in (text, left, right, ids, tag, q))):
-            rows.append((2, b, pack(t, l, r, i, g, p, np.full(len(i), deal, np.int32))))
+        rows += _sent(2, bucket, (*(a[keep] for a in (text, left, right, ids, tag, q)), np.full(len(keep), deal, np.int32)), fan)
         return _rows(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -472,7 +533,7 @@ def repeated_windows(window: np.ndarray, ids: np.ndarray, block: int = BLOCK) ->
     return out
 
 
-def _settle(least: int):
+def _settle(least: int, fan: int):
     """Contexts (kind 2) and windows (kind 4) of a bucket become intervals (kind 3), which stay as they are."""
     before = least - GRAM
 
@@ -485,12 +546,12 @@ def _settle(least: int):
             if kind == 4:
                 window, ids, tag, p, deal = _joined(blobs)
                 hit = repeated_windows(window, ids)
-                yield _rows([(3, k, pack(i, t, a, a + np.int32(least))) for k, (i, t, a) in _dealt(deal[hit].astype(np.int64), (ids[hit], tag[hit], p[hit]))])
+                yield _rows(list(_sent(3, deal[hit].astype(np.int64), (ids[hit], tag[hit], p[hit], p[hit] + np.int32(least)), fan)))
                 continue
             text, left, right, ids, tag, q, deal = _joined(blobs)
             whole, _ = _settled(_framed(text, left, right), ids)  # equal contexts of several batches: the smallest id stands for all
             start, end = q - left.astype(np.int32), q + right.astype(np.int32)
-            yield _rows([(3, k, pack(i, t, a, b)) for k, (i, t, a, b) in _dealt(deal[whole].astype(np.int64), (ids[whole], tag[whole], start[whole], end[whole]))])
+            yield _rows(list(_sent(3, deal[whole].astype(np.int64), (ids[whole], tag[whole], start[whole], end[whole]), fan)))
             text, left, right, ids, tag, q, deal = (a[~whole] for a in (text, left, right, ids, tag, q, deal))
             grams = np.ascontiguousarray(text[:, before : before + GRAM]).view("<u8")
             h = _gram_hash((grams[:, 0], grams[:, 1]))
@@ -511,7 +572,7 @@ def _settle(least: int):
             (row, c0), (_, c1) = np.nonzero(edges == 1), np.nonzero(edges == -1)
             at = pick[row]
             start, end = q[at] - before + c0, q[at] - before + c1 - 1 + least
-            yield _rows([(3, k, pack(i, t, a, b)) for k, (i, t, a, b) in _dealt(deal[at].astype(np.int64), (ids[at], tag[at], start.astype(np.int32), end.astype(np.int32)))])
+            yield _rows(list(_sent(3, deal[at].astype(np.int64), (ids[at], tag[at], start.astype(np.int32), end.astype(np.int32)), fan)))
 
     return run
 
@@ -545,7 +606,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield send(rows)
 
 
-def dedup(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+def dedup(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, bucket_bytes: int = BUCKET_BYTES, fan: int = FAN, tasks: int = TASKS) -> DataFrame:
     """Rows (doc_id, n_bytes, spans array<struct<start, end>>, kept binary), one per input row: the removed byte runs and
     the bytes that stay, of the text's UTF-8.
 
@@ -553,9 +614,14 @@ def dedup(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col:
     smaller one and is smaller than none: it stays whole. Rows that share a doc_id don't remove each other's strings. No
     rows: no rows. Other columns don't count. least is 24 at least.
 
-    The contexts of a gram are sorted in one task, unless it has more than `hot` occurrences, and more than there are
-    buckets: then its windows are, each in a bucket of its own hash, by the same sort. It changes no result. Documents are
+    The contexts of a gram are sorted in one task, unless it has more than `hot` occurrences, or more than leave about OFTEN
+    such grams: then its windows are, each in a bucket of its own hash, by the same sort. It changes no result, nor does it that
+    of more grams the OFTEN most frequent are taken. Documents are
     dealt by id and text, so that a repeated id stays together only as far as its text does too.
+
+    Buckets are as many as `bucket_bytes` go into the text; a task holds one at a time, whatever their number, and there are
+    `tasks` tasks at most, or as many as the session has partitions. Where there are more than `fan` buckets, what is sent to
+    them goes to groups of buckets first, and from there to each; texts are never sent that way.
     """
     if not GRAM + 8 <= least <= 128:
         raise ValueError(f"least must be from {GRAM + 8} to 128")
@@ -563,28 +629,34 @@ def dedup(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col:
     text = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = partitions(spark)
-    buckets = max(n, -(-total // BUCKET_BYTES))
+    buckets = max(n, -(-total // bucket_bytes))
+    tasks = min(buckets, max(n, tasks))
+    groups = fan if buckets > fan else 0
     tag = F.xxhash64(text).bitwiseAND(F.lit(4294967295))
     own = F.col(quoted(id_col)).cast("long")
     rows = docs.select(F.pmod(F.xxhash64(own, tag), F.lit(buckets)).cast("int").alias("deal"), own.alias("doc_id"), tag.alias("tag"), text.cast("binary").alias("text"))
     whole = f"doc_id IS NULL OR octet_length(text) < {least}"  # these lose nothing
     settled = rows.filter(whole).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.expr("CAST(array() AS array<struct<start:bigint,end:bigint>>)").alias("spans"), F.col("text").alias("kept"))
     rows = rows.filter(f"NOT ({whole})")
-    hot = max(hot, buckets)
-    found = rows.mapInArrow(_find_anchors(buckets, least), BLOBS)
-    wanted = materialize(found.repartition(buckets, "kind", "key").sortWithinPartitions("kind", "key").mapInArrow(_want(buckets, hot), BLOBS), "anchors")
+    hot = max(hot, -(-total // (least - GRAM + 1) * 2 // OFTEN))  # two anchors for each width of a window
+
+    def by_key(blobs: DataFrame) -> DataFrame:
+        return blobs.repartition(tasks, "kind", "key").sortWithinPartitions("kind", "key")
+
+    def routed(blobs: DataFrame) -> DataFrame:
+        return by_key(blobs).mapInArrow(_route, BLOBS) if groups else blobs
+
+    found = rows.mapInArrow(_find_anchors(buckets, least, groups), BLOBS)
+    wanted = materialize(routed(by_key(routed(found)).mapInArrow(_want(buckets, hot, groups), BLOBS)), "anchors")
 
     def with_docs(blobs: DataFrame) -> DataFrame:
         side = blobs.select(F.col("key").alias("deal"), "blob", F.expr("CAST(NULL AS BIGINT)").alias("doc_id"), F.expr("CAST(NULL AS BIGINT)").alias("tag"), F.expr("CAST(NULL AS BINARY)").alias("text"))
         both = side.unionByName(rows.withColumn("blob", F.expr("CAST(NULL AS BINARY)")))
-        return both.repartition(buckets, "deal").sortWithinPartitions("deal", F.expr("blob IS NULL"))
-
-    # a bucket's anchors are about a seventeenth of BUCKET_BYTES, and a frequent gram has more of them than there are buckets: the
-    # list is bounded by BUCKET_BYTES / 17 numbers, or by a HOT-th of all anchors where there are few
-    lists = [unpack(bytes(r.blob))[0] for r in wanted.filter("kind = 5").select("blob").toLocalIterator()]
-    frequent = spark.sparkContext.broadcast(np.sort(np.concatenate([np.array([], np.int64), *lists])))
-    cut = with_docs(wanted.filter("kind = 1")).mapInArrow(_cut_contexts(buckets, least, frequent), BLOBS)
-    gone = materialize(cut.repartition(buckets, "kind", "key").sortWithinPartitions("kind", "key").mapInArrow(_settle(least), BLOBS), "repeats")
+        return both.repartition(tasks, "deal").sortWithinPartitions("deal", F.expr("blob IS NULL"))
+
+    frequent = spark.sparkContext.broadcast(_most_frequent(unpack(bytes(r.blob)) for r in wanted.filter("kind = 5").select("blob").toLocalIterator()))
+    cut = with_docs(wanted.filter("kind = 1")).mapInArrow(_cut_contexts(buckets, least, frequent, groups), BLOBS)
+    gone = materialize(routed(by_key(routed(cut)).mapInArrow(_settle(least, groups), BLOBS)), "repeats")
     return settled.unionByName(with_docs(gone).mapInArrow(_cut_out, "doc_id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary"))
 
 

@@ -43,6 +43,17 @@ def test_common_lines(spark, hot):
     assert sorted(((r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got), key=repr) == want
 
 
+@pytest.mark.parametrize("hot", [3, 10**6])
+def test_many_buckets(spark, hot):
+    """Far more buckets than tasks and than a batch may send to: rows go by groups of buckets, results are the same."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 40))) for _ in range(30)]
+    docs = [(rng.choice([None, *range(200)]), " ".join(rng.choice(words) for _ in range(rng.randrange(40)))) for _ in range(200)]
+    got = S.dedup(spark.createDataFrame(docs, "doc_id long, text string"), hot=hot, bucket_bytes=200, fan=5, tasks=3)
+    want = slow([(i, t.encode()) for i, t in docs], 50)
+    assert sorted(((r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got.collect()), key=repr) == want
+
+
 def test_repeated_and_null_ids(spark):
     """A thousand rows of one id, as many without, and ids at both ends of long."""
     rng = random.Random(6)
@@ -54,6 +65,12 @@ def test_repeated_and_null_ids(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == slow([(i, (t or "").encode()) for i, t in docs], 50)
 
 
+def test_most_frequent():
+    lists = [[np.arange(k * 10, k * 10 + 10), np.arange(10) * 100 + k] for k in range(7)]
+    assert S._most_frequent(iter(lists), 14).tolist() == sorted(k * 10 + i for k in range(7) for i in (8, 9))
+    assert S._most_frequent(iter(lists)).tolist() == list(range(70)) and S._most_frequent(iter([])).tolist() == []
+
+
 def test_windows_are_sorted_as_contexts_are():
     rng = np.random.default_rng(3)
     window = rng.integers(97, 99, (300, 50)).astype(np.uint8)
