@@ -4,17 +4,15 @@ List entries (list, rule, day, add or remove) become validity intervals; an as-o
 entries that were active when it was fetched. A rule is a domain and covers its subdomains.
 
 Intervals are kept one row a rule, so that a capture meets a rule once and looks its fetch time up among the rule's
-sorted intervals instead of joining with each of them. Rules are matched to distinct hosts, and hosts to captures with a
-salt: a host with a third of all captures is spread over SALTS tasks, and the narrow host table is what is repeated.
+sorted intervals instead of joining with each of them. Rules are matched to distinct hosts and these to captures: the few
+hosts that have many captures by a broadcast, so that their captures stay where they are, the others by shuffle.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from heristat.llm.common import quoted
-
-SALTS = 16
+from heristat.llm.common import materialize, quoted, spread_join
 
 #: Host of a URL: lower case, without user, port and final dot. Empty where there is none.
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
@@ -45,14 +43,12 @@ def judge(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_
     """
     own = captures.select(F.col(quoted(id_col)), host(F.col(quoted(url_col))).alias("host"), F.col(quoted(time_col)).cast("long").alias(time_col))
     suffixes = F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> array_join(slice(split(host, '[.]'), i, size(split(host, '[.]'))), '.'))")
-    hosts = own.filter("host <> ''").select("host").distinct().select("host", F.explode(suffixes).alias("rule"))
-    rules = intervals(entries).groupBy("rule").agg(F.sort_array(F.collect_set(F.struct("since", "until", "list"))).alias("spans"))
-    covered = hosts.join(rules, "rule").groupBy("host").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    salted = covered.withColumn("salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})")))
-    dealt = own.withColumn("salt", F.expr(f"CAST(pmod(xxhash64(`{id_col}`, `{time_col}`), {SALTS}) AS INT)"))
-    active = F.expr(f"array_sort(array_distinct(transform(filter(spans, s -> s.since <= `{time_col}` AND (s.until IS NULL OR `{time_col}` < s.until)), s -> s.list)))")
-    found = dealt.join(salted, ["host", "salt"], "left").withColumn("active", F.coalesce(active, F.expr("CAST(array() AS ARRAY<STRING>)")))
-    return found.select(id_col, "host", time_col, F.array_join("active", ",").alias("lists"), F.when(F.size("active") > 0, 1).otherwise(0).alias("blocked"))
+    hosts = own.filter("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("_n")).select("host", "_n", F.explode(suffixes).alias("rule"))
+    rules = intervals(entries).groupBy("rule").agg(F.sort_array(F.collect_set(F.struct("since", "until", "list"))).alias("_spans"))
+    covered = materialize(hosts.join(rules, "rule").groupBy("host").agg(F.flatten(F.collect_list("_spans")).alias("_spans"), F.max("_n").alias("_n")), "hosts")
+    active = F.expr(f"array_sort(array_distinct(transform(filter(_spans, s -> s.since <= {quoted(time_col)} AND (s.until IS NULL OR {quoted(time_col)} < s.until)), s -> s.list)))")
+    found = spread_join(own, covered, "host", "_n", "left").withColumn("active", F.coalesce(active, F.expr("CAST(array() AS ARRAY<STRING>)")))
+    return found.select(F.col(quoted(id_col)), "host", F.col(quoted(time_col)), F.array_join("active", ",").alias("lists"), F.when(F.size("active") > 0, 1).otherwise(0).alias("blocked"))
 
 
 # --- the query's captures and lists: derived from the pages by rules that SQL can repeat ----------------------------------
