@@ -510,13 +510,21 @@ def xtxz(spark: SparkSession, snps: DataFrame, n: int, blocks: int, vectors: int
         yield snps.mapInArrow(across, "j long, m long, u array<double>")
 
 
-def write_xtxz(groups: Iterator[DataFrame], vectors: int, path: str) -> DataFrame:
-    """Write xtxz()'s rows as Parquet at path, a folder a sample; (j, trace), trace being |u|^2 / (B M^2) over a sample's M SNPs."""
-    spark, first = None, True
+def _squares(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(F.col("j").cast("long").alias("j")).agg(F.sum(F.aggregate("u", F.lit(0.0), lambda s, x: s + x * x)).alias("s"), F.count(F.lit(1)).alias("n"))
+
+
+def xtxz_traces(groups: Iterator[DataFrame], vectors: int) -> DataFrame:
+    """(j, trace) of xtxz()'s rows: |u|^2 / (B M^2) over a sample's M SNPs. A row a sample comes to the driver."""
+    spark, rows = SparkSession.getActiveSession(), []
+    for g in groups:
+        rows += [(r.j, r.s / (vectors * r.n * r.n)) for r in _squares(g).collect()]
+    return spark.createDataFrame(rows, "j long, trace double")
+
+
+def write_xtxz(groups: Iterator[DataFrame], path: str) -> None:
+    """Write xtxz()'s rows as Parquet at path, a folder a sample."""
+    mode = "overwrite"
     for g in groups:
-        spark = g.sparkSession
-        g.write.partitionBy("j").mode("overwrite" if first else "append").parquet(path)
-        first = False
-    squares = F.aggregate("u", F.lit(0.0), lambda s, x: s + x * x)
-    each = spark.read.parquet(path).groupBy(F.col("j").cast("long").alias("j")).agg(F.sum(squares).alias("s"), F.count(F.lit(1)).alias("n"))
-    return each.select("j", (F.col("s") / (F.lit(vectors) * F.col("n") * F.col("n"))).alias("trace"))
+        g.write.partitionBy("j").mode(mode).parquet(path)
+        mode = "append"

@@ -352,22 +352,22 @@ _OWN = (
 _XTXZ = sql(f"SELECT j, round(trace, 3) AS trace FROM (SELECT jj AS j, sum(u * u) / ({B} * pow(count(DISTINCT m), 2)) AS trace FROM ({_OWN}) GROUP BY jj)", "geno", "blk")
 
 
-def _xtxz(spark, d) -> DataFrame:
-    """Trace of every sample, its vectors written by sample to the shared folder."""
+def _xtxz(spark, d):
     rows = K.as_rows(X.geno(spark, d), X.annot_one(spark), J, X.SNPS)
-    path = bed.scratch(spark)
-    return K.write_xtxz(K.xtxz(spark, rows, X.individuals(spark, d).count(), J, B, X.SEED, f"{path}.sums"), B, f"{path}.vectors"), f"{path}.vectors"
+    return K.xtxz(spark, rows, X.individuals(spark, d).count(), J, B, X.SEED, bed.scratch(spark))
 
 
 @query(_XTXZ)
 def xtxz_trace(spark, d):
-    return _xtxz(spark, d)[0].select("j", *r6("trace", digits=3))
+    return K.xtxz_traces(_xtxz(spark, d), B).select("j", *r6("trace", digits=3))
 
 
 @query(sql(f"SELECT jj AS j, m, b, round(u, 3) AS u FROM ({_OWN})", "geno", "blk"))
 def xtxz_block_vectors(spark, d):
-    """Every sample's own vectors, read back from what was written."""
-    kept = spark.read.parquet(_xtxz(spark, d)[1])
+    """Every sample's own vectors, written by sample to the shared folder and read back."""
+    path = bed.scratch(spark)
+    K.write_xtxz(_xtxz(spark, d), path)
+    kept = spark.read.parquet(path)
     return kept.select(F.col("j").cast("long").alias("j"), "m", F.posexplode("u").alias("b", "u")).select("j", "m", F.col("b").cast("long").alias("b"), F.round(F.col("u"), 3).alias("u"))
 
 

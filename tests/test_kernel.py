@@ -128,8 +128,9 @@ def test_xtxz(spark, data, tmp_path, monkeypatch):
     block = np.minimum(np.arange(30) // 7, 3)
     for numbers in (1, 60 * 3 * 2, 1 << 20):  # samples one by one, by two, all at once
         monkeypatch.setattr(K, "GROUP_NUMBERS", numbers)
-        groups = K.xtxz(spark, snps(spark, d, 4, lambda m: [0]), 60, 4, 3, 4, str(tmp_path / f"w{numbers}"))
-        trace = {r.j: r.trace for r in K.write_xtxz(groups, 3, str(tmp_path / f"u{numbers}")).collect()}
+        groups = lambda n=numbers: K.xtxz(spark, snps(spark, d, 4, lambda m: [0]), 60, 4, 3, 4, str(tmp_path / f"w{n}"))
+        trace = {r.j: r.trace for r in K.xtxz_traces(groups(), 3).collect()}
+        K.write_xtxz(groups(), str(tmp_path / f"u{numbers}"))
         kept = spark.read.parquet(str(tmp_path / f"u{numbers}")).collect()
         for j in range(5):
             own = block != j
