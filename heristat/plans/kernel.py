@@ -487,8 +487,9 @@ def xtxz(spark: SparkSession, snps: DataFrame, n: int, blocks: int, vectors: int
 
     def matrix(rows: DataFrame, count: int) -> np.ndarray:
         out = np.zeros((count, n, vectors))
-        for r in rows.toLocalIterator():
-            out[r.place, r.at : r.at + step] = np.array(r.w).reshape(-1, vectors)
+        for b in rows.toArrow().to_batches():
+            for i, (place, at) in enumerate(zip(b.column("place").to_pylist(), b.column("at").to_pylist())):
+                out[place, at : at + step] = b.column("w")[i].values.to_numpy().reshape(-1, vectors)
         return out
 
     def plus(pdf):
