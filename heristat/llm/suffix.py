@@ -3,8 +3,10 @@
 A byte goes if a string of `least` bytes that covers it also starts in a document with a smaller id. The steps:
 
 1. Anchors. Every window of `least` bytes holds `least - gram + 1` grams; the one with the least hash is the window's
-   anchor, so equal windows have equal anchors at equal offsets, and a document has few anchors. Anchors whose gram
-   occurs in two documents are wanted; all other text is out.
+   anchor, so equal windows have equal anchors at equal offsets, and a document has few anchors. A window holds all of
+   half the bytes that it has besides the gram either ahead of the gram or behind it. Anchors whose gram occurs in two
+   documents with either of these sides are wanted; all other text is out. The gram alone would not do: the larger the
+   corpus, the more grams two documents have by chance.
 2. Contexts. Of each wanted anchor the bytes that its own windows cover are cut out of the whole text and sent to the
    bucket of its gram. Contexts that are equal within a batch are settled there: all but those with the batch's smallest
    id go whole. A context that a third of all documents hold is thus sent once per batch.
@@ -15,7 +17,7 @@ A byte goes if a string of `least` bytes that covers it also starts in a documen
    neighbours that agree on `least` bytes form a class; members whose id is above the class's smallest are repeats.
 4. The repeats' intervals go back to their documents, where they are merged and cut out.
 
-Everything shuffled between the steps but the text is packed, compressed arrays, one row for each batch and bucket.
+Everything shuffled between the steps is packed, compressed arrays, one row for each batch and bucket, texts too.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from heristat.llm.common import materialize, partitions, quoted, slices
+from heristat.llm.common import materialize, partitions, quoted, slices, stored
 
 LEAST, GRAM = 50, 16
 #: Bytes of text for each bucket, of text hashed at a time, and of text after which a batch is sent.
@@ -45,6 +47,10 @@ TASKS = 16384
 FINER = 2
 #: Contexts whose suffixes are sorted together.
 BLOCK = 8192
+#: Occurrences of a gram in a batch above which its sides aren't looked at: it then goes out once, whatever is beside it.
+MANY = 8
+#: Sides (16 bits): there is none, and any.
+NONE, ANY = 0, 65535
 COVER, RESIDUES = 16, (0, 1, 2, 5, 8)  # every difference mod 16 is one of two of these residues
 
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9)
@@ -91,7 +97,7 @@ def _dealt(keys: np.ndarray, arrays: tuple[np.ndarray, ...]) -> Iterator[tuple[i
 BLOBS = "kind int, key int, blob binary"
 #: How the arrays of each kind are packed for their bucket: anchors, positions asked for, contexts, intervals, windows.
 _PACKED = {
-    0: lambda low, high, ids, tag, deal, q: pack(low, high, _delta(ids), tag, deal, q),
+    0: lambda low, high, left, right, ids, tag, deal, q: pack(low, high, left, right, _delta(ids), tag, deal, q),
     1: lambda ids, tag, q: pack(_delta(ids), tag, _delta(q)),
     2: pack,
     3: pack,
@@ -172,6 +178,27 @@ def anchors(text: bytes, starts: np.ndarray, ends: np.ndarray, least: int = LEAS
     return at, hashes[at]
 
 
+def _hashed(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """1 to 65534, by the `size` bytes from each position on; words holds the 8 bytes from each byte on."""
+    h = np.zeros(len(at), np.uint64)
+    with np.errstate(over="ignore"):
+        for o in [*range(0, size - 8, 8), max(size - 8, 0)]:
+            h = (h ^ (words[at + o] & np.uint64((1 << 8 * min(size, 8)) - 1))) * np.uint64(_MIX[0])
+            h ^= h >> np.uint64(29)
+        h *= np.uint64(_MIX[2])
+    return ((h >> np.uint64(32)) % np.uint64(ANY - 1) + np.uint64(1)).astype(np.uint16)
+
+
+def sides(text: bytes, at: np.ndarray, start: np.ndarray, end: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """What stands ahead of and behind the grams at these positions of documents text[start:end], as 16 bits of its hash. A
+    window of the gram holds all of the one or of the other; a side that would leave the document is NONE."""
+    half = (least - GRAM + 1) // 2
+    raw = np.frombuffer(b"\0" * half + text + b"\0" * (half + 8), np.uint8)
+    words = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+    left = np.where(at - half >= start, _hashed(words, at, half), np.uint16(NONE))
+    return left, np.where(at + GRAM + half <= end, _hashed(words, at + half + GRAM, half), np.uint16(NONE))
+
+
 def own_windows(text: np.ndarray, left: np.ndarray, right: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """left and right of contexts (rows, the anchor's gram in column least - GRAM) cut down to the windows whose least gram
     the anchor is; a window is of its anchor alone then. They are next to each other. Where there is none, right is 0."""
@@ -197,6 +224,27 @@ def _groups(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(new)[0], np.cumsum(new) - 1
 
 
+def _beside(h: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """One key for a gram and what is beside it."""
+    with np.errstate(over="ignore"):
+        return (h ^ side.astype(np.uint64)) * np.uint64(_MIX[1]) ^ side.astype(np.uint64) * np.uint64(_MIX[0])
+
+
+def _shared(key: np.ndarray, ids: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+    """Whether a key also is of another id, or known to be for one of its rows."""
+    if not len(key):
+        return np.zeros(0, bool)
+    order = np.argsort(key)
+    first, run = _groups(key[order])
+    own = ids[order]
+    both = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
+    if known is not None:
+        both |= np.logical_or.reduceat(known[order], first)
+    out = np.empty(len(key), bool)
+    out[order] = both[run]
+    return out
+
+
 def _requests(deal: np.ndarray, ids: np.ndarray, tag: np.ndarray, q: np.ndarray, fan: int) -> Iterator[tuple[int, int, bytes]]:
     order = np.lexsort((q, tag, ids))
     return _sent(1, deal[order].astype(np.int64), (ids[order], tag[order], q[order]), fan)
@@ -212,21 +260,28 @@ def _find_anchors(buckets: int, least: int, fan: int):
     wanted, by document deal)."""
 
     def send(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        h, ids, tag, deal, q = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((ids, h))
-        first, run = _groups(h[order])
-        last = np.append(first[1:], len(h)) - 1
-        both = np.empty(len(h), bool)
-        both[order] = (ids[order][first] != ids[order][last])[run]
+        h, left, right, ids, tag, deal, q = (np.concatenate(x) for x in zip(*held))
+        every = np.sort(h)
+        many = np.isin(h, every[MANY:][every[MANY:] == every[:-MANY]])
+        many[many] = _shared(h[many], ids[many])
+        left[many] = right[many] = ANY
+        by_left = _shared(_beside(h, left), ids) & (left != NONE)
+        by_right = _shared(_beside(h, right), ids) & (right != NONE)
+        both = by_left | by_right
         rows = list(_requests(deal[both], ids[both], tag[both], q[both], fan))
-        one = order[first]
+        # what is shared here goes out once with its count and the sides that are shared, asking for nothing
+        at = np.nonzero(both)[0]
+        key = _beside(_beside(h[at], left[at]), right[at])
+        order = np.argsort(key, kind="stable")
+        first, run = _groups(key[order]) if len(at) else (at, at)
+        one = at[order[first]]
         q = q.copy()
-        q[one[both[one]]] = -(last - first + 1)[both[one]]  # a shared gram goes out once with its count, asking for nothing
+        q[one] = -(np.bincount(run, minlength=len(first)).astype(np.int32) << 2 | by_left[one] * np.int32(2) | by_right[one])
         keep = ~both
         keep[one] = True
-        h, ids, tag, deal, q = (a[keep] for a in (h, ids, tag, deal, q))
+        h, left, right, ids, tag, deal, q = (a[keep] for a in (h, left, right, ids, tag, deal, q))
         bucket, rest = (h % np.uint64(buckets)).astype(np.int64), h // np.uint64(buckets)
-        rows += _sent(0, bucket, (rest.astype(np.uint32), (rest >> np.uint64(32)).astype(np.uint8), ids, tag, deal, q), fan)
+        rows += _sent(0, bucket, (rest.astype(np.uint32), (rest >> np.uint64(32)).astype(np.uint8), left, right, ids, tag, deal, q), fan)
         return _rows(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +293,7 @@ def _find_anchors(buckets: int, least: int, fan: int):
             at, h = anchors(b"".join(texts), ends - sizes, ends, least)
             doc = np.searchsorted(ends, at, side="right")
             pick = lambda c: part.column(c).to_numpy(zero_copy_only=False)[doc]
-            held.append((h, pick("doc_id"), pick("tag").astype(np.uint32), pick("deal").astype(np.int32), (at - (ends - sizes)[doc]).astype(np.int32)))
+            held.append((h, *sides(b"".join(texts), at, (ends - sizes)[doc], ends[doc], least), pick("doc_id"), pick("tag").astype(np.uint32), pick("deal").astype(np.int32), (at - (ends - sizes)[doc]).astype(np.int32)))
             if (size := size + int(ends[-1])) >= BATCH_BYTES:
                 yield send(held)
                 held, size = [], 0
@@ -275,8 +330,8 @@ def _gram_id(bucket: np.ndarray, rest: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _want(buckets: int, hot: int, fan: int):
-    """Kind 0 rows become kind 1: anchors whose gram two documents have, and kind 5: the grams with more than `hot`
-    occurrences, and how many. Other rows stay as they are."""
+    """Kind 0 rows become kind 1: anchors whose gram two documents have with what is ahead of it or behind it, and kind 5: the
+    grams with more than `hot` occurrences of that sort, and how many. Other rows stay as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind, key, blobs in _by_key(batches):
@@ -284,15 +339,16 @@ def _want(buckets: int, hot: int, fan: int):
                 for blob in blobs:
                     yield _rows([(kind, key, blob)])
                 continue
-            parts = [(a.astype(np.uint64) | b.astype(np.uint64) << np.uint64(32), np.cumsum(i), t, d, p) for a, b, i, t, d, p in map(unpack, blobs)]
-            h, ids, tag, deal, q = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((ids, h))
+            parts = [(a.astype(np.uint64) | b.astype(np.uint64) << np.uint64(32), l, r, np.cumsum(i), t, d, p) for a, b, l, r, i, t, d, p in map(unpack, blobs)]
+            h, left, right, ids, tag, deal, q = (np.concatenate(x) for x in zip(*parts))
+            own, known = q >= 0, np.where(q < 0, -q, 0)
+            shared = _shared(_beside(h, left), ids, known & 2 > 0) & (left != NONE) | _shared(_beside(h, right), ids, known & 1 > 0) & (right != NONE)
+            order = np.argsort(h, kind="stable")
             first, run_ = _groups(h[order])
-            last = np.append(first[1:], len(h)) - 1
-            shared = (ids[order][first] != ids[order][last])[run_] & (q[order] >= 0)
-            pick = order[shared]
+            shared[order] |= np.logical_or.reduceat(left[order] == ANY, first)[run_]
+            pick = np.nonzero(shared & own)[0]
             yield _rows(list(_requests(deal[pick], ids[pick], tag[pick], q[pick], fan)))
-            count = np.add.reduceat(np.where(q[order] >= 0, 1, -q[order].astype(np.int64)), first)
+            count = np.add.reduceat(np.where(own, shared, known >> 2).astype(np.int64)[order], first)
             if (often := count > hot).any():
                 yield _rows([(5, key, pack(_gram_id(np.int64(key), h[order][first[often]], buckets), count[often]))])
 
@@ -423,27 +479,52 @@ def _spots(ids: np.ndarray, tag: np.ndarray) -> dict[tuple[int, int], np.ndarray
     return {(int(i[a]), int(t[a])): order[a:b] for a, b in zip(new, np.append(new[1:], len(i)))}
 
 
+def _pack_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """docs (deal, doc_id, tag, text) to rows (deal, docs, blob): the documents of a deal, about BATCH_BYTES of all at a time."""
+
+    def send(held: list[tuple]) -> pa.RecordBatch:
+        deal, ids, tag, texts = (sum(x, []) for x in zip(*held))
+        rows = []
+        for key, (pick,) in _dealt(np.array(deal, np.int64), (np.arange(len(deal)),)):
+            own = [texts[k] for k in pick.tolist()]
+            rows.append((key, pack(np.array(ids, np.int64)[pick], np.array(tag, np.int64)[pick], np.array([len(t) for t in own], np.int64), np.frombuffer(b"".join(own), np.uint8))))
+        keys, blobs = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([True] * len(rows)), pa.array(blobs, pa.binary())], ["deal", "docs", "blob"])
+
+    held, size = [], 0
+    for part in slices(batches, "text", SLICE_BYTES):
+        held.append(tuple(part.column(c).to_pylist() for c in ("deal", "doc_id", "tag", "text")))
+        if (size := size + sum(map(len, held[-1][3]))) >= BATCH_BYTES:
+            yield send(held)
+            held, size = [], 0
+    if held:
+        yield send(held)
+
+
 def _by_deal(batches: Iterator[pa.RecordBatch]):
     """(deal, unpacked blobs, iterator of documents) for each deal; its blobs are sorted before its documents. The
     documents must be used up before the next deal is asked for."""
-    rows = ((*r, b, i) for b in batches for i, r in enumerate(zip(b.column("deal").to_pylist(), b.column("blob").to_pylist(), b.column("doc_id").to_pylist(), b.column("tag").to_pylist())))
+    rows = ((*r, b.column("blob"), i) for b in batches for i, r in enumerate(zip(b.column("deal").to_pylist(), b.column("docs").to_pylist())))
     head = next(rows, None)
     while head is not None:
         deal, blobs = head[0], []
-        while head is not None and head[0] == deal and head[1] is not None:
-            blobs.append(unpack(head[1]))
+        while head is not None and head[0] == deal and not head[1]:
+            blobs.append(unpack(head[2][head[3]].as_py()))
             head = next(rows, None)
 
         def docs():
             nonlocal head
-            while head is not None and head[0] == deal and head[1] is None:
-                yield head[2], head[3], head[4].column("text")[head[5]].as_py()
+            while head is not None and head[0] == deal and head[1]:
+                ids, tag, sizes, text = unpack(head[2][head[3]].as_py())
+                ends = np.cumsum(sizes)
+                for doc_id, t, start, end in zip(ids.tolist(), tag.tolist(), (ends - sizes).tolist(), ends.tolist()):
+                    yield doc_id, t, text[start:end].tobytes()
                 head = next(rows, None)
 
         if head is None or head[0] != deal:
             continue
         yield deal, blobs, docs()
-        while head is not None and head[0] == deal and head[1] is None:
+        while head is not None and head[0] == deal and head[1]:
             head = next(rows, None)
 
 
@@ -593,7 +674,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = _spots(ids, tag)
         for doc_id, t, text in docs:
             spans, kept = [], text
-            if doc_id is not None and (spot := where.get((doc_id, t))) is not None:
+            if (spot := where.get((doc_id, t))) is not None:
                 depth = np.bincount(start[spot], minlength=len(text) + 1) - np.bincount(end[spot], minlength=len(text) + 1)
                 gone = np.cumsum(depth)[:-1] > 0
                 edge = np.diff(gone.astype(np.int8), prepend=0, append=0)
@@ -646,17 +727,19 @@ def dedup(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col:
     def routed(blobs: DataFrame) -> DataFrame:
         return by_key(blobs).mapInArrow(_route, BLOBS) if groups else blobs
 
-    found = rows.mapInArrow(_find_anchors(buckets, least, groups), BLOBS)
-    wanted = materialize(routed(by_key(routed(found)).mapInArrow(_want(buckets, hot, groups), BLOBS)), "anchors")
-
     def with_docs(blobs: DataFrame) -> DataFrame:
-        side = blobs.select(F.col("key").alias("deal"), "blob", F.expr("CAST(NULL AS BIGINT)").alias("doc_id"), F.expr("CAST(NULL AS BIGINT)").alias("tag"), F.expr("CAST(NULL AS BINARY)").alias("text"))
-        both = side.unionByName(rows.withColumn("blob", F.expr("CAST(NULL AS BINARY)")))
-        return both.repartition(tasks, "deal").sortWithinPartitions("deal", F.expr("blob IS NULL"))
-
-    frequent = spark.sparkContext.broadcast(_most_frequent(unpack(bytes(r.blob)) for r in wanted.filter("kind = 5").select("blob").toLocalIterator()))
-    cut = with_docs(wanted.filter("kind = 1")).mapInArrow(_cut_contexts(buckets, least, frequent, groups), BLOBS)
-    gone = materialize(routed(by_key(routed(cut)).mapInArrow(_settle(least, groups), BLOBS)), "repeats")
+        side = blobs.select(F.col("key").alias("deal"), F.lit(False).alias("docs"), "blob")
+        both = side.unionByName(rows.mapInArrow(_pack_docs, "deal int, docs boolean, blob binary"))
+        return both.repartition(tasks, "deal").sortWithinPartitions("deal", "docs")
+
+    def repeats_of() -> DataFrame:
+        found = rows.mapInArrow(_find_anchors(buckets, least, groups), BLOBS)
+        wanted = materialize(routed(by_key(routed(found)).mapInArrow(_want(buckets, hot, groups), BLOBS)), "anchors")
+        frequent = spark.sparkContext.broadcast(_most_frequent(unpack(bytes(r.blob)) for r in wanted.filter("kind = 5").select("blob").toLocalIterator()))
+        cut = with_docs(wanted.filter("kind = 1")).mapInArrow(_cut_contexts(buckets, least, frequent, groups), BLOBS)
+        return routed(by_key(routed(cut)).mapInArrow(_settle(least, groups), BLOBS))
+
+    gone, _ = stored(spark, "repeats", repeats_of)
     return settled.unionByName(with_docs(gone).mapInArrow(_cut_out, "doc_id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary"))
 
 

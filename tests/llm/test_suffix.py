@@ -71,6 +71,47 @@ def test_most_frequent():
     assert S._most_frequent(iter(lists)).tolist() == list(range(70)) and S._most_frequent(iter([])).tolist() == []
 
 
+@pytest.mark.parametrize("batch", [1, 10**6])
+def test_chance_grams_are_not_asked_for(monkeypatch, batch):
+    """Two documents have 60 bytes in common; all have 24, which hold whole grams but no gram with what is beside it."""
+    monkeypatch.setattr(S, "BATCH_BYTES", batch)
+    monkeypatch.setattr(S, "SLICE_BYTES", 1)
+    rng = random.Random(2)
+    junk = lambda n: bytes(rng.choice(b"abcdefghijklmnop") for _ in range(n))
+    common, passage = junk(24), junk(60)
+    texts = [b"".join(junk(60) + common for _ in range(2)) + junk(60) + (passage if i in (3, 7) else b"") for i in range(1, 9)]
+    docs = S.pa.table({"doc_id": range(1, 9), "tag": [0] * 8, "deal": S.pa.array(range(8), S.pa.int32()), "text": texts}).to_batches()
+    sent = sorted((r for b in S._find_anchors(3, 50, 0)(iter(docs)) for r in zip(*b.to_pydict().values())), key=lambda r: r[:2])
+    asked = [S.unpack(blob) for b in S._want(3, 10**6, 0)(iter([S._rows(sent)])) for kind, _, blob in zip(*b.to_pydict().values()) if kind == 1]
+    at = {(int(i), int(p)) for ids, _, q in asked for i, p in zip(np.cumsum(ids), np.cumsum(q))}
+    assert {i for i, _ in at} == {3, 7} and all(p > 200 for _, p in at)
+
+
+def test_texts_are_packed():
+    """What is shuffled of the texts is well below them, and they come back whole."""
+    rng = random.Random(3)
+    docs = [(i % 2, i, 1 << 31, " ".join(rng.choice(("the", "of", "und", "heit", "keit")) for _ in range(rng.randrange(900))).encode()) for i in range(-9, 9)]
+    table = S.pa.table([S.pa.array(x, t) for x, t in zip(zip(*docs), (S.pa.int32(), S.pa.int64(), S.pa.int64(), S.pa.binary()))], ["deal", "doc_id", "tag", "text"])
+    found = sorted((r for b in S._pack_docs(iter(table.to_batches())) for r in zip(*b.to_pydict().values())), key=lambda r: r[0])
+    assert sum(len(blob) for *_, blob in found) < 0.5 * sum(len(d[3]) for d in docs)
+    batch = S.pa.RecordBatch.from_pylist([dict(zip(("deal", "docs", "blob"), r)) for r in found])
+    assert sorted((deal, *doc) for deal, _, own in S._by_deal(iter([batch])) for doc in own) == sorted(docs)
+
+
+def test_gram_shared_by_an_id_in_two_batches(spark):
+    """Document 7 shares a gram alone with the first row of id 5, in its batch, and a passage with the second, in another."""
+    rng = random.Random(9)
+    junk = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    for _ in range(3):
+        passage = junk(50)
+        (at,), _ = S.anchors(passage.encode(), np.array([0]), np.array([50]))
+        gram = passage[at : at + S.GRAM]
+        other = next(t for t in (junk(40) + gram + junk(40) for _ in range(999)) if 40 in S.anchors(t.encode(), np.array([0]), np.array([96]))[0])
+        docs = [(5, other), (7, passage), (5, passage), (8, junk(70))]
+        got = S.query(spark.createDataFrame(spark.sparkContext.parallelize(docs, 2), "doc_id long, text string")).collect()
+        assert sorted(map(tuple, got), key=repr) == slow([(i, t.encode()) for i, t in docs], 50)
+
+
 def test_windows_are_sorted_as_contexts_are():
     rng = np.random.default_rng(3)
     window = rng.integers(97, 99, (300, 50)).astype(np.uint8)
