@@ -385,9 +385,11 @@ def _framed(text: np.ndarray, *more: np.ndarray) -> np.ndarray:
 
 def _row_hash(wide: np.ndarray) -> np.ndarray:
     factors = np.random.default_rng(1).integers(1 << 63, size=(2, wide.shape[1] // 8), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    words = wide.view("<u8")
+    words, key = wide.view("<u8"), np.empty(len(wide), np.uint64)
     with np.errstate(over="ignore"):
-        key = ((words ^ (words * factors[0] >> np.uint64(31))) * factors[1]).sum(axis=1)
+        for at in range(0, len(words), BLOCK):
+            part = words[at : at + BLOCK]
+            key[at : at + BLOCK] = ((part ^ (part * factors[0] >> np.uint64(31))) * factors[1]).sum(axis=1)
         key ^= key >> np.uint64(29)
     return key
 
@@ -399,7 +401,10 @@ def _settled(wide: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     first, run = _groups(key[order])
     lead = order[first][run]
     done = np.zeros(len(ids), bool)
-    done[order] = (ids[order] > ids[lead]) & (wide[order] == wide[lead]).all(axis=1)
+    above = np.nonzero(ids[order] > ids[lead])[0]
+    for at in range(0, len(above), BLOCK):
+        one, other = order[above[at : at + BLOCK]], lead[above[at : at + BLOCK]]
+        done[one] = (wide[one] == wide[other]).all(axis=1)
     return done, key
 
 
